@@ -17,6 +17,13 @@ def query(f):
     return f
 
 
+@query
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bottomk_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

@@ -37,6 +37,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: Bytes that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def bounded(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df for the small side of a join: broadcast if its rows, counted, stay under the limit; else as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def deal(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
