@@ -45,3 +45,10 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hash_mix import mix
 
     return mix(table(spark, sf_dir, "documents"), [3, 1, 2], 1.5, 2.0).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bm25_decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
