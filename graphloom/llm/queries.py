@@ -17,6 +17,13 @@ def query(f):
     return f
 
 
+@query
+def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity_lexicon import toxicity
