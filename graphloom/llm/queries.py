@@ -24,6 +24,13 @@ def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_diagonals import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity_lexicon import toxicity
@@ -31,6 +38,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 4, 2, 0.3)
 
 
+@query
+def op6_credential_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .credential_links import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bottomk_dedup import dedup
