@@ -38,6 +38,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 4, 2, 0.3)
 
 
+@query
+def op5_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mil_quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 5, 0, 0.3)
+
+
 @query
 def op6_credential_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .credential_links import scan
