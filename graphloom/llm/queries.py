@@ -24,6 +24,13 @@ def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_trie import score
+
+    return score(table(spark, sf_dir, "documents"), 7, 2)
+
+
 @query
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_diagonals import scan
