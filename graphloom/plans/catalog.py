@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from graphloom.plans import graph_queries, text_queries
+
+_MODULES = (graph_queries, text_queries)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL = {k: q for m in _MODULES for k, q in m.ORACLE_SQL.items()}
