@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import bounded, written
 
 MAGIC = b"GLDAC\0\0\1"
 LEVEL_BITS, LEVELS = 8, 4
@@ -124,22 +124,25 @@ class Shard:
 class Encoder:
     """The tokenizers library's ids, each distinct piece encoded once.
 
-    Byte-level BPE works on each piece of its pre-tokenizer alone, and those pieces never reach over the places where
-    white space meets other text, but that one blank goes with the text that follows it. So a text is cut there, and a
-    piece's ids are looked up or, together with all other new pieces of the batch, encoded by the library. Texts with
-    the separators U+001C to U+001F (white space for Python, not for the library) or with a special token's string are
-    encoded whole.
+    Byte-level BPE works on each piece of its pre-tokenizer alone. Those pieces never reach over the places where white
+    space meets other text (but that one blank goes with the text that follows it), nor over the end of a run of letters
+    or of signs before another ASCII character; an apostrophe may begin a piece of its own, so no run of signs is cut
+    next to one. A text is cut there, and a piece's ids are looked up or, together with all other new pieces of the
+    batch, encoded by the library. Texts with the separators U+001C to U+001F (white space for Python, not for the
+    library) or with a special token's string are encoded whole.
     """
 
+    CUT = r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]++(?=[\x00-\x7F]|\Z)| ?[!-&(-/:-@\[-`{-~]++(?=[\x00-&(-\x7F]|\Z)| ?\S+|\s+(?!\S)|\s+"
+
     def __init__(self, path: str):
         import re
 
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.cut = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
+        self.cut = re.compile(self.CUT).findall
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, special)])).search
+        self.odd = ["\x1c", "\x1d", "\x1e", "\x1f", *special]
         self.line = self.library.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
 
@@ -148,7 +151,7 @@ class Encoder:
         # a line break is a piece of its own before any other text, so it separates the pieces of one long text
         ids = np.array(self.library.encode_batch_fast(["\n" + "\n".join(black)], add_special_tokens=False)[0].ids if black else [], np.uint32)
         at = np.flatnonzero(ids == self.line[0])
-        if len(self.line) == 1 and len(at) == len(black):
+        if black and len(self.line) == 1 and len(at) == len(black):
             raw, ends = ids.astype("<u4").tobytes(), [*at[1:].tolist(), len(ids)]
             for x, a, b in zip(black, at.tolist(), ends, strict=True):
                 self.known[x] = raw[4 * a + 4 : 4 * b]
@@ -161,7 +164,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         whole = [t or "" for t in texts]
-        cut = [None if self.odd(t) else self.cut(t) for t in whole]
+        cut = [None if any(x in t for x in self.odd) else self.cut(t) for t in whole]
         fresh = set().union(*(c for c in cut if c)) - self.known.keys() if any(cut) else set()
         if fresh:
             self._learn(list(fresh))
@@ -241,7 +244,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(s.document(k).astype("<u4").tobytes()) for k in range(s.documents)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(base + s.first[:-1]), "n_tokens": pa.array(np.diff(s.first)), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return shards.join(starts, ["part", "shard"]).select("base", "doc_ids", "blob").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return shards.join(bounded(starts, 32), ["part", "shard"]).select("base", "doc_ids", "blob").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
