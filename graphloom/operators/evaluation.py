@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 TAGS = {"SUB": 0, "PRED": 1, "OBJ": 2}
 
@@ -65,7 +66,7 @@ def latency(df: DataFrame, value: str) -> DataFrame:
 # --- what SQL cannot express: assignments, alignments, folding -------------------------------------------------------
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def ascii_fold(s: pd.Series) -> pd.Series:
     """Letters without their marks; đ and Đ, which carry none, become d and D."""
     fold = lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t.replace("đ", "d").replace("Đ", "D")) if not unicodedata.combining(c))

@@ -9,6 +9,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from graphloom.functions import text as T
 from graphloom.operators import graph
@@ -57,7 +58,7 @@ class StubClient:
 
 def asked(df: DataFrame, client: ModelClient, prompt: str, answer: str) -> DataFrame:
     """df with the model's answer to each row's prompt; a failed batch keeps nulls. Batches follow Arrow's."""
-    fields = df.schema.add(answer, "string")
+    fields = StructType([*df.schema.fields, StructField(answer, StringType())])
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -76,7 +77,7 @@ def embedded(df: DataFrame, client: ModelClient, column: str, out: str) -> DataF
             pdf[out] = client.embed([str(t) for t in pdf[column]])
             yield pdf
 
-    fields = df.schema.add(out, "array<double>")
+    fields = StructType([*df.schema.fields, StructField(out, ArrayType(DoubleType()))])
     return df.mapInPandas(work, fields)
 
 
