@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import bounded, written
 
 #: Bits of the hash that one histogram resolves, and how many histograms refine the boundary bucket in turn.
 BITS, LEVELS = 12, 5
@@ -41,31 +41,30 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     return t.select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """docs' rows with row_hash, size, source_size, target and taken; text and columns of other names are left behind.
+def _hash():
+    return F.xxhash64(F.lit(17), "doc_id", "text")
 
-    A row is taken floor(target / source_size) times, and once more where its hash lies under the source's threshold.
-    Thresholds nest: a higher budget takes a superset. Tokens are summed by source and hash bucket (at most 4,096 a
-    source); the bucket where the running sum crosses the budget is the only one summed again, by the hash's next bits,
-    five times in all; then a whole filter decides, and nothing is sorted.
 
-    Null texts have size 0, null sources are a source of their own, empty sources have target 0. Repeated rows (same id
-    and text) share a hash and are taken or left together: the last tie is taken where that comes nearer to the target.
-    Reruns give the same rows, as the hash is of id and text alone. Extra columns are ignored; an empty table gives none.
+def _key():
+    return F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+
+
+def plan_mix(docs: DataFrame, weights: list[float], share: float, most: float) -> tuple[DataFrame, DataFrame]:
+    """(base, plan): a row (doc_id, source, size, row_hash, bits, key) a document, and a row (key, source_size, target,
+    whole, upto) a source. A row is taken whole times, and once more where its bits are below upto.
     """
     # the compact table: one scan of the texts, then only ids, sizes and hashes are read
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(17), "doc_id", "text").alias("row_hash"))
-    base = written(base, "mix").withColumn("bits", F.expr("shiftrightunsigned(row_hash, 4)"))
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _hash().alias("row_hash"))
+    base = written(base, "mix").withColumn("bits", F.expr("shiftrightunsigned(row_hash, 4)")).withColumn("key", _key())
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, list(weights), share, most).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     plan = plan.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("low", F.lit(0).cast("long"))
-    plan = plan.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    plan = plan.withColumn("key", _key())
     plan = written(plan, "plan")
-    keyed = base.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     for level in range(LEVELS):
         down = 60 - BITS * (level + 1)
         bound = plan.where("left > 0").select("key", "low", "left")
-        at = keyed.select("key", "size", "bits")
+        at = base.select("key", "size", "bits")
         # the sources' plan is as small as the list of sources; Spark decides on broadcasting it by its measured size
         inside = at.join(bound, "key")
         if level:
@@ -85,6 +84,32 @@ def mix(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, m
         )
     # low is now the first hash not wholly taken; the class of rows that share it is taken where that is nearer
     plan = plan.withColumn("upto", F.when(F.col("low") < 0, F.lit(1 << 60)).when(F.col("tie").isNotNull() & (F.col("left") * 2 > F.col("tie")), F.col("low") + 1).otherwise(F.col("low")))
-    out = keyed.join(plan.select("key", "source_size", "target", "whole", "upto"), "key")
-    extra = F.when(F.col("bits") < F.col("upto"), 1).otherwise(0)
-    return out.select("doc_id", "source", "row_hash", "size", "source_size", "target", (F.least(F.col("whole") + extra, F.lit(int(most))) * F.col("size")).cast("long").alias("taken"))
+    return base, plan.select("key", "source_size", "target", "whole", "upto")
+
+
+def _copies(most: float):
+    return F.least(F.col("whole") + F.when(F.col("bits") < F.col("upto"), 1).otherwise(0), F.lit(int(most)))
+
+
+def mix(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """docs' rows with row_hash, size, source_size, target and taken; text and columns of other names are left behind.
+
+    A row is taken floor(target / source_size) times, and once more where its hash lies under the source's threshold.
+    Thresholds nest: a higher budget takes a superset. Tokens are summed by source and hash bucket (at most 4,096 a
+    source); the bucket where the running sum crosses the budget is the only one summed again, by the hash's next bits,
+    five times in all; then a whole filter decides, and nothing is sorted.
+
+    Null texts have size 0, null sources are a source of their own, empty sources have target 0. Repeated rows (same id
+    and text) share a hash and are taken or left together: the last tie is taken where that comes nearer to the target.
+    Reruns give the same rows, as the hash is of id and text alone. Extra columns are ignored; an empty table gives none.
+    """
+    base, plan = plan_mix(docs, list(weights), share, most)
+    return base.join(plan, "key").select("doc_id", "source", "row_hash", "size", "source_size", "target", (_copies(most) * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """docs' rows, all columns, each as many times as mix() takes it. The thresholds go to the rows; no text is moved."""
+    plan = plan_mix(docs, list(weights), share, most)[1]
+    rows = docs.select(F.struct("*").alias("row"), _key().alias("key"), F.shiftrightunsigned(_hash(), 4).alias("bits"))
+    taken = rows.join(bounded(plan.select("key", "whole", "upto"), 64), "key").withColumn("copies", _copies(most)).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("n")).select("row.*")
