@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, mix, word_hashes
+from .shared import bounded, chunks, mix, word_hashes, written
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -254,3 +254,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     if out is None:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, passage_start bigint, score double, question_overlap double, answer_overlap double")
     return out
+
+
+def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs' rows, all columns, that hold no test item; rows with a null id stay."""
+    found = written(leaks(docs, items).where("doc_id IS NOT NULL").select("doc_id").distinct(), "leaks")
+    return docs.join(bounded(found, 16), "doc_id", "left_anti").select(*docs.columns)
