@@ -8,7 +8,7 @@
    so only representatives with that many values in long lists can have a partner that no short list shows. Each of
    them is tied to one pivot of each of its long lists.
 4. Candidates that hang together form a group. Groups are cut into blocks, and the full sets of two blocks are compared
-   at once by a matrix product: this confirms links exactly, and each block pair returns a spanning forest only. In large
+   at once by a matrix product: this confirms links exactly, and each block pair returns its components as stars. In large
    groups the first block goes against all others first; then pairs of blocks already in one component are skipped.
 5. Components of the confirmed links give each document its component_id.
 """
@@ -92,7 +92,6 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def candidates(reps: DataFrame) -> DataFrame:
     """Edges (u, v) of set_keys that need an exact comparison, from representatives (set_key, n_shingles, sketch)."""
     values = reps.select("set_key", "n_shingles", F.explode("sketch").alias("value"))
-    # an unsigned order is kept by flipping the sign bit; only equality and min are needed here
     counts = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     values = written(values.join(counts, "value"), "lists")
 
@@ -101,6 +100,7 @@ def candidates(reps: DataFrame) -> DataFrame:
     fits = (F.col("a.n_shingles") * 4 >= F.col("b.n_shingles") * 3) & (F.col("b.n_shingles") * 4 >= F.col("a.n_shingles") * 3)
     pairs = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.set_key") < F.col("b.set_key")) & fits)
     pairs = pairs.groupBy(F.col("a.set_key").alias("u"), F.col("b.set_key").alias("v")).agg(F.count("*").alias("shared"))
+    # flipping the sign bit keeps the hashes' unsigned order
     sk = reps.select("set_key", F.expr("transform(sketch, x -> x ^ (-9223372036854775807L - 1))").alias("sketch"))
     pairs = pairs.join(sk.withColumnsRenamed({"set_key": "u", "sketch": "su"}), "u").join(sk.withColumnsRenamed({"set_key": "v", "sketch": "sv"}), "v")
     pairs = pairs.withColumn("both", F.array_intersect("su", "sv")).withColumn("union", F.slice(F.array_sort(F.array_union("su", "sv")), 1, SKETCH))
@@ -110,16 +110,17 @@ def candidates(reps: DataFrame) -> DataFrame:
     pairs = pairs.where(F.when(exact, F.col("hits") * 4 >= F.size("union") * 3).otherwise(F.col("hits") >= SHARED)).select("u", "v")
 
     heavy = values.where(F.col("df") > LIGHT)
-    dense = heavy.groupBy("set_key").agg(F.count("*").alias("n_heavy"), F.first("n_shingles").alias("n"))
-    dense = dense.where((F.col("n_heavy") >= SHARED) | (F.col("n_heavy") * 4 >= F.col("n") * 3)).select("set_key", "n_heavy")
-    dense = heavy.select("value", "set_key").join(dense, "set_key")
+    # a representative's list has at most SKETCH values
+    dense = heavy.groupBy("set_key").agg(F.collect_list("value").alias("vs"), F.first("n_shingles").alias("n")).withColumn("n_heavy", F.size("vs"))
+    dense = dense.where((F.col("n_heavy") >= SHARED) | (F.col("n_heavy") * 4 >= F.col("n") * 3))
+    dense = written(dense.select("set_key", "n_heavy", F.explode("vs").alias("value")), "dense")
     # the member with the most common values stands nearest to the others
     pivot = dense.groupBy("value").agg(F.max_by("set_key", F.struct("n_heavy", "set_key")).alias("v"))
-    return pairs.unionByName(dense.select("value", F.col("set_key").alias("u")).join(pivot, "value").where("u <> v").select("u", "v").distinct())
+    return pairs.unionByName(dense.select("value", F.col("set_key").alias("u")).join(pivot, "value").where("u <> v").select("u", "v"))
 
 
-def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray, keys: list[bytes]) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the links between the places in left and right, as key pairs."""
+def _stars(links: np.ndarray, left: np.ndarray, right: np.ndarray, keys: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """(key, smallest key of its component) for the links between the places in left and right."""
     up = list(range(len(keys)))
 
     def root(i):
@@ -128,13 +129,11 @@ def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray, keys: list[b
             i = up[i]
         return i
 
-    out = []
     for i, j in links.tolist():
         a, b = root(int(left[i])), root(int(right[j]))
         if a != b:
-            up[a] = b
-            out.append((keys[a], keys[b]))
-    return out
+            up[a if keys[b] < keys[a] else b] = b if keys[b] < keys[a] else a
+    return [(keys[i], keys[root(i)]) for i in range(len(keys)) if up[i] != i]
 
 
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -158,7 +157,7 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
 
 
 def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Confirmed links between the rows of one block, or of block 'l' with block 'r', as a spanning forest (u, v)."""
+    """Confirmed links within block 'b', or between blocks 'l' and 'r', as stars (u, v); v is its component's smallest key."""
     keys, sets = list(pdf["set_key"]), [np.frombuffer(x, np.uint64) for x in pdf["items"]]
     side = pdf["side"].to_numpy()
     left = np.flatnonzero(side != "r")
@@ -167,14 +166,16 @@ def compare(pdf: pd.DataFrame) -> pd.DataFrame:
     both = _overlaps(sets, left, right).astype(np.int64)
     yes = 100 * both >= 75 * (n[left][:, None] + n[right][None, :] - both)
     yes &= left[:, None] != right[None, :]
-    return pd.DataFrame(_forest(np.argwhere(yes), left, right, keys), columns=["u", "v"])
+    out = pd.DataFrame(_stars(np.argwhere(yes), left, right, keys), columns=["u", "v"])
+    out["single"] = bool(pdf["single"].iloc[0])
+    return out
 
 
-def _block_pairs(rows: DataFrame, blocks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links of the block pairs (group, b1, b2) over rows (group, block, set_key, items)."""
-    one = pairs.select("group", "b1", "b2")
-    sides = one.select("group", "b1", "b2", F.col("b1").alias("block"), F.when(F.col("b1") == F.col("b2"), "b").otherwise("l").alias("side")).unionByName(one.where("b1 <> b2").select("group", "b1", "b2", F.col("b2").alias("block"), F.lit("r").alias("side")))
-    return rows.join(sides, ["group", "block"]).select("group", "b1", "b2", "side", "set_key", "items").groupBy("group", "b1", "b2").applyInPandas(compare, "u binary, v binary")
+def _block_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links of the block pairs (group, b1, b2, single) over rows (group, block, set_key, items)."""
+    one = pairs.select("group", "b1", "b2", "single")
+    sides = one.select("group", "b1", "b2", "single", F.col("b1").alias("block"), F.when(F.col("b1") == F.col("b2"), "b").otherwise("l").alias("side")).unionByName(one.where("b1 <> b2").select("group", "b1", "b2", "single", F.col("b2").alias("block"), F.lit("r").alias("side")))
+    return rows.join(sides, ["group", "block"]).select("group", "b1", "b2", "single", "side", "set_key", "items").groupBy("group", "b1", "b2").applyInPandas(compare, "u binary, v binary, single boolean")
 
 
 def _blocked(members: DataFrame, order: list) -> DataFrame:
@@ -220,8 +221,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     facts = _block_facts(rows)
     last = facts.groupBy("group").agg(F.max("block").alias("last"))
     # small groups: one block against itself; large ones: the middle block against every block, itself included
-    first = last.select("group", F.explode(F.sequence(F.lit(0), "last")).alias("b2"), F.floor(F.col("last") / 2).cast("int").alias("b1"))
-    links = written(_block_pairs(rows, facts, first), "links")
+    first = last.select("group", F.explode(F.sequence(F.lit(0), "last")).alias("b2"), F.floor(F.col("last") / 2).cast("int").alias("b1"), (F.col("last") == 0).alias("single"))
+    links = written(_block_pairs(rows, first), "links")
+    # a group of one block has its components already
+    done = links.where("single").select(F.col("u").alias("set_key"), F.col("v").alias("component"))
+    labels = done.unionByName(done.select(F.col("component").alias("set_key"), "component").distinct())
+    links = links.where("NOT single")
     large = last.where("last > 0").select("group")
     if large.limit(1).count():
         found = written(components(links).select(F.col("node").alias("set_key"), F.col("label").alias("found")), "found")
@@ -231,13 +236,26 @@ def dedup(docs: DataFrame) -> DataFrame:
         again = written(_blocked(again.join(size, ["group", "label"]), ["rest", "label", "n_shingles", "set_key"]), "again")
         facts = _block_facts(again)
         a, b = facts.alias("a"), facts.alias("b")
-        done = (F.col("a.first_label") == F.col("a.last_label")) & (F.col("a.first_label") == F.col("b.first_label")) & (F.col("a.first_label") == F.col("b.last_label"))
+        same = (F.col("a.first_label") == F.col("a.last_label")) & (F.col("a.first_label") == F.col("b.first_label")) & (F.col("a.first_label") == F.col("b.last_label"))
         fits = (F.col("a.hi") * 4 >= F.col("b.lo") * 3) & (F.col("b.hi") * 4 >= F.col("a.lo") * 3)
-        more = a.join(b, (F.col("a.group") == F.col("b.group")) & (F.col("a.block") <= F.col("b.block")) & ~done & fits).select(F.col("a.group").alias("group"), F.col("a.block").alias("b1"), F.col("b.block").alias("b2"))
-        links = written(links.unionByName(_block_pairs(again.drop("rest"), facts, more)), "links")
-    labels = components(links).withColumnsRenamed({"node": "set_key", "label": "component"})
+        more = a.join(b, (F.col("a.group") == F.col("b.group")) & (F.col("a.block") <= F.col("b.block")) & ~same & fits).select(F.col("a.group").alias("group"), F.col("a.block").alias("b1"), F.col("b.block").alias("b2"), F.lit(False).alias("single"))
+        links = links.unionByName(_block_pairs(again.drop("rest"), more))
+        labels = labels.unionByName(components(links).withColumnsRenamed({"node": "set_key", "label": "component"}))
     known = written(reps.select("set_key", "doc_id").join(labels, "set_key", "left").withColumn("component", F.coalesce("component", "set_key")), "known")
     least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     final = known.join(least, "component").select("set_key", "component_id")
     out = base.join(final, "set_key", "left").withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs' rows, all columns, without the duplicates: each component's row with the smallest id stays, once.
+
+    Rows with a null id name no group and stay.
+    """
+    found = written(dedup(docs).where("doc_id IS NOT NULL"), "found")
+    out = docs.join(bounded(found.where("NOT kept").select("doc_id").distinct(), 16), "doc_id", "left_anti").select(*docs.columns)
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+        out = out.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(out.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return out

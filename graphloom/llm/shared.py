@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text hashed at once; each numpy column over them takes eight times as much.
@@ -122,26 +122,24 @@ def word_hashes(encoded: list[bytes], signs_part: bool = False):
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for edges (u, v) of any ordered type: label is the smallest node reachable. Nulls and loops go.
 
-    Alternates large-star and small-star steps; every step is two aggregations and joins over the edges alone, and ends
-    in a reliable checkpoint, so no round's lineage or group is ever held in one place.
+    Every edge points from its larger node to its smaller one. A round moves each edge's target on to that node's
+    smallest target (large star), then ties all targets of a node to their smallest (small star), until nothing moves.
+    Both steps are an aggregation and a join whose hot keys Spark can split; a round ends in a written table, so neither
+    lineage nor any group is held in one place.
     """
-    spark = edges.sparkSession
-    work_dir(spark)
     now = edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    now = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
-    seen = None
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = written(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    for _ in range(rounds if now.limit(1).count() else 0):
+        seen = Observation()
+        low = now.groupBy("u").agg(F.min("v").alias("m"))
+        large = now.join(low.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = small.where("u <> v").distinct().checkpoint()
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        small = large.join(low, "u").observe(seen, F.sum((F.col("moved") | (F.col("v") != F.col("m"))).cast("int")).alias("moves"))
+        pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        now = written(small.select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct(), "edges")
+        if not seen.get["moves"]:
             break
-        seen = mark
     else:
-        raise RuntimeError("components did not settle")
+        if now.limit(1).count():
+            raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
