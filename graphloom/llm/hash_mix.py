@@ -41,8 +41,10 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     return t.select("source", "source_size", "target")
 
 
-def _hash():
-    return F.xxhash64(F.lit(17), "doc_id", "text")
+def _bits():
+    """60 bits of a hash of id and text."""
+    said = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    return F.conv(F.substring(F.md5(said.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def _key():
@@ -50,12 +52,12 @@ def _key():
 
 
 def plan_mix(docs: DataFrame, weights: list[float], share: float, most: float) -> tuple[DataFrame, DataFrame]:
-    """(base, plan): a row (doc_id, source, size, row_hash, bits, key) a document, and a row (key, source_size, target,
+    """(base, plan): a row (doc_id, source, size, bits, key) a document, and a row (key, source_size, target,
     whole, upto) a source. A row is taken whole times, and once more where its bits are below upto.
     """
     # the compact table: one scan of the texts, then only ids, sizes and hashes are read
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _hash().alias("row_hash"))
-    base = written(base, "mix").withColumn("bits", F.expr("shiftrightunsigned(row_hash, 4)")).withColumn("key", _key())
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _bits().alias("bits"))
+    base = written(base, "mix").withColumn("key", _key())
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, list(weights), share, most).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     plan = plan.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("low", F.lit(0).cast("long"))
@@ -92,7 +94,7 @@ def _copies(most: float):
 
 
 def mix(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """docs' rows with row_hash, size, source_size, target and taken; text and columns of other names are left behind.
+    """docs' rows with bits (of its hash), size, source_size, target and taken; text and columns of other names are left behind.
 
     A row is taken floor(target / source_size) times, and once more where its hash lies under the source's threshold.
     Thresholds nest: a higher budget takes a superset. Tokens are summed by source and hash bucket (at most 4,096 a
@@ -104,12 +106,12 @@ def mix(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, m
     Reruns give the same rows, as the hash is of id and text alone. Extra columns are ignored; an empty table gives none.
     """
     base, plan = plan_mix(docs, list(weights), share, most)
-    return base.join(plan, "key").select("doc_id", "source", "row_hash", "size", "source_size", "target", (_copies(most) * F.col("size")).cast("long").alias("taken"))
+    return base.join(plan, "key").select("doc_id", "source", "bits", "size", "source_size", "target", (_copies(most) * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """docs' rows, all columns, each as many times as mix() takes it. The thresholds go to the rows; no text is moved."""
     plan = plan_mix(docs, list(weights), share, most)[1]
-    rows = docs.select(F.struct("*").alias("row"), _key().alias("key"), F.shiftrightunsigned(_hash(), 4).alias("bits"))
+    rows = docs.select(F.struct("*").alias("row"), _key().alias("key"), _bits().alias("bits"))
     taken = rows.join(bounded(plan.select("key", "whole", "upto"), 64), "key").withColumn("copies", _copies(most)).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("n")).select("row.*")

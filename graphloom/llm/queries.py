@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import oracles
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +23,7 @@ def query(f):
 def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence_rules import judge
 
-    return judge(table(spark, sf_dir, "documents"))
+    return judge(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 @query
@@ -87,3 +89,11 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bm25_decontam import leaks
 
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL |= {
+    "op1_divergence_rules": oracles.divergence_rules(),
+    "op3_license_scan": oracles.license_scan(),
+    "op7_near_duplicates": oracles.near_duplicates(),
+    "op9_source_mix": oracles.source_mix(),
+}
