@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, St
 from graphloom.functions import text as T
 from graphloom.operators import graph
 from graphloom.operators.cleaning import mapped
+from graphloom.sources.work import saved
 
 
 class ModelClient(Protocol):
@@ -119,10 +120,10 @@ def canonicalize(triples: DataFrame, definitions: DataFrame, schema: DataFrame,
 
 def refine(chunks: DataFrame, client: ModelClient, rounds: int) -> DataFrame:
     """Triples of the last round: each round sees the distinct entities of the one before as its hint."""
-    triples = extract(chunks, client).checkpoint()
+    triples = saved(extract(chunks, client))
     for _ in range(rounds):
         seen = triples.select("chunk", F.explode(F.array("s", "o")).alias("e")).groupBy("chunk").agg(F.array_join(F.array_sort(F.collect_set("e")), " ").alias("hint"))
-        triples = extract(chunks.join(seen, "chunk", "left"), client, "hint").checkpoint()
+        triples = saved(extract(chunks.join(seen, "chunk", "left"), client, "hint"))
     return triples
 
 
