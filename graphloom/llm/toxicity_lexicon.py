@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .shared import bounded
 
@@ -110,20 +111,25 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, least: int = 3, entries:
 
     Greedy: the entry that tells most goes first, and documents that hold it no longer speak for the next.
     """
-    held = [_beginnings(t) for t in texts]
+    # texts are cut again in each pass: their beginnings together would not fit the driver
     up, down = Counter(), Counter()
-    for s, y in zip(held, toxic, strict=True):
-        (up if y else down).update(s)
+    for t, y in zip(texts, toxic, strict=True):
+        if y:
+            up.update(_beginnings(t))
+    up = Counter({t: a for t, a in up.items() if a >= least})
+    for t, y in zip(texts, toxic, strict=True):
+        if not y:
+            down.update(_beginnings(t) & up.keys())
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     odds = lambda a, b: math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
     weights: dict[str, float] = {w: 3.0 for w in INSULTS}
     whole = set(INSULTS)
-    good = {t: odds(a, down[t]) for t, a in up.items() if a >= least and odds(a, down[t]) > 2 and a > down[t]}
+    good = {t: odds(a, down[t]) for t, a in up.items() if odds(a, down[t]) > 2 and a > down[t]}
     where: dict[str, list[int]] = {t: [] for t in good}
-    for i, (s, y) in enumerate(zip(held, toxic, strict=True)):
+    for i, (t, y) in enumerate(zip(texts, toxic, strict=True)):
         if y:
-            for t in s & good.keys():
-                where[t].append(i)
+            for e in _beginnings(t) & good.keys():
+                where[e].append(i)
     open_ = {i for i, y in enumerate(toxic) if y}
     gain = {t: len(where[t]) - PENALTY * down[t] for t in good}
     heap = sorted(good, key=lambda t: (-gain[t], -len(t), t))
@@ -192,7 +198,7 @@ def fold_of(doc_id, folds: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def fit(docs: DataFrame, labels: DataFrame, train, bound: int = 3000) -> tuple[Lexicon, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, train, bound: int = 1500) -> tuple[Lexicon, np.ndarray]:
     """A lexicon and the logistic weights of its features, from at most bound labelled rows of each label that pass train.
 
     Half of the sample teaches the lexicon that the other half is scored with, and the other way round, so that the
@@ -211,27 +217,34 @@ def fit(docs: DataFrame, labels: DataFrame, train, bound: int = 3000) -> tuple[L
 
 
 def score(docs: DataFrame, lexicon: Lexicon, coefficients: np.ndarray) -> DataFrame:
-    """docs' rows with score (0 to 1); null and empty texts score as texts without matches. Rows keep all columns."""
-    at = docs.columns.index("text")
+    """(row, score) for each row of docs: all of its columns as a struct, and its score from 0 to 1.
+
+    Null and empty texts score as texts without matches.
+    """
     b = np.asarray(coefficients)
+    packed = docs.select(F.struct("*").alias("row"), "text")
 
     def work(batches):
         for batch in batches:
-            x = np.array([lexicon.features(t) for t in batch.column(at).to_pylist()]).reshape(-1, 5)
+            x = np.array([lexicon.features(t) for t in batch.column(1).to_pylist()]).reshape(-1, 5)
             p = 1 / (1 + np.exp(-np.clip(x @ b[:-1] + b[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "score"])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["row", "score"])
 
-    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return packed.mapInArrow(work, StructType([packed.schema["row"], StructField("score", DoubleType())]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cut: float = 0.3, bound: int = 3000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cut: float = 0.3, bound: int = 1500) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs, learned from labels outside the held-out fold.
 
     Only the text is scored. Repeated rows score alike; labels without a document, null labels and null ids teach
     nothing; without labels of both kinds the fixed list alone is used. Other columns are ignored.
     """
     lexicon, b = fit(docs, labels, fold_of(F.col("doc_id"), folds) != held, bound)
-    scored = score(docs.select("doc_id", "text"), lexicon, b)
+    scored = score(docs.select("doc_id", "text"), lexicon, b).select("row.doc_id", "score")
     return scored.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cut: float = 0.3, bound: int = 1500) -> DataFrame:
+    """docs' rows, all columns, that score below cut."""
+    lexicon, b = fit(docs, labels, fold_of(F.col("doc_id"), folds) != held, bound)
+    return score(docs, lexicon, b).where(F.col("score") < cut).select("row.*")
