@@ -119,6 +119,10 @@ def word_hashes(encoded: list[bytes], signs_part: bool = False):
 # --- components ----------------------------------------------------------------------------------------------------
 
 
+#: Edges that one task of a round handles.
+EDGES_A_TASK = 250_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for edges (u, v) of any ordered type: label is the smallest node reachable. Nulls and loops go.
 
@@ -129,17 +133,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     now = edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     now = written(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    for _ in range(rounds if now.limit(1).count() else 0):
-        seen = Observation()
+    left = now.count()
+    for _ in range(rounds):
+        if not left:
+            break
+        # as many tasks as the counted edges need, whatever the number of shuffle partitions
+        tasks = max(4, -(-left // EDGES_A_TASK))
+        seen, size = Observation(), Observation()
         low = now.groupBy("u").agg(F.min("v").alias("m"))
-        large = now.join(low.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved"))
+        large = now.join(low.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved")).coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").observe(seen, F.sum((F.col("moved") | (F.col("v") != F.col("m"))).cast("int")).alias("moves"))
+        small = large.join(low, "u").coalesce(tasks).observe(seen, F.sum((F.col("moved") | (F.col("v") != F.col("m"))).cast("int")).alias("moves"))
         pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = written(small.select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct(), "edges")
-        if not seen.get["moves"]:
-            break
+        now = small.select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct().coalesce(tasks)
+        now = written(now.observe(size, F.count(F.lit(1)).alias("n")), "edges")
+        left = size.get["n"] if seen.get["moves"] else 0
     else:
-        if now.limit(1).count():
-            raise RuntimeError("components did not settle")
+        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
