@@ -31,7 +31,7 @@ from .shared import chunks, word_hashes, written
 
 MU, KNOWN = 200.0, 63 / 64
 #: Triples that a shard holds on average, bytes of text of a chunk, bits of a predecessor's hash.
-SHARD_TRIPLES, CHUNK, PRIOR_BITS = 3_000_000, 6 << 20, 40
+SHARD_TRIPLES, CHUNK, PRIOR_BITS = 2_000_000, 3 << 20, 40
 #: A token with more than this share of a shard in the sample is hot; the sample's size in documents.
 HOT_SHARE, SAMPLE = 0.25, 2000
 _END, _BEGIN = np.uint64(0x51ED270B7F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -302,8 +302,8 @@ def _shard_sums(total: int, begins: int, hot: np.ndarray, hot_count: np.ndarray)
         # every distinct triple is looked up once, in parts of bounded size
         unknown = float(np.log10(MU * (1 - KNOWN) / max(total, 1)))
         value, known, log_c = np.empty(len(pair_tok)), np.empty(len(pair_tok), bool), np.empty(len(pair_tok))
-        for a in range(0, len(pair_tok), 1 << 18):
-            t, p = pair_tok[a : a + (1 << 18)], pair_prior[a : a + (1 << 18)]
+        for a in range(0, len(pair_tok), 1 << 17):
+            t, p = pair_tok[a : a + (1 << 17)], pair_prior[a : a + (1 << 17)]
             new = np.append(True, t[1:] != t[:-1])
             w = trie.words.find(t[new])[np.cumsum(new) - 1]
             on = np.flatnonzero(w >= 0)
