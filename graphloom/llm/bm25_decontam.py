@@ -7,7 +7,10 @@ sorted by item and cut into blocks with their largest impact. Retrieval returns
   to less than SLACK, are assumed present; only the impacts of its other terms are added up.
 * Passages with an item left are run against the index by block-max WAND.
 
-Items retrieved are verified: the question's and the answer's word 3-grams must stand in the passage and what is next to it.
+Items of more than SEGMENT words are indexed in pieces of at most SEGMENT words, as even as can be, each normalised by the
+score of its own words; a piece at or above the threshold retrieves its item.
+
+Items retrieved are verified as a whole: the question's and the answer's word 3-grams must stand in the passage and what is next to it.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from .shared import bounded, chunks, mix, word_hashes, written
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 SLACK = 0.12
-#: A passage is two neighbouring segments, so every run of SEGMENT words lies in one passage.
+#: A passage is two neighbouring segments, so every run of SEGMENT words, and with it every piece, lies in one passage.
 SEGMENT = 64
 BLOCK = 16
 #: Share of an item's question and of its answer that must be found.
@@ -58,26 +61,29 @@ def split_item(text: str) -> tuple[str, str]:
 
 
 class Index:
-    """Items' normalised BM25 impacts by term. Items without words are left out."""
+    """Pieces' normalised BM25 impacts by term, and the items they are of. Items without words are left out."""
 
     def __init__(self, items: list[tuple[int, str]]):
         hashed = [(i, word_hashes([t.encode("utf-8", "surrogatepass")], True)[0], t) for i, t in items]
         hashed = [x for x in hashed if len(x[1])]
         self.ids = [x[0] for x in hashed]
         self.lengths = np.array([len(x[1]) for x in hashed], np.int64)
+        pieces = [(i, p) for i, (_, h, _) in enumerate(hashed) for p in np.array_split(h, -(-len(h) // SEGMENT))]
+        self.item_of = [i for i, _ in pieces]
+        lengths = np.array([len(p) for _, p in pieces], np.int64)
         n = len(self.ids)
-        counts = [Counter(h.tolist()) for _, h, _ in hashed]
-        df = Counter(t for c in counts for t in c)
-        mean = max(1.0, float(self.lengths.mean())) if n else 1.0
+        counts = [Counter(p.tolist()) for _, p in pieces]
+        df = Counter(t for _, h, _ in hashed for t in set(h.tolist()))
+        mean = max(1.0, float(lengths.mean())) if n else 1.0
         terms = sorted(df)
         self.terms = np.array(terms, np.uint64)
         number = {t: k for k, t in enumerate(terms)}
         idf = np.array([np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in terms])
         lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-        light = np.zeros(n)
+        light = np.zeros(len(pieces))
         heavy: list[list[tuple[int, float]]] = [[] for _ in terms]
         for i, c in enumerate(counts):
-            w = {number[t]: idf[number[t]] * f * (K1 + 1) / (f + K1 * (1 - B + B * self.lengths[i] / mean)) for t, f in c.items()}
+            w = {number[t]: idf[number[t]] * f * (K1 + 1) / (f + K1 * (1 - B + B * lengths[i] / mean)) for t, f in c.items()}
             own = sum(w.values()) or 1.0
             for k, x in sorted(w.items(), key=lambda p: (p[1], p[0])):
                 lists[k].append((i, x / own))
@@ -112,8 +118,8 @@ class Index:
         return at[real], k[real]
 
     def wand(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
-        """All (item, score) at or above the threshold for a passage with these distinct terms, by block-max WAND."""
-        end = len(self.ids)
+        """All (piece, score) at or above the threshold for a passage with these distinct terms, by block-max WAND."""
+        end = len(self.item_of)
         items = [self.plain[t][0] for t in terms]
         impacts = [self.plain[t][1] for t in terms]
         at = [0] * len(terms)
@@ -181,16 +187,16 @@ class Index:
         seg, term = both // len(self.terms), both % len(self.terms)
         n = self.heavy_at[term + 1] - self.heavy_at[term]
         from_ = np.repeat(self.heavy_at[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        key = np.repeat(seg, n) * np.int64(len(self.ids)) + self.heavy_item[from_]
+        key = np.repeat(seg, n) * np.int64(len(self.item_of)) + self.heavy_item[from_]
         pair, place = np.unique(key, return_inverse=True)
         part = np.bincount(place, self.heavy_impact[from_], len(pair))
         # a passage sums its two segments
-        nxt = np.searchsorted(pair, pair + len(self.ids))
+        nxt = np.searchsorted(pair, pair + len(self.item_of))
         nxt[nxt == len(pair)] = 0
-        bound = part + np.where(pair[nxt] == pair + len(self.ids), part[nxt], 0.0)
+        bound = part + np.where(pair[nxt] == pair + len(self.item_of), part[nxt], 0.0)
         # a passage whose terms for the item all stand in its second segment is found from the next passage
-        seg_of, item_of = pair // len(self.ids), pair % len(self.ids)
-        live = np.unique(seg_of[bound + self.light[item_of] >= THRESHOLD - 1e-9])
+        seg_of, piece_of = pair // len(self.item_of), pair % len(self.item_of)
+        live = np.unique(seg_of[bound + self.light[piece_of] >= THRESHOLD - 1e-9])
         lo, hi = np.searchsorted(seg, live), np.searchsorted(seg, live + 2)
         mid = np.searchsorted(seg, live + 1)
         owner = np.searchsorted(base, live, "right") - 1
@@ -201,7 +207,8 @@ class Index:
             if not found:
                 continue
             first = int(starts[d]) + (s - int(base[d])) * SEGMENT
-            for item, score in found:
+            for piece, score in found:
+                item = self.item_of[piece]
                 if done.get((d, item), (0, -1.0))[1] >= score:
                     continue
                 reach = max(SEGMENT, int(self.lengths[item]))
@@ -231,8 +238,9 @@ def _search(index: Index):
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, passage_start, score, question_overlap, answer_overlap): every document and test item in it.
 
-    score: of the document's best passage for the item, as a share of the item's score for its own text; the overlaps
-    are shares of its word 3-grams. Words are runs of ASCII letters and digits and of all other characters, A-Z in lower
+    score: of the document's best passage for the item, as a share of the item's score for its own text, or, for an item
+    of more than SEGMENT words, of its best piece's score for its own words; the overlaps are shares of the whole item's
+    word 3-grams. Words are runs of ASCII letters and digits and of all other characters, A-Z in lower
     case. Null and empty texts, on either side, hold and match nothing; rows with a null id report it as null; repeated
     rows are reported each. Other columns are ignored; no items or no documents give no rows.
 

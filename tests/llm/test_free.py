@@ -147,6 +147,17 @@ def test_leaks(spark):
     assert sorted(r["doc_id"] for r in rest.collect()) == [i for i, _ in clean]
 
 
+def test_leaks_of_long_items(spark):
+    rng = random.Random(10)
+    items = [(k, prose(rng, n).capitalize() + ".\n" + prose(rng, 10) + ".") for k, n in enumerate((30, 55, 118, 246, 390, 590, 1500))]
+    clean = [(i, prose(rng, 700)) for i in range(100, 110)]
+    planted = [(200 + k, prose(rng, 37 * k + 11) + " " + items[k][1] + " " + prose(rng, 50)) for k in range(7)]
+    items_df = spark.createDataFrame(items, "item_id long, text string")
+    got = bm25_decontam.leaks(frame(spark, [*clean, *planted]), items_df).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["question_overlap"], r["answer_overlap"]) for r in got) == [(200 + k, k, 1.0, 1.0) for k in range(7)]
+    assert sorted(r["doc_id"] for r in bm25_decontam.without_leaks(frame(spark, [*clean, *planted]), items_df).collect()) == [i for i, _ in clean]
+
+
 # --- 2
 
 
