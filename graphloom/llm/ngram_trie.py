@@ -7,7 +7,7 @@ depends on w's entries alone and of one that depends on c(v) alone, so the whole
 1. A pass counts the training tokens, and the exact counts of a few hot tokens that a hashed sample has shown.
 2. Each chunk of documents sends its (token, predecessor, document) triples, packed and sorted, to the token's shard; a
    hot token is spread over several shards by its predecessor.
-3. A shard counts its training triples, builds a trie (token -> predecessors), maps it into memory and looks every
+3. A shard counts its training triples, takes the hot tokens' counts from step 1, builds a trie (token -> predecessors), maps it into memory and looks every
    distinct triple up: word by successor search, then its predecessor by successor search inside the word's pointers.
    It returns each chunk's sums per document.
 4. Sums of a chunk meet again and give one row a document.
@@ -291,6 +291,12 @@ def _shard_sums(total: int, begins: int, hot: np.ndarray, hot_count: np.ndarray)
         first = np.append(at, int(kept.sum()))
         held = count[kept]
         c = np.add.reduceat(held, at) if len(at) else np.zeros(0, np.int64)
+        if len(hot):
+            # a hot token's training triples may all lie in its other shards; here it is known without pairs
+            place = np.minimum(np.searchsorted(pair_tok, hot), len(pair_tok) - 1)
+            more = np.setdiff1d(hot[(pair_tok[place] == hot) & (hot_count > 0)], words)
+            place = np.searchsorted(words, more)
+            words, first, c = np.insert(words, place, more), np.insert(first, place, first[place]), np.insert(c, place, 0)
         if len(hot) and len(words):
             k = np.searchsorted(hot, words)
             k[k == len(hot)] = 0

@@ -202,6 +202,31 @@ def test_scores_against_plain_counts(spark, monkeypatch):
         assert abs(r["score"] - w[5]) <= 0.03 * w[1]
 
 
+def test_hot_token_is_known_after_new_predecessors(spark, monkeypatch):
+    monkeypatch.setattr(ngram_trie, "SHARD_TRIPLES", 300)
+    rng = random.Random(8)
+    vocabulary = sorted(set(prose(rng, 40).split()) - {"hot", "pre"})
+    is_held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    # in training texts "hot" stands only after "pre", in the others after every word
+    rows = [(i, " ".join(f"{w} hot" for w in vocabulary) if is_held(i) else "pre hot " * 10 + " ".join(vocabulary)) for i in range(150)]
+    c, pairs, begins = Counter(), Counter(), 0
+    for i, t in rows:
+        if not is_held(i):
+            c.update([*t.split(), None])
+            pairs.update(zip([0, *t.split()], [*t.split(), None], strict=True))
+            begins += 1
+    n, v, mu = sum(c.values()), len(c), ngram_trie.MU
+    got = {r["doc_id"]: r for r in ngram_trie.score(frame(spark, rows)).collect()}
+    assert any(is_held(i) for i, _ in rows)
+    for i, t in rows:
+        words, r = [*t.split(), None], got[i]
+        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words)
+        model = sum(math.log10((pairs[p, w] + mu * ngram_trie.KNOWN * c[w] / n) / ((c[p] if p else begins) + mu)) for p, w in zip([0, *words], words, strict=False))
+        assert r["n_known"] == r["n_tokens"] == len(words)
+        assert r["base_score"] == pytest.approx(base, abs=1e-9)
+        assert abs(r["score"] - model) <= 0.03 * len(words)
+
+
 # --- 4 and 5
 
 
