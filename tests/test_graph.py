@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import evaluation as E
@@ -50,6 +51,18 @@ def test_leaders_equal_the_sequential_rule(spark):
     assert {r["i"]: r["leader"] for r in R.leader_clusters(df, 0.6).collect()} == want
 
 
+@pytest.mark.parametrize(("n", "finish"), [(1000, R.FINISH), (5, 3)])
+def test_leaders_of_a_path(spark, monkeypatch, n, finish):
+    import math
+
+    # each vector is similar only to its neighbours in order
+    monkeypatch.setattr(R, "FINISH", finish)
+    step = math.pi / n
+    df = spark.createDataFrame([(i, [math.cos(i * step), math.sin(i * step)]) for i in range(n)], "i long, v array<double>")
+    got = {r["i"]: r["leader"] for r in R.leader_clusters(df, math.cos(1.5 * step)).collect()}
+    assert got == {i: i - i % 2 for i in range(n)}
+
+
 def test_assignment_beats_every_permutation():
     import random
     from itertools import permutations
