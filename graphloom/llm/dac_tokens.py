@@ -22,14 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded, written
+from .shared import batched, bounded, free, lean, written
 
 MAGIC = b"GLDAC\0\0\1"
 LEVEL_BITS, LEVELS = 8, 4
 #: Tokens of a shard at most, unless one document has more.
 SHARD_TOKENS = 1 << 20
 #: Distinct pieces that one Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -178,11 +178,12 @@ _encoders: dict[str, Encoder] = {}
 def _encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        free()
     return _encoders[path]
 
 
-def _rows(batches, size: int = 1 << 22):
-    """(doc_ids, texts) of a few MB each, whatever the size of Arrow's batches."""
+def _rows(batches, size: int = 1 << 20):
+    """(doc_ids, texts) of about a MB each, whatever the size of Arrow's batches."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
         at, n = 0, 0
@@ -225,8 +226,10 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int
             yield blob()
 
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("tokens", pa.int64()), ("blob", pa.binary())])
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return written(ordered.mapInArrow(encode, "part int, shard int, doc_ids array<bigint>, tokens bigint, blob binary"), "shards")
+    # rows of one id, or without any, are dealt by the beginning of their text, whose order agrees with the text's
+    by_id = F.col("doc_id").asc_nulls_first()
+    ordered = batched(docs).select(F.col("doc_id").cast("long"), "text").repartitionByRange(by_id, F.substring("text", 1, 32)).sortWithinPartitions(by_id, "text")
+    return written(ordered.mapInArrow(lean(encode), "part int, shard int, doc_ids array<bigint>, tokens bigint, blob binary"), "shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -244,7 +247,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(s.document(k).astype("<u4").tobytes()) for k in range(s.documents)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(base + s.first[:-1]), "n_tokens": pa.array(np.diff(s.first)), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return shards.join(bounded(starts, 32), ["part", "shard"]).select("base", "doc_ids", "blob").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return shards.join(bounded(starts, 32), ["part", "shard"]).select("base", "doc_ids", "blob").mapInArrow(lean(read), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:

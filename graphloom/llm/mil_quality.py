@@ -7,12 +7,14 @@ embeddings is scored. Only document labels are needed, also for the attention.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, word_hashes
+from .shared import batched, chunks, lean, word_hashes
 from .toxicity_lexicon import fold_of, labelled_sample
 
 PASSAGE_BYTES = 600
@@ -139,6 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, keep, bound: int = 1500) -> Model:
     texts, y, weight = labelled_sample(docs, labels, "quality", keep, bound)
     model = Model()
     if not texts:
+        model.p["c"][:] = 0.0
         return model
     bags = []
     for _, some in chunks(texts):
@@ -151,15 +154,18 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, c
     """(doc_id, held_out, score, predicted) of every row of docs, learned from labels outside the held-out fold.
 
     Whole texts are scored, and nothing but them. Null and empty texts are one empty passage. Repeated rows score alike;
-    labels without a document, null labels and null ids teach nothing; without labels the untrained model's score is
-    returned. Other columns are ignored.
+    labels without a document, null labels and null ids teach nothing; without labels every score is 0.5. Of several texts
+    of a labelled id the smallest teaches. Other columns are ignored.
     """
     model = train(docs, labels, fold_of(F.col("doc_id"), folds) != held, bound)
 
-    def work(batches):
-        for b in batches:
-            p = [model.predict(some) for _, some in chunks(b.column(1).to_pylist(), 1 << 19)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(p) if p else np.zeros(0), pa.float64())], names=["doc_id", "score"])
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def work(parts):
+            for texts in parts:
+                p = [model.predict(some) for _, some in chunks((v.as_py() for v in texts), 1 << 19)]
+                yield pa.array(np.concatenate(p) if p else np.zeros(0), pa.float64())
+
+        yield from lean(work)(batches)
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id bigint, score double")
+    scored = batched(docs).select(F.col("doc_id").cast("long"), F.arrow_udf(each, "double")("text").alias("score"))
     return scored.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

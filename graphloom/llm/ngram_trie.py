@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, word_hashes, written
+from .shared import batched, chunks, cut, free, lean, word_hashes, written
 
 MU, KNOWN = 200.0, 63 / 64
-#: Triples that a shard holds on average, bytes of text of a chunk, bits of a predecessor's hash.
-SHARD_TRIPLES, CHUNK, PRIOR_BITS = 2_000_000, 3 << 20, 40
+#: Triples that a shard holds on average, bytes of text of a chunk (a batch at most), bits of a predecessor's hash.
+SHARD_TRIPLES, CHUNK, PRIOR_BITS = 2_000_000, 5 << 20, 40
 #: A token with more than this share of a shard in the sample is hot; the sample's size in documents.
 HOT_SHARE, SAMPLE = 0.25, 2000
 _END, _BEGIN = np.uint64(0x51ED270B7F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -192,7 +192,8 @@ def mapped(blob: bytes) -> Trie:
 
 def tokens(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token, predecessor, text's number): the words and one end of each text."""
-    h, counts = word_hashes(encoded)
+    parts = [word_hashes(some) for _, some in cut(encoded)]
+    h, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
     n = counts + 1
     last = np.cumsum(n) - 1
     tok = np.full(int(n.sum()), _END, np.uint64)
@@ -369,7 +370,7 @@ def _sampled(docs: DataFrame, rows: int) -> list[tuple[int, float]]:
                 top = np.argsort(-n, kind="stable")[:500]
                 yield pa.RecordBatch.from_arrays([pa.array(t[top].view(np.int64)), pa.array(n[top]), pa.array(np.full(len(top), n.sum()) * (np.arange(len(top)) == 0))], names=["t", "n", "all"])
 
-    counts = some.mapInArrow(work, "t bigint, n bigint, all bigint").groupBy("t").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
+    counts = some.mapInArrow(lean(work), "t bigint, n bigint, all bigint").groupBy("t").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
     total = counts.agg(F.sum("all")).first()[0] or 1
     return [(r["t"], r["n"] / total) for r in counts.orderBy(F.desc("n"), "t").limit(500).collect()]
 
@@ -382,7 +383,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     gives no rows. base_score and the counts are exact (words are told apart by 64-bit hashes); score sums values that
     are stored in 256 steps.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = batched(docs).select(F.col("doc_id").cast("long"), "text")
     rows = docs.count()
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     if not rows:
@@ -402,7 +403,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
                 hits = np.bincount(at[watch[at] == seen], minlength=len(watch)) if len(watch) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([len(tok)]), pa.array([len(seen)]), pa.array([int(train.sum())]), pa.array([watch.view(np.int64)], pa.list_(pa.int64())), pa.array([hits], pa.list_(pa.int64()))], names=["every", "total", "begins", "t", "n"])
 
-    first = docs.mapInArrow(count, "every bigint, total bigint, begins bigint, t array<bigint>, n array<bigint>").agg(F.sum("every").alias("every"), F.sum("total").alias("total"), F.sum("begins").alias("begins"), *[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(len(shares))]).first()
+    first = docs.mapInArrow(lean(count), "every bigint, total bigint, begins bigint, t array<bigint>, n array<bigint>").agg(F.sum("every").alias("every"), F.sum("total").alias("total"), F.sum("begins").alias("begins"), *[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(len(shares))]).first()
     every, total, begins = first["every"], first["total"], first["begins"]
     watch = np.sort(np.array([t for t, _ in shares], np.int64).view(np.uint64))
     exact = np.array([first[f"n{i}"] for i in range(len(shares))], np.int64)
@@ -412,7 +413,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     hot, hot_count = watch[chosen], exact[chosen]
     spread = np.array([max(1, min(shards, int(np.ceil(share_of[int(t)] * shards * 4)))) for t in hot], np.int64)
 
-    sent = docs.mapInArrow(_send(shards, hot, spread, folds, held), "shard int, chunk bigint, docs int, ids array<bigint>, body binary")
+    sent = docs.mapInArrow(lean(_send(shards, hot, spread, folds, held)), "shard int, chunk bigint, docs int, ids array<bigint>, body binary")
     sums = sent.repartition(shards, "shard").groupBy("shard").applyInArrow(_shard_sums(total, begins, hot, hot_count), "chunk bigint, ids array<bigint>, docs int, distinct bigint, body binary")
     sums = written(sums, "sums")
     distinct = (sums.agg(F.sum("distinct")).first()[0] or 0) + int((hot_count > 0).sum())

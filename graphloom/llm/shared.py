@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text hashed at once; each numpy column over them takes eight times as much.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share. A local one is made only for a local master that names none (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="graphloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -34,7 +36,50 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{work_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def spent(*frames: DataFrame) -> None:
+    """Deletes tables that written() made and that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Bytes of texts that go to a worker at once.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def batched(docs: DataFrame) -> DataFrame:
+    """docs, whose session sends BATCH_BYTES to Python at once, where it has kept Spark's own default of 64 MB: JVM and
+    worker each hold a batch several times, and keep that memory."""
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH) in ("64m", "67108864b", str(64 << 20)):
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return docs
+
+
+def free() -> None:
+    """Gives memory that this process has freed back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def lean(work):
+    """work over an iterator of batches, with free() at its end."""
+
+    def run(batches):
+        yield from work(batches)
+        free()
+
+    return run
 
 
 #: Bytes that may be broadcast.
@@ -68,7 +113,9 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         ones = np.full(max(n, 4096), base, np.uint64)
         ones[0] = 1
-        have = _powers[int(base)] = np.cumprod(ones, dtype=np.uint64)
+        have = np.cumprod(ones, dtype=np.uint64)
+        if n <= 2 * CHUNK_BYTES:  # those of a very long text are not kept
+            _powers[int(base)] = have
     return have[:n]
 
 
@@ -81,9 +128,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def chunks(texts, size: int = CHUNK_BYTES):
     """(first row, encoded texts) of as many rows as make about size bytes; None counts as empty. A text is never cut."""
+    return cut((b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts), size)
+
+
+def cut(encoded, size: int = CHUNK_BYTES):
+    """(first row, rows) of as many rows as make about size bytes."""
     at, held, n = 0, [], 0
-    for i, t in enumerate(texts):
-        b = b"" if t is None else t.encode("utf-8", "surrogatepass")
+    for i, b in enumerate(encoded):
         if held and n + len(b) > size:
             yield at, held
             at, held, n = i, [], 0
@@ -137,6 +188,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not left:
             break
+        was = now
         # as many tasks as the counted edges need, whatever the number of shuffle partitions
         tasks = max(4, -(-left // EDGES_A_TASK))
         seen, size = Observation(), Observation()
@@ -147,6 +199,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         now = small.select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct().coalesce(tasks)
         now = written(now.observe(size, F.count(F.lit(1)).alias("n")), "edges")
+        spent(was)
         left = size.get["n"] if seen.get["moves"] else 0
     else:
         raise RuntimeError("components did not settle")

@@ -2,7 +2,8 @@
 
 The lexicon is a fixed list of insults plus entries learned from labelled documents: beginnings of words that stand in
 toxic documents far more often than in others. An entry matches where a word begins; whole-word entries also need the
-word to end. Folding maps homoglyphs, digits and signs inside words to plain letters and keeps every place.
+word to end. Folding maps homoglyphs to plain letters, and in words that hold letters also digits and signs that stand
+for letters, and keeps every place; a 1 is read both as i and as l.
 """
 
 from __future__ import annotations
@@ -10,15 +11,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import bounded
+from .shared import batched, bounded, lean
 
 # Insults that count without any label, whole words.
 INSULTS = """idiot moron imbecile stupid loser scum trash garbage worthless pathetic disgusting clown dumb fool jerk
@@ -30,66 +31,102 @@ EXCEPTIONS = """trash can;trash bin;trash bag;trash collection;garbage can;garba
 clown fish;class clown;circus clown;dumb bell;dumb waiter;guinea pig;pig farm;fool proof;april fool;pond scum;soap scum""".replace("\n", "").split(";")
 
 # Signs that stand for letters, and letters of other scripts that look like Latin ones.
-_SIGNS = dict(zip("013457@$", "oieastas", strict=True))
+_SIGNS = dict(zip("013457@$!", "oieastasi", strict=True))
 _ALIKE = dict(zip("аеорсухіјѕԁһկոսΑΒΕΖΗΙΚΜΝΟΡΤΥΧαεικνορτυχАВЕКМНОРСТУХІЈЅ", "aeopcyxijsdhknuabezhikmnoptyxaeiknoptuxabekmhopctyxijs", strict=True))
 _WIDE = {chr(0xFF01 + i): chr(0x21 + i).lower() for i in range(94)}
 _FOLD = str.maketrans(_ALIKE | _WIDE)
+_FOLD_U = str.maketrans("уУυΥ", "uuuu")
 _FOLD_SIGNS = str.maketrans(_SIGNS)
+_FOLD_SIGNS_L = str.maketrans(_SIGNS | {"1": "l", "!": "l"})
 _needs = re.compile("[" + "".join(map(re.escape, _ALIKE)) + "！-～]").search
-_signed = re.compile(r"[^\W\d_][01345 7@$][^\W\d_]".replace(" ", "")).search
+# a sign that stands before a letter of its word, with another letter before or behind
+_signed = re.compile(r"[013457@$!]+[^\W\d_]").search
+_round = re.compile("[уУυΥ]").search
 _word = re.compile(r"[^\s]+")
+_ones = re.compile(r"[^\W\d_][1!]+[^\W\d_]|(?<!\S)[1!]+[^\W\d_]").search
 
 
 #: Toxic documents that an entry must show for each other document that it hits.
 PENALTY = 1.0
 
 
-def fold(text: str) -> str:
-    """Lower case, homoglyphs and in-word signs replaced; every character keeps its place."""
+def _plain(word: str, table: dict) -> str:
+    """word with its signs read as letters, but for those after its last letter; words of one letter stay."""
+    last = next((i for i in range(len(word) - 1, -1, -1) if word[i].isalpha()), -1)
+    if sum(c.isalpha() for c in word) < 2 or not _signed(word):
+        return word
+    return word[: last + 1].translate(table) + word[last + 1 :]
+
+
+def _letters(text: str) -> str:
     low = text.lower()
     if len(low) != len(text):  # a few capitals grow when lowered
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    if _needs(low):
-        low = low.translate(_FOLD)
-    if _signed(low):
-        low = _word.sub(lambda m: m[0].translate(_FOLD_SIGNS) if _signed(m[0]) else m[0], low)
-    return low
+    return low.translate(_FOLD) if _needs(low) else low
+
+
+def fold(text: str, signs: dict = _FOLD_SIGNS) -> str:
+    """Lower case, homoglyphs and in-word signs replaced; every character keeps its place."""
+    low = _letters(text)
+    return _word.sub(lambda m: _plain(m[0], signs), low) if _signed(low) else low
+
+
+def readings(text: str) -> list[str]:
+    """The text's readings, as long as the text: letters alone, and with signs as letters, a 1 as i and as l. Letters that
+    look like y are read as y and as u."""
+    out = [_letters(text)]
+    if _round(text):
+        out.append(_letters(text.translate(_FOLD_U)))
+    if _signed(out[0]):
+        tables = (_FOLD_SIGNS, _FOLD_SIGNS_L) if _ones(out[0]) else (_FOLD_SIGNS,)
+        out += [_word.sub(lambda m, t=t: _plain(m[0], t), low) for low in list(out) for t in tables]
+    return out
+
+
+def doubled(word: str) -> set[str]:
+    """word with one of its vowels twice, as signs often stand twice."""
+    return {word[:i] + c + word[i:] for i, c in enumerate(word) if c in "aeio" and word[i - 1 : i] != c and word[i + 1 : i + 2] != c}
 
 
 class Lexicon:
-    """Entries with weights in one automaton; whole: entries that must end with the word."""
+    """Entries with weights in one automaton; whole: entries that must end with the word, and may also have a vowel twice
+    where signs stand for letters."""
 
     def __init__(self, weights: dict[str, float], whole: set[str], exceptions: list[str] = EXCEPTIONS):
         self.auto = ahocorasick.Automaton()
+        for e in sorted(whole & weights.keys()):
+            for d in doubled(e) - weights.keys():
+                self.auto.add_word(d, (d, weights[e], True, True))
         for e, w in weights.items():
-            self.auto.add_word(e, (e, w, e in whole))
+            self.auto.add_word(e, (e, w, e in whole, False))
         for e in exceptions:
-            self.auto.add_word(e, (e, 0.0, None))
+            self.auto.add_word(e, (e, 0.0, None, False))
         self.auto.make_automaton()
 
     def matches(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """(start, end, entry, weight), the longest entry at each word's beginning, without those in exception phrases."""
         if not text:
             return []
-        low = fold(text)
         found: dict[int, tuple[int, int, str, float]] = {}
         free: list[tuple[int, int]] = []
-        n = len(low)
-        for last, (e, w, whole) in self.auto.iter(low):
-            end = last + 1
-            start = end - len(e)
-            if start and low[start - 1].isalpha():
-                continue
-            if whole is None:
-                if end == n or not low[end].isalpha():
-                    free.append((start, end))
-                continue
-            if whole and end < n and text[end].isalpha():
-                continue
-            have = found.get(start)
-            if have is None or end > have[1]:
-                found[start] = (start, end, e, w)
-        return [m for m in found.values() if not any(a <= m[0] and m[1] <= b for a, b in free)] if free else list(found.values())
+        n = len(text)
+        every = readings(text)
+        for low in every:
+            for last, (e, w, whole, signs) in self.auto.iter(low):
+                end = last + 1
+                start = end - len(e)
+                if start and low[start - 1].isalpha():
+                    continue
+                if whole is None:
+                    if end == n or not low[end].isalpha():
+                        free.append((start, end))
+                    continue
+                if (whole and end < n and low[end].isalpha()) or (signs and every[0][start:end] == e):
+                    continue
+                have = found.get(start)
+                if have is None or end > have[1]:
+                    found[start] = (start, end, e, w)
+        return [m for _, m in sorted(found.items()) if not any(a <= m[0] and m[1] <= b for a, b in free)]
 
     def features(self, text: str | None) -> list[float]:
         found = self.matches(text)
@@ -176,7 +213,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, bound: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(texts, labels, weights) of at most bound training rows of each label, those with the smallest hash of their id.
 
-    Ids are chosen first, so only the sample's texts are read by the driver. Weights restore the labels' shares.
+    Ids are chosen first, so only the sample's texts are read by the driver; of several texts of an id the smallest
+    counts. Weights restore the labels' shares.
     """
     rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).where(train)
     shares = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -186,7 +224,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, bound
         picked = one if picked is None else picked.unionByName(one)
     if picked is None:
         return [], np.zeros(0), np.zeros(0)
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(bounded(picked, 16), "doc_id").dropDuplicates(["doc_id"]).collect()
+    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(bounded(picked, 16), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     got.sort(key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in got], float)
     n = {k: max(1, int((y == k).sum())) for k in (0, 1)}
@@ -216,21 +254,22 @@ def fit(docs: DataFrame, labels: DataFrame, train, bound: int = 1500) -> tuple[L
     return Lexicon(*learn_lexicon(texts, y)), fit_logistic(x, y, weight / weight.mean())
 
 
-def score(docs: DataFrame, lexicon: Lexicon, coefficients: np.ndarray) -> DataFrame:
-    """(row, score) for each row of docs: all of its columns as a struct, and its score from 0 to 1.
+def scorer(lexicon: Lexicon, coefficients: np.ndarray):
+    """A column function from texts to scores from 0 to 1. Only the text goes to the worker, once; rows stay with Spark.
 
     Null and empty texts score as texts without matches.
     """
     b = np.asarray(coefficients)
-    packed = docs.select(F.struct("*").alias("row"), "text")
 
-    def work(batches):
-        for batch in batches:
-            x = np.array([lexicon.features(t) for t in batch.column(1).to_pylist()]).reshape(-1, 5)
-            p = 1 / (1 + np.exp(-np.clip(x @ b[:-1] + b[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["row", "score"])
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def work(parts):
+            for texts in parts:
+                x = np.array([lexicon.features(t) for t in (v.as_py() for v in texts)]).reshape(-1, 5)
+                yield pa.array(1 / (1 + np.exp(-np.clip(x @ b[:-1] + b[-1], -30, 30))))
+
+        yield from lean(work)(batches)
 
-    return packed.mapInArrow(work, StructType([packed.schema["row"], StructField("score", DoubleType())]))
+    return F.arrow_udf(each, "double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cut: float = 0.3, bound: int = 1500) -> DataFrame:
@@ -240,11 +279,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2,
     nothing; without labels of both kinds the fixed list alone is used. Other columns are ignored.
     """
     lexicon, b = fit(docs, labels, fold_of(F.col("doc_id"), folds) != held, bound)
-    scored = score(docs.select("doc_id", "text"), lexicon, b).select("row.doc_id", "score")
+    scored = batched(docs).select("doc_id", scorer(lexicon, b)("text").alias("score"))
     return scored.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cut: float = 0.3, bound: int = 1500) -> DataFrame:
     """docs' rows, all columns, that score below cut."""
     lexicon, b = fit(docs, labels, fold_of(F.col("doc_id"), folds) != held, bound)
-    return score(docs, lexicon, b).where(F.col("score") < cut).select("row.*")
+    return batched(docs).where(scorer(lexicon, b)("text") < cut)
