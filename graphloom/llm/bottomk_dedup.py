@@ -9,7 +9,7 @@
    them is tied to one pivot of each of its long lists.
 4. Candidates that hang together form a group. Groups are cut into blocks, and the full sets of two blocks are compared
    at once by a matrix product: this confirms links exactly, and each block pair returns its components as stars. In large
-   groups the first block goes against all others first; then pairs of blocks already in one component are skipped.
+   groups the middle block goes against all others first; then pairs of blocks already in one component are skipped.
 5. Components of the confirmed links give each document its component_id.
 """
 
@@ -18,13 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded, chunks, components, deal, mix, word_hashes, written
+from .shared import batched, bounded, chunks, components, deal, free, lean, mix, spent, word_hashes, written
 
 SHINGLE = 5
 SKETCH = 32
@@ -73,20 +72,27 @@ def sketches(docs: DataFrame) -> DataFrame:
                 low.append(np.sort(s[:SKETCH].view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(low, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id bigint, set_key binary, n_shingles bigint, sketch array<bigint>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(work), "doc_id bigint, set_key binary, n_shingles bigint, sketch array<bigint>")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_key, items) of the wanted representatives (rep, set_key): their texts are read again, no others shipped."""
+    """(set_key, items) of the wanted classes (doc_id, set_key): their texts are read again, no others shipped."""
     schema = pa.schema([("set_key", pa.binary()), ("items", pa.binary())])
 
     def work(batches):
         for b in batches:
+            sets = [(_key(s) if len(s) else None, k, s) for k, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist()), strict=True)]
             # an id may stand for several texts: only the one with the wanted set counts
-            sets = [(k, s) for k, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist()), strict=True) if _key(s) == k]
+            sets = [(k, s) for k, want, s in sets if k is not None and want in (None, k)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], pa.binary()), pa.array([s.tobytes() for _, s in sets], pa.binary())], schema=schema)
 
-    return docs.join(bounded(wanted.select("doc_id", "set_key"), 40), "doc_id").select("set_key", "text").mapInArrow(work, "set_key binary, items binary")
+    read = lambda df: df.select("set_key", "text").mapInArrow(lean(work), "set_key binary, items binary")
+    out = read(docs.join(bounded(wanted.where("doc_id IS NOT NULL").select("doc_id", "set_key"), 40), "doc_id"))
+    # a class without any id is read by its set alone
+    lost = wanted.where("doc_id IS NULL").select("set_key")
+    if lost.limit(1).count():
+        out = out.unionByName(read(docs.where("doc_id IS NULL").withColumn("set_key", F.lit(None).cast("binary"))).join(bounded(lost, 32), "set_key", "left_semi"))
+    return out.dropDuplicates(["set_key"])
 
 
 def candidates(reps: DataFrame) -> DataFrame:
@@ -156,30 +162,55 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     return out
 
 
-def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+def compare(table: pa.Table) -> pa.Table:
     """Confirmed links within block 'b', or between blocks 'l' and 'r', as stars (u, v); v is its component's smallest key."""
-    keys, sets = list(pdf["set_key"]), [np.frombuffer(x, np.uint64) for x in pdf["items"]]
-    side = pdf["side"].to_numpy()
+    keys, sets = table["set_key"].to_pylist(), [np.frombuffer(x.as_buffer(), np.uint64) for x in table["items"]]
+    side = np.array(table["side"].to_pylist())
     left = np.flatnonzero(side != "r")
     right = np.flatnonzero(side != "l")
     n = np.array([len(s) for s in sets], np.int64)
     both = _overlaps(sets, left, right).astype(np.int64)
     yes = 100 * both >= 75 * (n[left][:, None] + n[right][None, :] - both)
     yes &= left[:, None] != right[None, :]
-    out = pd.DataFrame(_stars(np.argwhere(yes), left, right, keys), columns=["u", "v"])
-    out["single"] = bool(pdf["single"].iloc[0])
-    return out
+    stars = _stars(np.argwhere(yes), left, right, keys)
+    if len(sets) >= BLOCK:
+        free()
+    return pa.table({"u": pa.array([u for u, _ in stars], pa.binary()), "v": pa.array([v for _, v in stars], pa.binary()), "single": pa.array([table["single"][0].as_py()] * len(stars), pa.bool_())})
+
+
+def _compared(sides: DataFrame) -> DataFrame:
+    """Links of sides (group, b1, b2, single, side, set_key, items)."""
+    return sides.select("group", "b1", "b2", "single", "side", "set_key", "items").groupBy("group", "b1", "b2").applyInArrow(compare, "u binary, v binary, single boolean")
+
+
+def _against_hubs(rows: DataFrame) -> DataFrame:
+    """Links of small groups' only block, and in large groups of the middle block (the hub) with every block and itself.
+
+    A hub's rows are dealt out before they are copied, so that no task writes all copies of a hub.
+    """
+    rows = rows.withColumn("b1", F.floor(F.col("last") / 2).cast("int")).withColumn("single", F.col("last") == 0)
+    small = rows.where("single").select("*", F.col("block").alias("b2"), F.lit("b").alias("side"))
+    hubs = rows.where("NOT single AND block = b1").repartition(deal(rows.sparkSession), "set_key").select("*", F.explode(F.sequence(F.lit(0), "last")).alias("b2"))
+    hubs = hubs.withColumn("side", F.when(F.col("b2") == F.col("b1"), "b").otherwise("l"))
+    others = rows.where("NOT single AND block <> b1").select("*", F.col("block").alias("b2"), F.lit("r").alias("side"))
+    return _compared(small.unionByName(hubs).unionByName(others))
+
+
+#: Tasks that share the copies of one block's rows.
+SALTS = 16
 
 
 def _block_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links of the block pairs (group, b1, b2, single) over rows (group, block, set_key, items)."""
-    one = pairs.select("group", "b1", "b2", "single")
-    sides = one.select("group", "b1", "b2", "single", F.col("b1").alias("block"), F.when(F.col("b1") == F.col("b2"), "b").otherwise("l").alias("side")).unionByName(one.where("b1 <> b2").select("group", "b1", "b2", "single", F.col("b2").alias("block"), F.lit("r").alias("side")))
-    return rows.join(sides, ["group", "block"]).select("group", "b1", "b2", "single", "side", "set_key", "items").groupBy("group", "b1", "b2").applyInPandas(compare, "u binary, v binary, single boolean")
+    """Links of the block pairs (group, b1, b2) over rows (group, block, set_key, items)."""
+    sides = pairs.select("group", "b1", "b2", F.col("b1").alias("block"), F.when(F.col("b1") == F.col("b2"), "b").otherwise("l").alias("side"))
+    sides = sides.unionByName(pairs.where("b1 <> b2").select("group", "b1", "b2", F.col("b2").alias("block"), F.lit("r").alias("side")))
+    sides = sides.select("*", F.lit(False).alias("single"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("set_key"), F.lit(SALTS)).cast("int"))
+    return _compared(salted.join(sides.hint("shuffle_hash"), ["group", "block", "salt"]))
 
 
 def _blocked(members: DataFrame, order: list) -> DataFrame:
-    """members with block: at most BLOCK rows of a group each, in the given order, counted over range partitions.
+    """members with block and last, their group's last block: at most BLOCK rows of a group each, in the given order.
 
     No group meets in one task: rows are ranked within range partitions, whose short list of sizes gives the offsets.
     """
@@ -187,75 +218,98 @@ def _blocked(members: DataFrame, order: list) -> DataFrame:
     spread = written(spread, "blocked")
     rank = F.row_number().over(Window.partitionBy("part", "group").orderBy(*order)) - 1
     sizes = spread.groupBy("group", "part").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return spread.withColumn("rank", rank).join(sizes.select("group", "part", "base"), ["group", "part"]).withColumn("block", F.floor((F.col("rank") + F.col("base")) / BLOCK).cast("int")).drop("rank", "base", "part")
-
+    whole = Window.partitionBy("group")
+    sizes = sizes.withColumn("base", F.coalesce(F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sizes = sizes.withColumn("last", F.floor((F.sum("n").over(whole) - 1) / BLOCK).cast("int"))
+    placed = spread.withColumn("rank", rank).join(sizes.select("group", "part", "base", "last"), ["group", "part"])
+    out = written(placed.withColumn("block", F.floor((F.col("rank") + F.col("base")) / BLOCK).cast("int")).drop("rank", "base", "part"), "rows")
+    spent(spread)
+    return out
 
-def _block_facts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("group", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"), F.min("label").alias("first_label"), F.max("label").alias("last_label"))
 
+def _again(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Links of those block pairs of large groups that the links so far do not show to be one component already."""
+    found = written(components(links).select(F.col("node").alias("set_key"), F.col("label").alias("found")), "found")
+    again = rows.where("last > 0").join(found, "set_key", "left").withColumn("label", F.coalesce("found", "set_key")).drop("found", "block", "last")
+    # the largest component comes first, so that its blocks hold nothing else
+    largest = again.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    again = again.join(bounded(largest, 64), "group").withColumn("rest", F.col("label") != F.col("largest")).drop("largest")
+    again = _blocked(again, ["rest", "label", "n_shingles", "set_key"])
+    facts = again.groupBy("group", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"), F.min("label").alias("first_label"), F.max("label").alias("last_label"))
+    a, b = facts.alias("a"), facts.alias("b")
+    same = (F.col("a.first_label") == F.col("a.last_label")) & (F.col("a.first_label") == F.col("b.first_label")) & (F.col("a.first_label") == F.col("b.last_label"))
+    fits = (F.col("a.hi") * 4 >= F.col("b.lo") * 3) & (F.col("b.hi") * 4 >= F.col("a.lo") * 3)
+    more = a.join(b, (F.col("a.group") == F.col("b.group")) & (F.col("a.block") <= F.col("b.block")) & ~same & fits).select(F.col("a.group").alias("group"), F.col("a.block").alias("b1"), F.col("b.block").alias("b2"))
+    out = written(_block_pairs(again, more), "links")
+    spent(found, again)
+    return out
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row; linked: 100 * intersection >= 75 * union.
 
-    component_id is the smallest doc_id reachable by links, itself included; kept: it is the row's own. Null and empty
-    texts have no shingles, component_id = doc_id, and are kept. Rows with a null doc_id take part, but give no id: they
-    are kept only if their whole component has none. Repeated rows are one class and share its id, so all are kept where
-    the id is theirs. Other columns are ignored; an empty table gives no rows.
-    """
+def _classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, set_key, n_shingles, component, component_id) of every row; component: its set's component, by set_key."""
+    docs = batched(docs).select(F.col("doc_id").cast("long"), "text")
     base = written(sketches(docs), "sketches")
     reps = base.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     reps = written(reps, "classes")
     groups = written(components(candidates(reps)).select(F.col("node").alias("set_key"), F.col("label").alias("group")), "groups")
-    members = groups.join(reps.select("set_key", "doc_id", "n_shingles"), "set_key").withColumn("label", F.col("set_key"))
-    # a class without any id is read by its set alone; rows find their class by id and key
-    with_id, without = members.where("doc_id IS NOT NULL"), members.where("doc_id IS NULL")
-    sets = _sets_of(docs, with_id)
-    if without.limit(1).count():
-        keyed = sketches(docs.where("doc_id IS NULL").select(F.monotonically_increasing_id().alias("doc_id"), "text"))
-        lost = docs.where("doc_id IS NULL").select(F.monotonically_increasing_id().alias("doc_id"), "text")
-        sets = sets.unionByName(_sets_of(lost, keyed.join(without.select("set_key"), "set_key")))
-    sets = sets.dropDuplicates(["set_key"])
-    rows = written(_blocked(members.join(sets, "set_key"), ["n_shingles", "set_key"]), "rows")
-
-    facts = _block_facts(rows)
-    last = facts.groupBy("group").agg(F.max("block").alias("last"))
-    # small groups: one block against itself; large ones: the middle block against every block, itself included
-    first = last.select("group", F.explode(F.sequence(F.lit(0), "last")).alias("b2"), F.floor(F.col("last") / 2).cast("int").alias("b1"), (F.col("last") == 0).alias("single"))
-    links = written(_block_pairs(rows, first), "links")
+    members = groups.join(reps.select("set_key", "doc_id", "n_shingles"), "set_key")
+    rows = _blocked(members.join(_sets_of(docs, members), "set_key").drop("doc_id"), ["n_shingles", "set_key"])
+    links = written(_against_hubs(rows), "links")
     # a group of one block has its components already
     done = links.where("single").select(F.col("u").alias("set_key"), F.col("v").alias("component"))
     labels = done.unionByName(done.select(F.col("component").alias("set_key"), "component").distinct())
-    links = links.where("NOT single")
-    large = last.where("last > 0").select("group")
-    if large.limit(1).count():
-        found = written(components(links).select(F.col("node").alias("set_key"), F.col("label").alias("found")), "found")
-        again = rows.join(large, "group").join(found, "set_key", "left").withColumn("label", F.coalesce("found", "set_key")).drop("found", "block")
-        # the largest component comes first, so that its blocks hold nothing else
-        size = again.groupBy("group", "label").agg(F.count("*").alias("n")).withColumn("rest", -F.col("n")).drop("n")
-        again = written(_blocked(again.join(size, ["group", "label"]), ["rest", "label", "n_shingles", "set_key"]), "again")
-        facts = _block_facts(again)
-        a, b = facts.alias("a"), facts.alias("b")
-        same = (F.col("a.first_label") == F.col("a.last_label")) & (F.col("a.first_label") == F.col("b.first_label")) & (F.col("a.first_label") == F.col("b.last_label"))
-        fits = (F.col("a.hi") * 4 >= F.col("b.lo") * 3) & (F.col("b.hi") * 4 >= F.col("a.lo") * 3)
-        more = a.join(b, (F.col("a.group") == F.col("b.group")) & (F.col("a.block") <= F.col("b.block")) & ~same & fits).select(F.col("a.group").alias("group"), F.col("a.block").alias("b1"), F.col("b.block").alias("b2"), F.lit(False).alias("single"))
-        links = links.unionByName(_block_pairs(again.drop("rest"), more))
-        labels = labels.unionByName(components(links).withColumnsRenamed({"node": "set_key", "label": "component"}))
+    used = [reps, groups, rows, links]
+    if rows.where("last > 0").limit(1).count():
+        rest = links.where("NOT single")
+        more = _again(rows, rest)
+        used.append(more)
+        labels = labels.unionByName(components(rest.unionByName(more)).withColumnsRenamed({"node": "set_key", "label": "component"}))
     known = written(reps.select("set_key", "doc_id").join(labels, "set_key", "left").withColumn("component", F.coalesce("component", "set_key")), "known")
+    spent(*used)
     least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    final = known.join(least, "component").select("set_key", "component_id")
+    final = known.join(least, "component").select("set_key", "component", "component_id")
     out = base.join(final, "set_key", "left").withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "set_key", "n_shingles", "component", "component_id")
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; linked: 100 * intersection >= 75 * union.
+
+    component_id is the smallest doc_id reachable by links, itself included; kept: it is the row's own. Null and empty
+    texts have no shingles, component_id = doc_id, and are kept. Rows with a null doc_id take part, but give no id: they
+    are kept only if their whole component has none. Repeated rows are one class and share its id, so all are kept where
+    the id is theirs. Other columns are ignored; an empty table gives no rows.
+    """
+    return _classes(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _key_of():
+    """A column function from texts to their sets' keys."""
+
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def work(parts):
+            for texts in parts:
+                yield pa.array([_key(s) if len(s) else None for s in shingle_sets((v.as_py() for v in texts))], pa.binary())
+
+        yield from lean(work)(batches)
+
+    return F.arrow_udf(each, "binary")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs' rows, all columns, without the duplicates: each component's row with the smallest id stays, once.
+    """docs' rows, all columns, without the duplicates: of each component one row with the smallest id stays.
 
-    Rows with a null id name no group and stay.
+    Rows with a null id name no group and stay. An id may stand for several texts: each is judged by its own set, and of
+    the rows of an id that belong to one component the one with the smallest set and text stays.
     """
-    found = written(dedup(docs).where("doc_id IS NOT NULL"), "found")
-    out = docs.join(bounded(found.where("NOT kept").select("doc_id").distinct(), 16), "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-        out = out.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(out.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    found = written(_classes(docs).where("doc_id IS NOT NULL"), "found")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"))
+    several = ids.where("n > 1").select("doc_id")
+    out = docs.join(bounded(ids.where("n > 1 OR stays = 0").select("doc_id"), 16), "doc_id", "left_anti").select(*docs.columns)
+    if several.limit(1).count():
+        kept = found.join(several, "doc_id", "left_semi").where("doc_id = component_id").groupBy("doc_id", "component").agg(F.min("set_key").alias("set_key"))
+        keys = kept.select(F.struct("doc_id", "set_key").alias("key"))
+        rows = docs.join(several, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), F.col("text").alias("_text"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), _key_of()("text").alias("set_key")).alias("key"))
+        rows = rows.join(keys, rows["key"].eqNullSafe(keys["key"]), "left_semi")
+        out = out.unionByName(rows.groupBy("key").agg(F.min_by("row", F.struct(F.col("_text").isNotNull(), "_text")).alias("row")).select("row.*"))
     return out
