@@ -37,17 +37,16 @@ def js_distance(p: str, q: str) -> str:
 def repeats(df: DataFrame) -> DataFrame:
     """df (with words and n_words) with n_repeat_words: words in 3-word windows that the text holds twice or more.
 
-    Windows are compared by 64-bit hashes; where a text has equal ones, hash and place share a long (the place takes as
-    many bits as the number of words needs), are sorted once, and equal neighbours mark their windows.
+    Windows are compared by whole 64-bit hashes, whatever the text's length: where a text has equal ones, (hash, place)
+    is sorted once, and equal neighbours mark their windows.
     """
     df = df.withColumn("w", F.expr("transform(words, x -> xxhash64(x))"))
     df = df.withColumn("g", F.expr("CASE WHEN n_words >= 3 THEN transform(slice(w, 1, cast(n_words - 2 AS int)), (h, i) -> xxhash64(h, w[i + 1], w[i + 2])) ELSE array() END"))
-    df = df.withColumn("b", F.expr("CASE WHEN size(array_distinct(g)) < size(g) THEN cast(length(bin(n_words)) AS int) END"))
-    df = df.withColumn("s", F.expr("CASE WHEN b IS NOT NULL THEN array_sort(transform(g, (h, i) -> shiftleft(h, b) | cast(i AS bigint))) END"))
-    same = "shiftright(x, b) = shiftright(get(s, {}), b)"
-    df = df.withColumn("d", F.expr(f"CASE WHEN s IS NOT NULL THEN array_sort(transform(filter(s, (x, i) -> coalesce({same.format('i - 1')}, false) OR coalesce({same.format('i + 1')}, false)), x -> x & (shiftleft(1L, b) - 1))) END"))
+    df = df.withColumn("s", F.expr("CASE WHEN size(array_distinct(g)) < size(g) THEN sort_array(transform(g, (h, i) -> struct(h, cast(i AS bigint) AS i))) END"))
+    same = "x.h = get(s, {}).h"
+    df = df.withColumn("d", F.expr(f"sort_array(transform(filter(s, (x, i) -> coalesce({same.format('i - 1')}, false) OR coalesce({same.format('i + 1')}, false)), x -> x.i))"))
     covered = "aggregate(transform(d, (x, i) -> least(3L, coalesce(get(d, i + 1) - x, 3L))), 0L, (s, x) -> s + x)"
-    return df.withColumn("n_repeat_words", F.expr(f"coalesce({covered}, 0L)")).drop("w", "g", "b", "s", "d")
+    return df.withColumn("n_repeat_words", F.expr(f"coalesce({covered}, 0L)")).drop("w", "g", "s", "d")
 
 
 def judge(docs: DataFrame) -> DataFrame:
