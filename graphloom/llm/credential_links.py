@@ -2,8 +2,9 @@
 
 Strong candidates (a secret assigned to a telling name, a cloud access key, a long hex string) are reported alone. Weak
 ones (a login, a token that only looks random, an endpoint) are parts: each is reported only if a complementary part lies
-in its scope, the SCOPE characters before and after it. Which parts' scopes meet is found by an interval join in as-of
-form: ordered by place, a part needs only the nearest part of each role before and after it, so no pairs are made.
+in its scope, the SCOPE characters before and after it, without overlapping it. Which parts' scopes meet is found by an
+interval join in as-of form: ordered by place, a part needs only the nearest part of each role before and after it, so no
+pairs are made.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ KINDS = [
     ("assign", "secret", ASSIGN, f"length(regexp_extract(m, {_sql(ASSIGN)}, 1)) >= 12"),
     ("access", "id", r"AKIA[A-Z0-9]+", "length(m) >= 18"),
     ("hex", "secret", r"[0-9a-f]{16,}", "true"),
-    ("login", "id", r"""(?i)(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64}+""", "true"),
-    ("token", "secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,200}+(?![A-Za-z0-9+/_=-])", "m RLIKE '[0-9]' AND m RLIKE '[a-z]' AND m RLIKE '[A-Z]'"),
+    ("login", "id", r"""(?i)(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}+""", "true"),
+    ("token", "secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+(?![A-Za-z0-9+/_=-])", "m RLIKE '[0-9]' AND m RLIKE '[a-z]' AND m RLIKE '[A-Z]'"),
     ("endpoint", "place", r"""(?i)(?<![A-Za-z0-9])(?:https?|ftp|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]+""", "true"),
 ]
 BASE = 3
@@ -59,17 +60,20 @@ def scan(docs: DataFrame) -> DataFrame:
     for k, (_, r, _, _) in enumerate(KINDS):
         role = F.when(F.col("kind") == k, F.lit(r)).otherwise(role)
     df = df.withColumn("role", F.when(F.col("ok"), role))
-    before = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(1, Window.unboundedFollowing)
-    near = F.lit(False)
+    # each part as its two ends in order of place, an end before a start at the same place: the last end of a role before
+    # a part's start, and the first start after its end, are of the nearest parts that don't overlap it
+    ends = F.array(F.struct(F.col("end").alias("at"), F.lit(0).alias("opens")), F.struct(F.col("start").alias("at"), F.lit(1).alias("opens")))
+    points = df.withColumn("point", F.explode(ends)).select("row", "doc_id", "kind", "n", "start", "end", "ok", "role", "point.*")
+    order = Window.partitionBy("row").orderBy("at", "opens")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    meets = {}
     for r in ("id", "secret", "place"):
-        ends, starts = F.max(F.when(F.col("role") == r, F.col("end"))).over(before), F.min(F.when(F.col("role") == r, F.col("start"))).over(after)
-        meets = F.coalesce(F.col("start") - ends <= SCOPE, F.lit(False)) | F.coalesce(starts - F.col("end") <= SCOPE, F.lit(False))
-        near = near | (meets & (F.col("role") != r))
+        last, first = F.max(F.when((F.col("role") == r) & (F.col("opens") == 0), F.col("at"))).over(before), F.min(F.when((F.col("role") == r) & (F.col("opens") == 1), F.col("at"))).over(after)
+        meets[f"near_{r}"] = F.coalesce(F.when(F.col("opens") == 1, F.col("at") - last <= SCOPE).otherwise(first - F.col("at") <= SCOPE), F.lit(False))
+    df = points.withColumns(meets).groupBy("row", "doc_id", "kind", "n", "start", "end", "ok", "role").agg(*[F.max(c).alias(c) for c in meets])
     # an endpoint and a login without any secret are no credential
-    secret = F.coalesce(F.col("start") - F.max(F.when(F.col("role") == "secret", F.col("end"))).over(before) <= SCOPE, F.lit(False)) | F.coalesce(F.min(F.when(F.col("role") == "secret", F.col("start"))).over(after) - F.col("end") <= SCOPE, F.lit(False))
-    df = df.withColumn("linked", near & ((F.col("role") == "secret") | secret))
-    shown = F.col("ok") & ((F.col("kind") < BASE) | F.col("linked"))
+    df = df.withColumn("linked", F.when(F.col("role") == "secret", F.col("near_id") | F.col("near_place")).otherwise(F.col("near_secret")))
+    shown = F.col("ok") & ((F.col("kind") < BASE) | F.coalesce("linked", F.lit(False)))
     name = F.element_at(F.array(*[F.lit(k[0]) for k in KINDS]), F.col("kind") + 1)
     span = F.struct("start", "kind", F.concat_ws(":", name, "start", "end").alias("said"))
     count = lambda k: F.count(F.when(F.col("ok") & (F.col("kind") == k), 1))
