@@ -2,8 +2,9 @@
 
 All rolling word pairs of a text are hashed and joined to the templates' pairs. A hit votes for the diagonal (place in the
 text - place in the template) on which template and text run side by side; the words themselves are compared at every
-hit, so votes hold no hash collisions. Neighbouring diagonals, between which words were put in or left out, are merged,
-and a merged span counts if it covers enough of its template in about the template's length.
+hit, so votes hold no hash collisions. Neighbouring diagonals, between which words were put in or left out, are merged
+where text and template both go on; a merged span thus shows every place of its template once and in order, and counts
+if it covers enough of them in about the template's length.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tup
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row.
 
     n_base counts the places of all phrases; first_word and last_word are the smallest and largest of their first words.
-    labels adds those of templates found; score is the best cover found, 1 for a phrase. Null and empty texts have no
+    labels adds those of templates found; score is the best share of a template's places found, 1 for a phrase. Null and empty texts have no
     words and no labels. Rows are told apart by a number of their own, so repeated rows and null ids are reported each.
     Other columns are ignored; an empty table gives no rows.
     """
@@ -79,12 +80,16 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tup
     # diagonals with too few votes stay as rows without a template, so that every document keeps a row
     enough = F.when(F.col("is_base"), F.col("votes") == F.col("length")).otherwise(F.col("votes") >= F.least(F.lit(LEAST_VOTES), "length"))
     votes = votes.withColumns({c: F.when(enough, F.col(c)) for c in ("template", "label", "is_base", "length", "diagonal")})
-    # a phrase's place is one diagonal; a longer template's neighbouring diagonals become one span
+    # a phrase's place is one diagonal; a longer template's neighbouring diagonals become one span as long as each begins
+    # behind the one before, in the text and in the template
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce("is_base", F.lit(True)) | (F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT)
-    votes = votes.withColumn("new", F.when(apart, 1).otherwise(0)).withColumn("span", F.sum("new").over(order))
-    spans = votes.groupBy("row", "doc_id", "n_words", "template", "label", "is_base", "length", "span").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("first"))
-    cover = F.least(F.lit(1.0), F.col("votes") / F.col("length"))
+    votes = votes.withColumn("near", F.sum(F.when(apart, 1).otherwise(0)).over(order))
+    along = Window.partitionBy("row", "template", "near").orderBy("lo", "diagonal")
+    back = (F.col("lo") <= F.lag("hi").over(along)) | (F.col("lo") - F.col("diagonal") <= F.lag(F.col("hi") - F.col("diagonal")).over(along))
+    votes = votes.withColumn("span", F.sum(F.when(F.coalesce(back, F.lit(True)), 1).otherwise(0)).over(along))
+    spans = votes.groupBy("row", "doc_id", "n_words", "template", "label", "is_base", "length", "near", "span").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("first"))
+    cover = F.col("votes") / F.col("length")
     good = F.col("is_base") | ((cover >= F.when(F.col("length") < SHORT, 1.0).otherwise(COVER)) & (F.col("hi") - F.col("lo") + 1 <= 2 * F.col("length")))
     spans = spans.withColumn("cover", F.when(good, cover)).withColumn("base_at", F.when(F.col("is_base"), F.col("first").cast("long")))
     out = spans.groupBy("row", "doc_id", "n_words").agg(

@@ -34,8 +34,8 @@ f AS (SELECT *, (SELECT x.level FROM v x WHERE x.cap >= x.level * x.w ORDER BY x
 t AS (SELECT source, source_size, CASE WHEN fill IS NULL THEN cap ELSE least(cap, fill * w) END AS target FROM f),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 c AS (SELECT d.doc_id, d.size, p.source_size, p.target, whole, target - whole * p.source_size AS left_,
-  sum(size) OVER (PARTITION BY d.source ORDER BY bits) AS upto, sum(size) OVER (PARTITION BY d.source, bits) AS tie FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target, (least(whole + CASE WHEN left_ > 0 AND (upto <= left_ OR (upto - tie <= left_ AND (left_ - (upto - tie)) * 2 > tie)) THEN 1 ELSE 0 END, 2) * size)::BIGINT AS taken FROM c"""
+  sum(size) OVER (PARTITION BY d.source ORDER BY bits) AS upto, sum(size) OVER (PARTITION BY d.source, bits) AS tie, count(*) OVER (PARTITION BY d.source, bits) AS tied, row_number() OVER (PARTITION BY d.source, bits) AS place FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, (least(whole + CASE WHEN left_ > 0 AND (upto <= left_ OR (upto - tie <= left_ AND place <= ceil(round((left_ - (upto - tie)) * tied / tie - 0.5, 6)))) THEN 1 ELSE 0 END, 2) * size)::BIGINT AS taken FROM c"""
 
 
 def divergence_rules() -> str:
@@ -68,7 +68,7 @@ h AS (SELECT *, {by_language(lambda k: f"far_{k}")} AS far, CASE WHEN n_words >
 j AS (SELECT *, list_append(found, 1 - list_sum(found)) AS seen FROM h),
 k AS (SELECT *, CASE WHEN n_chars >= {MIN_CHARS} THEN far END AS char_distance, CASE WHEN n_words >= {MIN_WORDS} THEN {distance('seen', 'expected')} END AS word_distance, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)
 SELECT doc_id, n_words, (n_chars - blank)::BIGINT AS word_chars, symbol::BIGINT AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(char_distance, 0) <= {MAX_CHARS} AND coalesce(word_distance, 0) <= {MAX_WORDS} AS kept, language, round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance FROM k""".replace(f"", "")
+  NOT base_failed AND coalesce(char_distance, 0) <= {MAX_CHARS} AND coalesce(word_distance, 0) <= {MAX_WORDS} AS kept, language, round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance FROM k"""
 
 
 def license_scan() -> str:
@@ -81,8 +81,9 @@ a AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_ASCII_LOW
 x AS (SELECT row, w, unnest(range(0, len(w) - 1)) AS pos FROM a WHERE len(w) > 1),
 v AS (SELECT row, template, label, is_base, length, pos - place AS diagonal, count(*) AS votes, min(pos) AS lo, max(pos) AS hi FROM x JOIN p ON w[pos + 1] = w1 AND w[pos + 2] = w2 GROUP BY row, template, label, is_base, length, pos - place
   HAVING CASE WHEN is_base THEN count(*) = length ELSE count(*) >= least({LEAST_VOTES}, length) END),
-m AS (SELECT *, sum(new) OVER (PARTITION BY row, template ORDER BY diagonal) AS span FROM (SELECT *, CASE WHEN is_base OR diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) > {DRIFT} THEN 1 ELSE 0 END AS new FROM v)),
-s AS (SELECT row, template, label, is_base, length, span, least(1.0::DOUBLE, sum(votes)::DOUBLE / length) AS cover, min(lo) AS lo, max(hi) AS hi, min(diagonal) AS first FROM m GROUP BY row, template, label, is_base, length, span),
+m AS (SELECT *, sum(new) OVER (PARTITION BY row, template ORDER BY diagonal) AS near FROM (SELECT *, CASE WHEN is_base OR diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) > {DRIFT} THEN 1 ELSE 0 END AS new FROM v)),
+b AS (SELECT *, sum(back) OVER (PARTITION BY row, template, near ORDER BY lo, diagonal) AS span FROM (SELECT *, CASE WHEN lo > lag(hi) OVER o AND lo - diagonal > lag(hi - diagonal) OVER o THEN 0 ELSE 1 END AS back FROM m WINDOW o AS (PARTITION BY row, template, near ORDER BY lo, diagonal))),
+s AS (SELECT row, template, label, is_base, length, near, span, sum(votes)::DOUBLE / length AS cover, min(lo) AS lo, max(hi) AS hi, min(diagonal) AS first FROM b GROUP BY row, template, label, is_base, length, near, span),
 g AS (SELECT *, is_base OR (cover >= CASE WHEN length < {SHORT} THEN 1.0 ELSE {COVER} END AND hi - lo + 1 <= 2 * length) AS good FROM s)
 SELECT doc_id, len(w)::BIGINT AS n_words, count(*) FILTER (is_base) AS n_base, min(first) FILTER (is_base) AS first_word, max(first) FILTER (is_base) AS last_word,
   coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (is_base)), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (good)), ','), '') AS labels, coalesce(max(cover) FILTER (good), 0) AS score
