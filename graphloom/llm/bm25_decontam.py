@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded, chunks, mix, word_hashes, written
+from .shared import batched, bounded, chunks, lean, mix, word_hashes, written
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -60,22 +60,35 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(words[: (len(words) + 1) // 2]), " ".join(words[(len(words) + 1) // 2 :])
 
 
+def _hashes(text: str) -> np.ndarray:
+    return word_hashes([text.encode("utf-8", "surrogatepass")], True)[0]
+
+
+def statistics(items: list[tuple[int, str]]) -> tuple[int, float, dict[int, int]]:
+    """(items with words, mean length of a piece, items that hold each term)."""
+    hashed = [h for h in (_hashes(t) for _, t in items) if len(h)]
+    pieces = sum(-(-len(h) // SEGMENT) for h in hashed)
+    return len(hashed), sum(map(len, hashed)) / max(1, pieces), Counter(t for h in hashed for t in set(h.tolist()))
+
+
 class Index:
-    """Pieces' normalised BM25 impacts by term, and the items they are of. Items without words are left out."""
+    """Pieces' normalised BM25 impacts by term, and the items they are of. Items without words are left out.
 
-    def __init__(self, items: list[tuple[int, str]]):
-        hashed = [(i, word_hashes([t.encode("utf-8", "surrogatepass")], True)[0], t) for i, t in items]
+    known: the statistics of all items, of which these may be a part.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], known: tuple[int, float, dict[int, int]] | None = None):
+        hashed = [(i, _hashes(t), t) for i, t in items]
         hashed = [x for x in hashed if len(x[1])]
         self.ids = [x[0] for x in hashed]
         self.lengths = np.array([len(x[1]) for x in hashed], np.int64)
         pieces = [(i, p) for i, (_, h, _) in enumerate(hashed) for p in np.array_split(h, -(-len(h) // SEGMENT))]
         self.item_of = [i for i, _ in pieces]
         lengths = np.array([len(p) for _, p in pieces], np.int64)
-        n = len(self.ids)
+        n, mean, df = known or statistics(items)
+        mean = max(1.0, mean)
         counts = [Counter(p.tolist()) for _, p in pieces]
-        df = Counter(t for _, h, _ in hashed for t in set(h.tolist()))
-        mean = max(1.0, float(lengths.mean())) if n else 1.0
-        terms = sorted(df)
+        terms = sorted({t for c in counts for t in c})
         self.terms = np.array(terms, np.uint64)
         number = {t: k for k, t in enumerate(terms)}
         idf = np.array([np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in terms])
@@ -106,7 +119,7 @@ class Index:
         self.bits = bits
         self.parts = []
         for _, _, t in hashed:
-            q, a = (_grams(word_hashes([x.encode("utf-8", "surrogatepass")], True)[0]) for x in split_item(t))
+            q, a = (_grams(_hashes(x)) for x in split_item(t))
             self.parts.append((np.unique(q), np.unique(a)))
 
     def numbers(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,13 +203,16 @@ class Index:
         key = np.repeat(seg, n) * np.int64(len(self.item_of)) + self.heavy_item[from_]
         pair, place = np.unique(key, return_inverse=True)
         part = np.bincount(place, self.heavy_impact[from_], len(pair))
-        # a passage sums its two segments
-        nxt = np.searchsorted(pair, pair + len(self.item_of))
-        nxt[nxt == len(pair)] = 0
-        bound = part + np.where(pair[nxt] == pair + len(self.item_of), part[nxt], 0.0)
-        # a passage whose terms for the item all stand in its second segment is found from the next passage
-        seg_of, piece_of = pair // len(self.item_of), pair % len(self.item_of)
-        live = np.unique(seg_of[bound + self.light[piece_of] >= THRESHOLD - 1e-9])
+        # a passage sums its two segments; its heavy terms may all stand in the second one
+        pieces = len(self.item_of)
+        inner = ~np.isin(pair // pieces, base)
+        passage = np.union1d(pair, pair[inner] - pieces)
+        bound = self.light[passage % pieces]
+        for side in (passage, passage + pieces):
+            k = np.searchsorted(pair, side)
+            k[k == len(pair)] = 0
+            bound = bound + np.where(pair[k] == side, part[k], 0.0) if len(pair) else bound
+        live = np.unique(passage[bound >= THRESHOLD - 1e-9] // pieces)
         lo, hi = np.searchsorted(seg, live), np.searchsorted(seg, live + 2)
         mid = np.searchsorted(seg, live + 1)
         owner = np.searchsorted(base, live, "right") - 1
@@ -235,6 +251,30 @@ def _search(index: Index):
     return work
 
 
+_FOUND = "doc_id bigint, item_id bigint, passage_start bigint, score double, question_overlap double, answer_overlap double"
+
+
+def _terms(items: DataFrame) -> DataFrame:
+    """(term, words) of each item with words: its distinct terms; its number of words stands with the first of them."""
+
+    def work(batches):
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                h = _hashes(t)
+                u = np.unique(h)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.where(np.arange(len(u)) == 0, len(h), 0))], names=["term", "words"])
+
+    return items.select("text").mapInArrow(lean(work), "term bigint, words bigint")
+
+
+def _all_statistics(items: DataFrame) -> tuple[tuple[int, float], DataFrame]:
+    """What statistics() gives, of a table of items: the numbers, and a table (term, df)."""
+    terms = _terms(items)
+    r = terms.where("words > 0").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.sum(F.ceil(F.col("words") / SEGMENT)).alias("pieces")).first()
+    df = written(terms.groupBy("term").agg(F.count("*").alias("df")), "df")
+    return (r["n"], (r["words"] or 0) / max(1, r["pieces"] or 0)), df
+
+
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, passage_start, score, question_overlap, answer_overlap): every document and test item in it.
 
@@ -244,24 +284,32 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     case. Null and empty texts, on either side, hold and match nothing; rows with a null id report it as null; repeated
     rows are reported each. Other columns are ignored; no items or no documents give no rows.
 
-    The items are dealt by hash into parts of at most about INDEX_BYTES; each part is indexed on the driver, shipped to
-    the workers and run over all documents, so nothing that is shipped grows with either table.
+    The items are dealt by hash into parts of at most about INDEX_BYTES. A part is indexed on the driver with the
+    statistics of all items, shipped to the workers and run over all documents; where there are several, each part's
+    rows are written before the next one is built, so the driver never holds more than one.
     """
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = -(-size // INDEX_BYTES)
-    out = None
+    docs = batched(docs).select(F.col("doc_id").cast("long"), "text")
+    out, known = None, None
+    if parts > 1:
+        items = written(items.distinct(), "items")
+        total, terms = _all_statistics(items)
     for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).distinct().collect()
-        index = Index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).distinct()
+        rows = sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        if parts > 1:
+            df = terms.join(bounded(_terms(part).select("term").distinct(), 16), "term").collect()
+            known = (*total, {r["term"] & (1 << 64) - 1: r["df"] for r in df})
+        index = Index(rows, known)
         if not index.ids:
             continue
-        one = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_search(index), "doc_id bigint, item_id bigint, passage_start bigint, score double, question_overlap double, answer_overlap double")
+        one = docs.mapInArrow(lean(_search(index)), _FOUND)
+        one = written(one, "found") if parts > 1 else one
         out = one if out is None else out.unionByName(one)
-    if out is None:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, passage_start bigint, score double, question_overlap double, answer_overlap double")
-    return out
+    return spark.createDataFrame([], _FOUND) if out is None else out
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
