@@ -45,6 +45,14 @@ def test_divergence_base(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_repeats_in_a_long_text(spark):
+    w = [f"w{i}" for i in range(300_000)]
+    w[1000:1003] = w[200_000:203_000:1000] = ["a", "b", "c"]
+    w[250_000:250_003] = ["a", "b", "c"]
+    r = divergence_rules.judge(spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string")).first()
+    assert (r["n_words"], r["n_repeat_words"]) == (300_000, 6)
+
+
 def test_divergence_keeps_prose_and_drops_shouting(spark):
     import random
 
@@ -84,23 +92,47 @@ def test_licence_with_words_put_in(spark):
     assert r["labels"] == "mit" and r["n_base"] == 0 and 0.6 <= r["score"] < 1
 
 
+def test_licence_places_count_once_and_in_order(spark):
+    bsd = next(t for v, t in license_diagonals.TEMPLATES if v == "bsd")
+    w = bsd.split()
+    rows = [(1, "redistribution and use in " * 5), (2, "redistribution and use in " * 5 + bsd), (3, " ".join(w[10:] + w[:10])), (4, " ".join(w[12:] + w[6:12] + w[:6])), (5, bsd + " " + bsd)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_diagonals.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("", 0.0) and got[2] == ("bsd", 1.0) and got[5] == ("bsd", 1.0)
+    # parts in another order than the template's are no span together
+    assert got[3][1] < 0.7 and got[4][1] < 0.7
+
+
 def base_spans(t):
     s = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 12]
     s += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
     return sorted(s + [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 16])
 
 
+def all_spans(t):
+    """Every kind's matches, and each weak one that a part of another role meets: all parts against all parts."""
+    parts = []
+    for k, (name, role, pattern, _) in enumerate(credential_links.KINDS):
+        for m in re.finditer(pattern, t, re.A):
+            ok = {"assign": lambda m: len(m[1]) >= 12, "access": lambda m: len(m[0]) >= 18, "token": lambda m: all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))}.get(name, lambda m: True)(m)
+            if ok:
+                parts.append((m.start(), k, m.end(), name, role))
+    gap = lambda x, y: y[0] - x[2] if y[0] >= x[2] else x[0] - y[2]
+    meets = lambda x, roles: any(y[4] in roles and 0 <= gap(x, y) <= credential_links.SCOPE for y in parts)
+    wanted = {"id": ("secret",), "place": ("secret",), "secret": ("id", "place")}
+    return sorted((p for p in parts if p[1] < credential_links.BASE or meets(p, wanted[p[4]])), key=lambda p: p[:2])
+
+
 def check_spans(rows, got):
     by = {}
     for r in got:
         by.setdefault(r["doc_id"], []).append(r)
     assert sum(map(len, by.values())) == len(rows)
     for i, t, *_ in rows:
-        s = base_spans(t or "")
+        s, every = base_spans(t or ""), all_spans(t or "")
         for r in by[i]:
             assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x[1] == k for x in s) for k in range(3)]
             assert r["base_sha256"] == hashlib.sha256(",".join(x[2] for x in s).encode()).hexdigest()
-            assert {x[2] for x in s} <= set(r["spans"].split(","))
+            assert r["spans"] == ",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in every)
 
 
 def test_secrets(spark):
@@ -112,11 +144,20 @@ def test_secrets(spark):
 
 def test_weak_parts_alone_say_nothing(spark):
     rows = [(1, "user=maria"), (2, "https://a.example.com/ " + "x " * 400 + "Zx9" + "aB3" * 10), (3, "user=maria https://a.example.com/")]
+    # a part is no complement of another that lies on the same characters
+    rows += [(4, "see https://example.org/a/b/Cd3fG7hJk2LmN5pQr8sT"), (5, "client_id: aB3" + "dE5" * 8)]
     assert all(r["spans"] == "" for r in credential_links.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
+def test_long_parts_are_whole(spark):
+    rows = [(1, "user=maria " + "aB3" * 80), (2, "login: " + "m" * 200 + " Zx9" + "aB3" * 3000)]
+    got = credential_links.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_spans(rows, got)
+    assert {r["doc_id"]: r["spans"] for r in got} == {1: "login:0:10,token:11:251", 2: "login:0:207,token:208:9211"}
+
+
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.sampled_from(["token", "SECRET", ":", "= ", '"', "abcdef0123456789", "AKIA", "AKIAABCDEFGH", "ABCDEFGHIJ", "é", " ", "\n", "api_key", "x-y.z", "password=", "\U0001f642"]), max_size=14))
+@given(st.lists(st.sampled_from(["token", "SECRET", ":", "= ", '"', "abcdef0123456789", "AKIA", "AKIAABCDEFGH", "ABCDEFGHIJ", "é", " ", "\n", "api_key", "x-y.z", "password=", "\U0001f642", "user=ann ", "https://h.example/", "aB3dE5gH7jK9mN1pQ3rS5", " " * 290]), max_size=14))
 def test_secret_places(spark, parts):
     rows = [(1, "".join(parts))]
     check_spans(rows, credential_links.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
@@ -156,6 +197,19 @@ def test_mix(spark):
     assert copies.columns == df.columns and sum(len(words(r["text"])) for r in copies.collect()) == sum(taken.values())
 
 
+def test_mix_deals_out_repeated_rows(spark):
+    rows = [(None, "one two three", "a", 0.0, str(i), 0) for i in range(1000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert sum(r["taken"] for r in hash_mix.mix(df).collect()) == 4500
+    assert hash_mix.mixed_documents(df).count() == 1500
+    rows += [(i, "w " * 30, "b", 0.0, "", 0) for i in range(50)] + [(7, "x y", None, 0.0, "", 0)] * 400
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got, sizes = hash_mix.mix(df).collect(), {"a": 3000, "b": 1500, None: 800}
+    for s, want in targets(sizes).items():
+        assert abs(sum(r["taken"] for r in got if r["source"] == s) - want) <= 30
+    assert Counter(len(words(r["text"])) for r in hash_mix.mixed_documents(df).collect()) == Counter(r["size"] for r in got for _ in range(r["taken"] // r["size"]))
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     for f in (divergence_rules.judge, license_diagonals.scan, credential_links.scan, hash_mix.mix, hash_mix.mixed_documents):
