@@ -31,7 +31,7 @@ SKETCH = 32
 #: probability of about 2e-8.
 SHARED = 10
 LIGHT = 48
-BLOCK = 256
+BLOCK = 128
 _FACTORS = [np.uint64(pow(0xC2B2AE3D27D4EB4F, i + 1, 1 << 64)) for i in range(SHINGLE)]
 
 
