@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ LEVEL_BITS, LEVELS = 8, 4
 #: Tokens of a shard at most, unless one document has more.
 SHARD_TOKENS = 1 << 20
 #: Distinct pieces that one Python worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 1_000_000
 
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -132,44 +133,98 @@ class Encoder:
     library) or with a special token's string are encoded whole.
     """
 
+    LETTERS = r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+"
     CUT = r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]++(?=[\x00-\x7F]|\Z)| ?[!-&(-/:-@\[-`{-~]++(?=[\x00-&(-\x7F]|\Z)| ?\S+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str):
         import re
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.cut = re.compile(self.CUT).findall
+        # the same model over words that stand between line breaks, without looking for words in them
+        self.words = Tokenizer.from_file(path)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.cut, self.plain = re.compile(self.CUT).findall, re.compile(self.LETTERS).fullmatch
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.odd = ["\x1c", "\x1d", "\x1e", "\x1f", *special]
         self.line = self.library.encode("\n", add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        black = [x for x in new if not x.isspace()]
-        # a line break is a piece of its own before any other text, so it separates the pieces of one long text
-        ids = np.array(self.library.encode_batch_fast(["\n" + "\n".join(black)], add_special_tokens=False)[0].ids if black else [], np.uint32)
-        at = np.flatnonzero(ids == self.line[0])
-        if black and len(self.line) == 1 and len(at) == len(black):
-            raw, ends = ids.astype("<u4").tobytes(), [*at[1:].tolist(), len(ids)]
-            for x, a, b in zip(black, at.tolist(), ends, strict=True):
-                self.known[x] = raw[4 * a + 4 : 4 * b]
-            new = [x for x in new if x.isspace()]
-        for x, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[x] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian uint32."""
+        self.recent: list[str] = []
+        self._begin()
+
+    def _begin(self) -> None:
+        """known: the number of each piece; its ids are size[number] ids of the pool from first[number] on."""
+        self.known: dict[str, int] = {}
+        self.pool, self.used = np.empty(1 << 16, np.uint32), 0
+        self.first, self.size = np.empty(1 << 15, np.int64), np.empty(1 << 15, np.int64)
+
+    def _forget(self) -> None:
+        """Drops all pieces but those of the last batch, which holds the common ones."""
+        number = np.fromiter(map(self.known.__getitem__, self.recent), np.int64, len(self.recent))
+        ids, sizes = self._ids(number), self.size[number]
+        self._begin()
+        self._add(self.recent, ids, sizes)
+
+    def _ids(self, number: np.ndarray) -> np.ndarray:
+        """The ids of pieces by number, one after the other."""
+        size = self.size[number]
+        ends = np.cumsum(size)
+        return self.pool[np.repeat(self.first[number] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.known), self.used
+        while m + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while n + len(pieces) > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.first, self.size))
+        self.pool[m : m + len(ids)] = ids
+        self.first[n : n + len(pieces)] = m + np.cumsum(sizes) - sizes
+        self.size[n : n + len(pieces)] = sizes
+        self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.used = m + len(ids)
+
+    def _learn(self, new: list[str]) -> np.ndarray:
+        """The numbers of new pieces. Runs of letters are words of their own, which only need to be cut at line breaks."""
+        number = np.empty(len(new), np.int64)
+        kinds: tuple[list[int], ...] = ([], [], [])
+        for i, x in enumerate(new):
+            kinds[0 if self.plain(x) else 2 if x.isspace() else 1].append(i)
+        for kind, library in zip(kinds, (self.words, self.library, None), strict=True):
+            some = [new[i] for i in kind]
+            if not some:
+                continue
+            ids, at = None, np.zeros(0, np.int64)
+            if library is not None:
+                # a line break is a piece of its own before any other text, so it separates the pieces of one long text
+                ids = np.array(library.encode_batch_fast(["\n" + "\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                at = np.flatnonzero(ids == self.line[0])
+            number[kind] = np.arange(len(self.known), len(self.known) + len(some))
+            if len(self.line) == 1 and len(at) == len(some):
+                self._add(some, np.delete(ids, at), np.diff(at, append=len(ids)) - 1)
+            else:
+                each = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+                self._add(some, np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64))
+        return number
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Each text's ids. A batch's pieces are numbered by Arrow, so that only its distinct ones are looked up."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self._forget()
         whole = [t or "" for t in texts]
-        cut = [None if any(x in t for x in self.odd) else self.cut(t) for t in whole]
-        fresh = set().union(*(c for c in cut if c)) - self.known.keys() if any(cut) else set()
-        if fresh:
-            self._learn(list(fresh))
-        get = self.known.__getitem__
-        return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(whole, cut, strict=True)]
+        odd = [any(x in t for x in self.odd) for t in whole]
+        cut = [[] if o else self.cut(t) for t, o in zip(whole, odd, strict=True)]
+        pieces = pa.array(chain.from_iterable(cut), pa.string()).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            number[fresh] = self._learn([distinct[i] for i in fresh.tolist()])
+        self.recent = distinct
+        number = number[pieces.indices.to_numpy()]
+        ids = self._ids(number)
+        last = np.append(0, np.cumsum(self.size[number]))[np.cumsum([len(c) for c in cut])] if cut else np.zeros(0, np.int64)
+        out = np.split(ids, last[:-1]) if cut else []
+        return [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if o else x for t, o, x in zip(whole, odd, out, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -182,8 +237,8 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _rows(batches, size: int = 1 << 20):
-    """(doc_ids, texts) of about a MB each, whatever the size of Arrow's batches."""
+def _rows(batches, size: int = 1 << 22):
+    """(doc_ids, texts) of a few MB each, whatever the size of Arrow's batches."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
         at, n = 0, 0
@@ -204,24 +259,25 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int
 
     def encode(batches):
         part, shard, ids, parts, n = None, 0, [], [], 0
-        end = struct.pack("<I", end_id)
+        end = np.array([end_id], np.uint32)
         encoder = _encoder(path)
 
         def blob():
-            first = np.cumsum([0, *(len(x) // 4 for x in parts)])
-            return pa.RecordBatch.from_pydict({"part": [part], "shard": [shard], "doc_ids": [ids], "tokens": [int(first[-1])], "blob": [pack(np.frombuffer(b"".join(parts), "<u4"), first)]}, schema)
+            every = [y for x in parts for y in (x, end)]
+            first = np.cumsum([0, *(len(x) + 1 for x in parts)])
+            return pa.RecordBatch.from_pydict({"part": [part], "shard": [shard], "doc_ids": [ids], "tokens": [int(first[-1])], "blob": [pack(np.concatenate(every), first)]}, schema)
 
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         for some, texts in _rows(batches):
             for i, x in zip(some, encoder.encode(texts), strict=True):
-                if parts and n + len(x) // 4 + 1 > shard_tokens:
+                if parts and n + len(x) + 1 > shard_tokens:
                     yield blob()
                     shard, ids, parts, n = shard + 1, [], [], 0
                 ids.append(i)
-                parts.append(x + end)
-                n += len(x) // 4 + 1
+                parts.append(x)
+                n += len(x) + 1
         if parts:
             yield blob()
 
@@ -244,7 +300,10 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for base, ids, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = Shard(blob.as_buffer().to_pybytes())
-                crc = [zlib.crc32(s.document(k).astype("<u4").tobytes()) for k in range(s.documents)]
+                # documents follow one another, so a level's neighbours are read for all of them at once
+                raw = memoryview(s.slice(0, s.tokens).astype("<u4").tobytes())
+                at = (s.first * 4).tolist()
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(base + s.first[:-1]), "n_tokens": pa.array(np.diff(s.first)), "ids_crc32": pa.array(crc, pa.int64())})
 
     return shards.join(bounded(starts, 32), ["part", "shard"]).select("base", "doc_ids", "blob").mapInArrow(lean(read), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
