@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +19,11 @@ ANSWER_PREFIXES = ["Đoạn đã xử lý:", "Đoạn văn đã xử lý:"]
 LITERALS = {"allowBackslashEscapingAnyCharacter": "true"}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body, or a lambda in it, names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, EDGE, "")
 
@@ -41,14 +49,24 @@ def sentences(c: Column, least: int = 10) -> Column:
 
 def chunked(parts: Column, size: int = 3, glue: str = " ") -> Column:
     """An array joined in groups of size; the last may be short."""
-    starts = F.when(F.size(parts) > 0, F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / size))).otherwise(F.array().cast("array<bigint>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(parts, (i * size + 1).cast("int"), F.lit(size)), glue))
+    starts = lambda p: F.when(F.size(p) > 0, F.sequence(F.lit(0), F.floor((F.size(p) - 1) / size))).otherwise(F.array().cast("array<bigint>"))
+    return let(parts, lambda p: F.transform(starts(p), lambda i: F.array_join(F.slice(p, (i * size + 1).cast("int"), F.lit(size)), glue)))
 
 
 def without_prefix(c: Column, prefixes: list[str] = ANSWER_PREFIXES) -> Column:
     return strip(F.regexp_replace(strip(c), "^(?:" + "|".join(prefixes) + ")", ""))
 
 
+# A quoted string of a literal, with escapes.
+_QUOTED = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""
+_TRIPLE = rf"\[\s*{_QUOTED}\s*,\s*{_QUOTED}\s*,\s*{_QUOTED}\s*,?\s*\]"
+
+
+def is_triple_list(c: Column) -> Column:
+    """Whether a line is a list of lists of three strings each; null is not."""
+    return F.coalesce(c.rlike(rf"^\s*\[\s*(?:{_TRIPLE}\s*(?:,\s*{_TRIPLE}\s*)*,?\s*)?\]\s*$"), F.lit(False))
+
+
 def triple_literals(c: Column) -> Column:
     """A line's triples, from a list of lists or one flat list, as array<array<string>>; anything else gives none."""
     nested = F.from_json(c, "array<array<string>>", LITERALS)
@@ -79,7 +97,11 @@ def definition_rows(c: Column) -> Column:
     lines = F.filter(F.split(c, "\n"), lambda x: x.contains(":"))
     rows = F.transform(lines, lambda x: F.struct(strip(F.regexp_extract(x, r"^([^:]*):", 1)).alias("name"), strip(F.regexp_replace(x, r"^[^:]*:", "")).alias("definition")))
     rows = F.filter(rows, lambda r: r["name"] != "Answer")
-    return F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, i + 2, F.greatest(F.size(rows), F.lit(1))), lambda o: o["name"] == r["name"]))
+    # names sorted with their places, so that a place is its name's last where the next one has another name
+    last = lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["name"] != x["name"], F.lit(True)))
+    placed = lambda r: F.array_sort(F.transform(r, lambda x, i: F.struct(x["name"].alias("name"), i.alias("at"), x["definition"].alias("definition"))))
+    ordered = lambda s: F.array_sort(F.transform(last(s), lambda x: F.struct(x["at"], x["name"], x["definition"])))
+    return F.transform(let(placed(rows), ordered), lambda x: F.struct(x["name"], x["definition"]))
 
 
 def first_json_array(c: Column) -> Column:
@@ -100,10 +122,10 @@ def chosen(answer: Column, options: Column) -> Column:
 
 
 def fill(template: str, **values: Column) -> Column:
-    out = F.lit(template)
-    for k, v in values.items():
-        out = F.replace(out, F.lit("{" + k + "}"), v)
-    return out
+    """template with each {name} of values replaced; braces in the values stay as they are. A null value is empty."""
+    parts = re.split("(" + "|".join(r"\{" + k + r"\}" for k in values) + ")", template) if values else [template]
+    named = {"{" + k + "}": F.coalesce(v, F.lit("")) for k, v in values.items()}
+    return F.concat(*[named.get(p, F.lit(p)) for p in parts if p])
 
 
 def instructed(task: str, query: Column) -> Column:
@@ -126,6 +148,9 @@ def without_parenthesis(c: Column) -> Column:
 
 def has_run(part: Column, whole: Column) -> Column:
     """Place (from 0) where the array part stands in the array whole, or null."""
-    last = F.size(whole) - F.size(part)
-    places = F.when((last >= 0) & (F.size(part) > 0), F.filter(F.sequence(F.lit(0), last), lambda i: F.slice(whole, i + 1, F.size(part)) == part))
-    return F.get(places, F.lit(0))
+
+    def places(x: Column) -> Column:
+        last = F.size(x["w"]) - F.size(x["p"])
+        return F.when((last >= 0) & (F.size(x["p"]) > 0), F.filter(F.sequence(F.lit(0), last), lambda i: F.slice(x["w"], i + 1, F.size(x["p"])) == x["p"]))
+
+    return F.get(let(F.struct(part.alias("p"), whole.alias("w")), places), F.lit(0))

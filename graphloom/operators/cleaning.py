@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import strip
+from graphloom.sources.work import saved
 
 # The rule stage's word lists.
 NUTRIENTS = [
@@ -69,6 +70,11 @@ def rule_clean(triples: DataFrame, order: list[str], synonyms: dict[str, str] =
     return first_of_each(straightened(t, inverted, nutrients), [F.lower("s"), F.lower("r"), F.lower("o")], order)
 
 
+def embedding_text(name: Column) -> Column:
+    """The form of a name that is embedded: lower case, '_' as a blank."""
+    return strip(F.replace(F.lower(name), F.lit("_"), F.lit(" ")))
+
+
 def rewritten(triples: DataFrame, names: DataFrame, order: list[str]) -> DataFrame:
     """Endpoints replaced by their representatives (name, leader), self-loops dropped, exact duplicates dropped."""
     for c in ("s", "o"):
@@ -83,15 +89,22 @@ def contradictions(triples: DataFrame, avoid: list[str], recommend: list[str]) -
     return triples.withColumn("kind", kind).where("kind IS NOT NULL").groupBy("s", "o").agg(F.count_distinct("kind").alias("kinds")).where("kinds = 2").select("s", "o")
 
 
-def split_parts(df: DataFrame, order: str, parts: int) -> DataFrame:
-    """df with part: rows in order cut into parts of ceil(rows / parts); the last may be short or missing.
+def numbered(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
+    """df with name: each row's place from 0 in the given order (ties in any order).
 
-    Ranks come from range partitions and their counts, so no task sees more than its range.
+    The range-sorted table is written once with its part and the place in it, so counts and places are of the same parts;
+    only the short list of counts meets in one task.
     """
-    n = df.count()
-    size = max(1, -(-n // parts))
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    base = counts.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return ranged.join(base, "_p").withColumn("part", F.floor((F.col("_b") + F.col("_i") - 1) / size).cast("bigint")).drop("_p", "_i", "_b")
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    # the lower 33 bits of the id are the row's place in its part
+    ranged = saved(ranged.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")))
+    counts = ranged.groupBy("_p").agg(F.max("_i").alias("_n"))
+    base = counts.select("_p", F.coalesce(F.sum(F.col("_n") + 1).over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return ranged.join(base, "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
+
+
+def split_parts(df: DataFrame, order: str, parts: int) -> DataFrame:
+    """df with part: rows in order cut into parts of ceil(rows / parts); the last may be short or missing."""
+    placed = numbered(df, [order], "_at")
+    size = max(1, -(-placed.count() // parts))
+    return placed.withColumn("part", F.floor(F.col("_at") / size).cast("bigint")).drop("_at")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right, insort
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-TAGS = {"SUB": 0, "PRED": 1, "OBJ": 2}
+from graphloom.functions.text import evaluation_form, is_triple_list, let, triple_literals, without_parenthesis
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -79,25 +81,42 @@ def word_tokens(c: Column) -> Column:
 
 
 def align_runs(reference: list[str], candidate: list[str]) -> list[tuple[int, int, int]]:
-    """(start in reference, start in candidate, length) of equal runs, longest first, then leftmost in the candidate.
+    """(start in reference, start in candidate, length) of equal runs, longest first, then leftmost in the candidate, then
+    in the reference. A word takes part in one run at most.
 
-    A word takes part in one run at most. Runs of one length are found by the places of their words, so nothing is
-    rebuilt or searched again when a run is taken.
+    Every pair of equal words begins a run; a heap gives the longest one left. A run that others have shortened goes back
+    with what is left of it, so each is looked at as often as it is shortened.
     """
-    free_r, free_c, out = [True] * len(reference), [True] * len(candidate), []
-    for n in range(min(len(reference), len(candidate)), 0, -1):
-        places: dict[tuple, list[int]] = {}
-        for i in range(len(reference) - n + 1):
-            places.setdefault(tuple(reference[i : i + n]), []).append(i)
-        for j in range(len(candidate) - n + 1):
-            if not all(free_c[j : j + n]):
-                continue
-            for i in places.get(tuple(candidate[j : j + n]), ()):
-                if all(free_r[i : i + n]):
-                    free_r[i : i + n] = [False] * n
-                    free_c[j : j + n] = [False] * n
-                    out.append((i, j, n))
-                    break
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(reference):
+        places.setdefault(w, []).append(i)
+    heap: list[tuple[int, int, int]] = []
+    behind: dict[int, int] = {}
+    for j in range(len(candidate) - 1, -1, -1):
+        here = {i: behind.get(i + 1, 0) + 1 for i in places.get(candidate[j], ())}
+        heap += [(-n, j, i) for i, n in here.items()]
+        behind = here
+    heapify(heap)
+    taken: tuple[list[tuple[int, int]], list[tuple[int, int]]] = ([], [])
+
+    def free(side: int, at: int) -> int:
+        """Places from at on before the next taken one."""
+        k = bisect_right(taken[side], (at, 1 << 60))
+        if k and taken[side][k - 1][1] > at:
+            return 0
+        return taken[side][k][0] - at if k < len(taken[side]) else 1 << 60
+
+    out = []
+    while heap:
+        n, j, i = heappop(heap)
+        left = min(-n, free(0, i), free(1, j))
+        if left < -n:
+            if left:
+                heappush(heap, (-left, j, i))
+            continue
+        insort(taken[0], (i, i + left))
+        insort(taken[1], (j, j + left))
+        out.append((i, j, left))
     return out
 
 
@@ -155,31 +174,20 @@ def _augmented(score: list[list[float]]) -> tuple[float, list[int]]:
     return sum(score[i][order[i]] for i in range(n)), order
 
 
-def pair_score(g: list[str] | None, p: list[str] | None) -> float:
-    """Mean over the three parts of the share of words that align, after the larger part's length."""
-    if not g or not p:
-        return 0.0
-    total = 0.0
-    for a, b in zip(g, p, strict=True):
-        x, y = a.split(), b.split()
-        total += sum(n for *_, n in align_runs(x, y)) / max(len(x), len(y), 1)
-    return total / 3
+# --- rows and forms of an evaluation ---------------------------------------------------------------------------------
 
 
-def assignments(entries: DataFrame) -> DataFrame:
-    """(entry, score, gold_n, predicted_n) of rows (entry, gold, predicted: lists of three strings each).
+def evaluation_rows(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """(line_no, gold, predicted) of two tables of lines (line_no, text), joined by line; triples as 's | r | o'.
 
-    The shorter side is filled up with empty triples, the best permutation is taken and divided by the filled length.
+    A line goes, with its gold, where the prediction is no list of triples of three strings or the gold is none.
     """
+    read = lambda df, name: df.where(is_triple_list(F.col("text"))).select("line_no", F.transform(triple_literals(F.col("text")), lambda t: F.array_join(t, " | ")).alias(name))
+    return read(gold, "gold").join(read(predicted, "predicted"), "line_no")
 
-    def work(frames):
-        for pdf in frames:
-            rows = []
-            for e, g, p in zip(pdf["entry"], pdf["gold"], pdf["predicted"], strict=True):
-                n = max(len(g), len(p))
-                a, b = [list(x) for x in g] + [None] * (n - len(g)), [list(x) for x in p] + [None] * (n - len(p))
-                total = best_assignment([[pair_score(y, x) for y in a] for x in b])[0] if n else 0.0
-                rows.append((e, total / n if n else 0.0, len(g), len(p)))
-            yield pd.DataFrame(rows, columns=["entry", "score", "gold_n", "predicted_n"])
-
-    return entries.select("entry", "gold", "predicted").mapInPandas(work, "entry bigint, score double, gold_n bigint, predicted_n bigint")
+
+def normal_triple(c: Column) -> Column:
+    """A triple 's | r | o' as it is compared: words of camelCase and '_' apart, lower case, without marks on letters and
+    without a parenthesis at the end of its last part."""
+    last = lambda p: without_parenthesis(F.element_at(p, -1))
+    return let(F.split(ascii_fold(evaluation_form(c)), r" \| "), lambda p: F.array_join(F.concat(F.slice(p, F.lit(1), F.size(p) - 1), F.array(last(p))), " | "))

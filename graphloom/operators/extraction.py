@@ -1,158 +1,279 @@
-"""Open extraction, definition and canonicalization with a pluggable model, refinement, enrichment and advice."""
+"""Open extraction, definition and canonicalization with a pluggable model, refinement, enrichment, documents as chunks."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from typing import Protocol
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from graphloom.functions import text as T
-from graphloom.operators import graph
-from graphloom.operators.cleaning import mapped
+from graphloom.operators import retrieval
+from graphloom.operators.models import ModelClient, Prompts, asked, embedded
 from graphloom.sources.work import saved
 
+PROMPTS = Prompts()
 
-class ModelClient(Protocol):
-    """What a worker calls; it is shipped to workers and opens its connections there."""
 
-    def complete(self, prompts: list[str]) -> list[str]: ...
-
-    def embed(self, texts: list[str]) -> list[list[float]]: ...
-
-
-class StubClient:
-    """Answers by fixed rules: triples of neighbouring words, definitions by name, letters by text, hashed vectors."""
-
-    def complete(self, prompts: list[str]) -> list[str]:
-        return [self._one(p) for p in prompts]
-
-    def _one(self, prompt: str) -> str:
-        task, _, body = prompt.partition("\n")
-        words = re.findall(r"[^\W\d_]+", body)
-        if task == "extract":
-            return str([[words[i], words[i + 1], words[i + 2]] for i in range(0, min(len(words) - 2, 9), 3)])
-        if task == "define":
-            return "\n".join(f"{w}: what {w} means" for w in dict.fromkeys(body.split("|")) if w)
-        if task == "verify":
-            wanted, _, options = body.partition("\n")
-            return next((line[0] for line in options.split("\n") if line[3:4] == wanted[:1] and line[1:3] == ". "), "Z")
-        if task == "entities":
-            return str(list(dict.fromkeys(w for w in words if w[0].isupper()))[:10])
-        return body.strip()
-
-    def embed(self, texts: list[str]) -> list[list[float]]:
-        import zlib
-
-        out = []
-        for t in texts:
-            v = [0.0] * 16
-            for a, b in zip(t, t[1:]):
-                v[zlib.crc32((a + b).encode()) % 16] += 1.0
-            out.append(v)
-        return out
-
-
-def asked(df: DataFrame, client: ModelClient, prompt: str, answer: str) -> DataFrame:
-    """df with the model's answer to each row's prompt; a failed batch keeps nulls. Batches follow Arrow's."""
-    fields = StructType([*df.schema.fields, StructField(answer, StringType())])
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            try:
-                pdf[answer] = client.complete(list(pdf[prompt]))
-            except Exception:
-                pdf[answer] = None
-            yield pdf
-
-    return df.mapInPandas(work, fields)
-
-
-def embedded(df: DataFrame, client: ModelClient, column: str, out: str) -> DataFrame:
-    def work(frames):
-        for pdf in frames:
-            pdf[out] = client.embed([str(t) for t in pdf[column]])
-            yield pdf
-
-    fields = StructType([*df.schema.fields, StructField(out, ArrayType(DoubleType()))])
-    return df.mapInPandas(work, fields)
+def extract(chunks: DataFrame, client: ModelClient, prompts: Prompts = PROMPTS, entities: str | None = None, relations: str | None = None) -> DataFrame:
+    """(chunk, pos, s, r, o) of chunks (chunk, text); entities and relations name columns of hints."""
+    hint = lambda c: F.lit("") if c is None else F.col(c)
+    prompt = prompts.fill("extract", input_text=F.col("text"), entities_hint=hint(entities), relations_hint=hint(relations))
+    answers = asked(chunks.select("chunk", prompt.alias("prompt")), client, "prompt", "answer")
+    return answers.select("chunk", F.posexplode(T.answer_triples(F.col("answer"))).alias("pos", "t")).select("chunk", F.col("pos").cast("bigint").alias("pos"), *[F.get("t", F.lit(i)).alias(c) for i, c in enumerate("sro")])
 
 
-def extract(chunks: DataFrame, client: ModelClient, hint: str | None = None) -> DataFrame:
-    """(chunk, pos, s, r, o) of chunks (chunk, text[, hint])."""
-    body = F.concat(F.lit("extract\n"), F.col("text")) if hint is None else F.concat(F.lit("extract\n"), F.col("text"), F.lit("\n"), F.coalesce(F.col(hint), F.lit("")))
-    answers = asked(chunks.select("chunk", body.alias("prompt")), client, "prompt", "answer")
-    return answers.select("chunk", F.posexplode(T.answer_triples(F.col("answer"))).alias("pos", "t")).select("chunk", F.col("pos").cast("bigint").alias("pos"), *[F.get("t", F.lit(i)).alias(c) for i, c in enumerate("sro")])
+def _listed(relation: str = "r"):
+    """A chunk's triples in order as one text."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s", F.col(relation).alias("r"), "o"))), lambda x: F.concat_ws(" | ", x["s"], x["r"], x["o"])), "; ")
 
 
-def define(triples: DataFrame, client: ModelClient) -> DataFrame:
-    """(chunk, relation, definition): each chunk's distinct relations, asked once a chunk."""
-    asks = triples.groupBy("chunk").agg(F.concat(F.lit("define\n"), F.array_join(F.array_sort(F.collect_set("r")), "|")).alias("prompt"))
-    answers = asked(asks, client, "prompt", "answer")
+def define(triples: DataFrame, client: ModelClient, chunks: DataFrame | None = None, prompts: Prompts = PROMPTS) -> DataFrame:
+    """(chunk, relation, definition): each chunk's distinct relations, asked once a chunk, with its text and triples."""
+    asks = triples.groupBy("chunk").agg(F.array_join(F.array_sort(F.collect_set("r")), "|").alias("relations"), _listed().alias("triples"))
+    asks = asks.withColumn("text", F.lit("")) if chunks is None else asks.join(chunks.select("chunk", "text"), "chunk")
+    prompt = prompts.fill("define", text=F.col("text"), triples=F.col("triples"), relations=F.col("relations"))
+    answers = asked(asks.select("chunk", prompt.alias("prompt")), client, "prompt", "answer")
     return answers.select("chunk", F.explode(T.definition_rows(F.col("answer"))).alias("d")).select("chunk", F.col("d.name").alias("relation"), F.col("d.definition").alias("definition"))
 
 
-def canonicalize(triples: DataFrame, definitions: DataFrame, schema: DataFrame, client: ModelClient, k: int = 5) -> DataFrame:
-    """triples (chunk, pos, s, r, o) with canonical: r itself if it is in the schema, else the option the model picks
-    among the k nearest schema relations (relation, definition, ord), else null. Relations without a definition: null.
+def _verified(pairs: DataFrame, schema: DataFrame, client: ModelClient, chunks: DataFrame | None, prompts: Prompts, k: int) -> DataFrame:
+    """(chunk, r, candidates, picked) of pairs (chunk, r, definition, v, triple): the k nearest schema relations (relation,
+    definition, ord, w) with their scores, and the one that the model picks, or null."""
+    queries = pairs.withColumn("q", F.struct("chunk", "r"))
+    best = retrieval.top_k(queries.select("q", "v"), schema.select(F.col("relation").alias("t"), "ord", "w"), k)
+    best = best.join(F.broadcast(schema.select(F.col("relation").alias("t"), F.col("definition").alias("d"))), "t")
+    options = best.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("t").alias("relation"), "score", F.col("d").alias("definition")))).alias("options"))
+    asks = queries.join(options, "q")
+    asks = asks.withColumn("text", F.lit("")) if chunks is None else asks.join(chunks.select("chunk", "text"), "chunk")
+    said = T.choices(F.transform("options", lambda x: F.concat(x["relation"], F.lit(": "), x["definition"])))
+    prompt = prompts.fill("verify", input_text=F.col("text"), query_triplet=F.col("triple"), query_relation=F.col("r"), query_relation_definition=F.col("definition"), choices=said)
+    answers = asked(asks.select("chunk", "r", "options", prompt.alias("prompt")), client, "prompt", "answer")
+    names = F.transform("options", lambda x: x["relation"])
+    candidates = F.transform("options", lambda x: F.struct(x["relation"].alias("relation"), x["score"].alias("score")))
+    return answers.select("chunk", "r", candidates.alias("candidates"), T.chosen(F.col("answer"), names).alias("picked"))
+
+
+def canonicalize(triples: DataFrame, definitions: DataFrame, schema: DataFrame, client: ModelClient, k: int = 5, chunks: DataFrame | None = None, prompts: Prompts = PROMPTS, enrich: bool = False) -> DataFrame:
+    """triples (chunk, pos, s, r, o) with status, canonical and candidates: canonical is r itself if it is in the schema,
+    else the option the model picks among the k nearest schema relations (relation, definition, ord), else null.
+    Relations without a definition: null.
 
     The split by status comes before the model, so canonical relations cost no call; each distinct relation is asked once
-    a chunk.
+    a chunk. With enrich a relation that nothing is picked for joins the schema, for itself and for all after it, in order
+    of chunk and place (grown_schema).
     """
-    from graphloom.operators.retrieval import canonical_split, top_k
-
-    defined = triples.join(definitions.withColumnRenamed("relation", "r"), ["chunk", "r"], "left")
-    split = canonical_split(defined, schema, definitions)
-    asks = split.where("status = 'match' AND definition IS NOT NULL").select("chunk", "r", "definition").distinct()
-    queries = embedded(asks.withColumn("q", F.concat_ws("\u0001", "chunk", "r")), client, "definition", "v")
-    targets = embedded(schema, client, "definition", "w").select(F.col("relation").alias("t"), "ord", "w")
-    best = top_k(queries.select("q", "v"), targets, k)
-    options = best.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]).alias("options"))
-    prompts = queries.select("q", "chunk", "r").join(options, "q").withColumn("prompt", F.concat(F.lit("verify\n"), "r", F.lit("\n"), T.choices(F.col("options"))))
-    picked = asked(prompts.select("chunk", "r", "options", "prompt"), client, "prompt", "answer").select("chunk", "r", T.chosen(F.col("answer"), F.col("options")).alias("picked"))
+    split = retrieval.canonical_split(triples, schema, definitions)
+    defined = definitions.groupBy("chunk", F.col("relation").alias("r")).agg(F.max("definition").alias("definition"))
+    match = split.where("status = 'match'").groupBy("chunk", "r").agg(F.min("pos").alias("pos"), F.min_by(F.concat_ws(" | ", "s", "r", "o"), "pos").alias("triple"))
+    pairs = saved(embedded(match.join(defined, ["chunk", "r"]), client, "definition", "v"))
+    targets = saved(embedded(schema.select("relation", "definition", F.col("ord").cast("bigint").alias("ord")), client, "definition", "w"))
+    if enrich:
+        picked = grown_schema(pairs, targets, client, chunks, prompts, k)[0]
+    else:
+        picked = _verified(pairs, targets, client, chunks, prompts, k)
     out = split.join(picked, ["chunk", "r"], "left")
-    return out.withColumn("canonical", F.when(F.col("status") == "canonical", F.col("r")).otherwise(F.col("picked"))).select(*triples.columns, "status", "canonical")
+    return out.withColumn("canonical", F.when(F.col("status") == "canonical", F.col("r")).otherwise(F.col("picked"))).select(*triples.columns, "status", "canonical", "candidates")
 
 
-def refine(chunks: DataFrame, client: ModelClient, rounds: int) -> DataFrame:
-    """Triples of the last round: each round sees the distinct entities of the one before as its hint."""
-    triples = saved(extract(chunks, client))
-    for _ in range(rounds):
-        seen = triples.select("chunk", F.explode(F.array("s", "o")).alias("e")).groupBy("chunk").agg(F.array_join(F.array_sort(F.collect_set("e")), " ").alias("hint"))
-        triples = saved(extract(chunks.join(seen, "chunk", "left"), client, "hint"))
-    return triples
+#: Pairs that are decided one after the other at a time, and how many are asked ahead.
+WINDOW, AHEAD = 512, 8192
 
 
-def enrich(relations: DataFrame, schema: list[str], threshold: float) -> DataFrame:
-    """(ord, relation, canonical, added) of relations (ord, relation, v) in order: each takes the nearest known relation
-    at or above threshold (dot of unit vectors), or is added to the schema itself.
+def grown_schema(pairs: DataFrame, schema: DataFrame, client: ModelClient, chunks: DataFrame | None = None, prompts: Prompts = PROMPTS, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(picked, schema): pairs (chunk, r, pos, definition, v, triple) decided in order of chunk and place, where each one
+    that the model picks nothing for adds its relation to the schema (relation, definition, ord, w) at once.
 
-    Every decision depends on all before it; it is a leader rule over vectors, so it runs as leader clusters do.
+    Every addition may change all decisions after it, so the order is part of the result. A round asks the next AHEAD
+    pairs at once. While nothing joins, all of them are settled; else those before the first that joins are, and from it
+    on a window of WINDOW pairs is decided one after the other by the driver, which holds the schema and the window. A
+    schema that has grown to fit its texts is thus checked in parallel.
+    """
+    spark = pairs.sparkSession
+    order = ["chunk", "pos", "r"]
+    kind = "array<struct<relation:string,score:double>>"
+    text = pairs.withColumn("text", F.lit("")) if chunks is None else pairs.join(chunks.select("chunk", "text"), "chunk", "left")
+    open_ = saved(text)
+    done = [pairs.select("chunk", "r", F.lit(None).cast(kind).alias("candidates"), F.lit(None).cast("string").alias("picked")).limit(0)]
+    decided = done[0].schema
+    while True:
+        known = schema.select(F.col("relation").alias("r"))
+        own = open_.join(F.broadcast(known), "r", "left_semi")
+        done.append(saved(own.select("chunk", "r", F.lit(None).cast(kind).alias("candidates"), F.col("r").alias("picked"))))
+        open_ = saved(open_.join(F.broadcast(known), "r", "left_anti"))
+        next_ = saved(open_.orderBy(*order).limit(AHEAD))
+        if not next_.limit(1).count():
+            break
+        answers = saved(next_.select("chunk", "r", "pos").join(_verified(next_.drop("text"), schema, client, chunks, prompts, k), ["chunk", "r"], "left").withColumn("at", F.struct(*order)))
+        first = answers.where("picked IS NULL").agg(F.min("at").alias("at")).first()["at"]
+        here = F.struct(*order)
+        if first is None:
+            settled, upto = answers, next_.agg(F.max(here).alias("at")).first()["at"]
+        else:
+            since = F.struct(*[F.lit(first[c]).alias(c) for c in order])
+            settled = answers.where(F.col("at") < since)
+            window = next_.where(here >= since).orderBy(*order).limit(WINDOW).collect()
+            rows, new = _in_order(window, [tuple(r) for r in schema.select("relation", "definition", "ord", "w").orderBy("ord").collect()], client, prompts, k)
+            done.append(spark.createDataFrame(rows, decided))
+            schema = saved(schema.select("relation", "definition", "ord", "w").unionByName(spark.createDataFrame(new, schema.select("relation", "definition", "ord", "w").schema)))
+            upto = window[-1]
+        done.append(saved(settled.select("chunk", "r", "candidates", "picked")))
+        open_ = saved(open_.where(here > F.struct(*[F.lit(upto[c]).alias(c) for c in order])))
+    return saved(reduce(DataFrame.unionByName, done)), schema
+
+
+def _in_order(window: list, schema: list[tuple], client: ModelClient, prompts: Prompts, k: int) -> tuple[list[tuple], list[tuple]]:
+    """(decisions (chunk, r, candidates, picked), new schema rows) of the window's pairs, one after the other."""
+    known = {r for r, *_ in schema}
+    rows, out, new = list(schema), [], []
+    for p in window:
+        if p["r"] in known:
+            out.append((p["chunk"], p["r"], None, p["r"]))
+            continue
+        score = [float(np.dot(p["v"], w)) for *_, w in rows]
+        best = sorted(range(len(rows)), key=lambda i: (-score[i], rows[i][2]))[:k]
+        picked = None
+        if best:
+            said = "".join(f"{chr(65 + n)}. {rows[i][0]}: {rows[i][1]}\n" for n, i in enumerate(best)) + f"{chr(65 + len(best))}. None of the above.\n"
+            answer = client.complete([prompts.text("verify", input_text=p["text"] or "", query_triplet=p["triple"], query_relation=p["r"], query_relation_definition=p["definition"], choices=said)])[0]
+            at = ord(answer[0]) - 65 if answer else -1
+            picked = rows[best[at]][0] if 0 <= at < len(best) else None
+        if picked is None:
+            row = (p["r"], p["definition"], max((r[2] for r in rows), default=-1) + 1, list(p["v"]))
+            rows.append(row)
+            new.append(row)
+            known.add(p["r"])
+            picked = p["r"]
+        out.append((p["chunk"], p["r"], [(rows[i][0], score[i]) for i in best], picked))
+    return out, new
+
+
+def enrich(relations: DataFrame, schema: DataFrame, threshold: float) -> DataFrame:
+    """(ord, relation, canonical, added) of relations (ord, relation, v) in order, with a threshold in the model's place.
+
+    A relation of the schema (relation, w) is itself. Another one takes the nearest known relation whose cosine reaches
+    the threshold (ties: the schema first, then in order of name or place); without one it joins the schema, for itself
+    and for all after it. A repeated name is decided once, by its first row. Known are the schema's relations from the
+    start, so this is a leader rule whose first leaders are given.
+    """
+    names = schema.select("relation").distinct()
+    first = relations.groupBy("relation").agg(F.min("ord").alias("ord"), F.min_by("v", "ord").alias("v"))
+    new = first.join(names, "relation", "left_anti")
+    given = schema.groupBy("relation").agg(F.first("w").alias("v"))
+    # one numbering: the schema by name, then the new ones by place
+    both = retrieval.numbered(given.select(F.lit(0).alias("src"), F.lit(None).cast("bigint").alias("ord"), "relation", "v").unionByName(new.select(F.lit(1).alias("src"), F.col("ord").cast("bigint").alias("ord"), "relation", "v")), ["src", "ord", "relation"], "i")
+    both = saved(both)
+    pairs = saved(retrieval.similar_pairs(both.select("i", "v"), threshold))
+    src = both.select("i", "src", "relation")
+    # pairs within the schema say nothing
+    inner = pairs.join(src.select(F.col("i").alias("j"), F.col("src").alias("js")), "j").where("js = 1").select("i", "j", "sim")
+    leaders = retrieval.leaders_of(src.select("i"), inner.select("i", "j"))
+    near = inner.join(leaders, "i", "left_semi").groupBy("j").agg(F.max_by("i", F.struct("sim", -F.col("i"))).alias("to"))
+    found = src.where("src = 1").join(leaders.withColumn("own", F.lit(True)), "i", "left").join(near.withColumnRenamed("j", "i"), "i", "left")
+    target = src.select(F.col("i").alias("to"), F.col("relation").alias("known"))
+    found = found.join(target, "to", "left").select("relation", F.when(F.col("own"), F.col("relation")).otherwise(F.col("known")).alias("canonical"), F.coalesce("own", F.lit(False)).alias("added"))
+    decided = found.unionByName(names.select("relation", F.col("relation").alias("canonical"), F.lit(False).alias("added")))
+    began = first.select("relation", F.col("ord").alias("began"))
+    return relations.select("ord", "relation").join(decided, "relation").join(began, "relation").select("ord", "relation", "canonical", (F.col("added") & (F.col("ord") == F.col("began"))).alias("added"))
+
+
+def extract_entities(chunks: DataFrame, client: ModelClient, prompts: Prompts = PROMPTS) -> DataFrame:
+    """(chunk, entities) of chunks (chunk, text)."""
+    answers = asked(chunks.select("chunk", prompts.fill("entities", input_text=F.col("text")).alias("prompt")), client, "prompt", "answer")
+    return answers.select("chunk", T.answer_entities(F.col("answer")).alias("entities"))
+
+
+def merge_entities(chunks: DataFrame, first: DataFrame, second: DataFrame, client: ModelClient, prompts: Prompts = PROMPTS) -> DataFrame:
+    """(chunk, entities): the model's merger of two lists (chunk, entities) of a chunk."""
+    none = F.array().cast("array<string>")
+    both = chunks.select("chunk", "text").join(first.select("chunk", F.col("entities").alias("a")), "chunk", "left").join(second.select("chunk", F.col("entities").alias("b")), "chunk", "left")
+    prompt = prompts.fill("merge", input_text=F.col("text"), entity_list_1=F.array_join(F.coalesce("a", none), "|"), entity_list_2=F.array_join(F.coalesce("b", none), "|"))
+    answers = asked(both.select("chunk", prompt.alias("prompt")), client, "prompt", "answer")
+    return answers.select("chunk", T.answer_entities(F.col("answer")).alias("entities"))
+
+
+def previous(triples: DataFrame, relation: str = "r") -> DataFrame:
+    """(chunk, entities, relations): the distinct entities and relations of a chunk's triples, each sorted."""
+    e = triples.select("chunk", F.explode(F.array("s", "o")).alias("e")).groupBy("chunk").agg(F.array_sort(F.collect_set("e")).alias("entities"))
+    return e.join(triples.groupBy("chunk").agg(F.array_sort(F.collect_set(relation)).alias("relations")), "chunk")
+
+
+def refinement_hints(chunks: DataFrame, triples: DataFrame, schema: DataFrame, client: ModelClient, prompts: Prompts = PROMPTS, k: int = 10) -> DataFrame:
+    """chunks (chunk, text) with entity_hint and relation_hint, made from the surviving triples of the last round.
+
+    Entities: those of the triples merged with those that the model finds in the text. Relations: those of the triples,
+    then the k of the schema that are nearest to the text, as numbered lines with definitions and examples.
+    """
+    before = saved(previous(triples))
+    merged = merge_entities(chunks, before.select("chunk", "entities"), extract_entities(chunks, client, prompts), client, prompts)
+    targets = embedded(schema.select("relation", "definition", "ord"), client, "definition", "w").select(F.col("relation").alias("t"), "ord", "w")
+    queries = embedded(chunks.select(F.col("chunk").alias("q"), "text"), client, "text", "v")
+    near = retrieval.top_k(queries.select("q", "v"), targets, k).select(F.col("q").alias("chunk"), F.col("t").alias("rel"), F.col("rank").alias("pos"))
+    prior = before.select("chunk", F.posexplode("relations").alias("pos", "rel")).select("chunk", "rel", F.col("pos").cast("bigint").alias("pos"))
+    lines = retrieval.relation_hints(prior, near, schema, triples, chunks)
+    out = chunks.join(merged.select("chunk", F.array_join("entities", "|").alias("entity_hint")), "chunk", "left").join(lines.withColumnRenamed("hint", "relation_hint"), "chunk", "left")
+    return out.fillna("", ["entity_hint", "relation_hint"])
+
+
+def run_stages(chunks: DataFrame, schema: DataFrame, client: ModelClient, rounds: int = 0, prompts: Prompts = PROMPTS, enriched: bool = False, write=None) -> tuple[DataFrame, DataFrame]:
+    """(triples, records) of the last of rounds + 1 rounds: extraction, definition, canonicalization.
+
+    Every round but the first gets hints from the triples that survived the one before, with canonical relations, and
+    every round's tables are written before the next one reads them. write(round, records, triples): a sink for each.
     """
-    from graphloom.operators.retrieval import leader_clusters
+    chunks = chunks.select("chunk", "text")
+    last = records = None
+    for n in range(rounds + 1):
+        hinted = chunks.withColumns({c: F.lit("") for c in ("entity_hint", "relation_hint")}) if last is None else refinement_hints(chunks, last, schema, client, prompts)
+        hinted = saved(hinted)
+        triples = saved(extract(hinted, client, prompts, "entity_hint", "relation_hint"))
+        definitions = saved(define(triples, client, chunks, prompts))
+        canonical = saved(canonicalize(triples, definitions, schema, client, 5, chunks, prompts, enriched))
+        last = canonical.where("canonical IS NOT NULL").select("chunk", "pos", "s", F.col("canonical").alias("r"), "o")
+        records = stage_records(hinted, triples, definitions, canonical)
+        if write is not None:
+            write(n, records, last)
+    return last, records
+
+
+def stage_records(chunks: DataFrame, triples: DataFrame, definitions: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(chunk, input_text, entity_hint, relation_hint, oie, schema_definition, canonicalization_candidates,
+    schema_canonicalization) of chunks (chunk, text, entity_hint, relation_hint): a round's results, nested.
+
+    Lists keep the triples' order; in the last one a rejected triple has a null relation.
+    """
+    row = lambda r: F.transform(F.array_sort(F.collect_list(F.struct("pos", "s", F.col(r).alias("r"), "o"))), lambda x: F.struct(x["s"].alias("s"), x["r"].alias("r"), x["o"].alias("o")))
+    oie = triples.groupBy("chunk").agg(row("r").alias("oie"))
+    said = definitions.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("relation", "definition"))).alias("schema_definition"))
+    near = F.transform(F.array_sort(F.collect_list(F.struct("pos", "candidates"))), lambda x: x["candidates"])
+    canon = canonical.groupBy("chunk").agg(near.alias("canonicalization_candidates"), row("canonical").alias("schema_canonicalization"))
+    out = chunks.withColumnRenamed("text", "input_text")
+    for side in (oie, said, canon):
+        out = out.join(side, "chunk", "left")
+    return out
 
-    new = relations.where(~F.col("relation").isin(schema))
-    lead = leader_clusters(new.select(F.col("ord").alias("i"), "v"), threshold)
-    named = lead.join(relations.select(F.col("ord").alias("leader"), F.col("relation").alias("canonical")), "leader")
-    old = relations.where(F.col("relation").isin(schema)).select("ord", "relation", F.col("relation").alias("canonical"), F.lit(False).alias("added"))
-    fresh = new.join(named, new["ord"] == named["i"]).select("ord", "relation", "canonical", (F.col("ord") == F.col("leader")).alias("added"))
-    return old.unionByName(fresh)
 
+def resolve_coreference(chunks: DataFrame, client: ModelClient, window: int = 1, prompts: Prompts = PROMPTS) -> DataFrame:
+    """(doc, chunk, text) with each chunk resolved in the light of the window resolved ones before it; a failed call keeps it.
 
-def resolve_coreference(chunks: DataFrame, client: ModelClient, window: int = 2) -> DataFrame:
-    """(doc, chunk, text) with each chunk resolved in the light of the window resolved ones before it; a failed call keeps it."""
+    Each chunk waits for the one before, so a document is one group; documents run in parallel.
+    """
+    head, middle, tail = _around(prompts.resolve, "{context}", "{current}")
+    strip = lambda t: t.strip(" \t\n\x0B\f\r")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
         done: list[str] = []
         for t in pdf["text"]:
+            context = " ".join(done[max(0, len(done) - window) :]) if window else ""
             try:
-                done.append(client.complete(["resolve\n" + t])[0] if not window else client.complete(["resolve\n" + t, *done[-window:]])[0])
-            except Exception:
+                said = strip(client.complete([head + context + middle + (t or "") + tail])[0])
+                for p in T.ANSWER_PREFIXES:
+                    said = strip(said.removeprefix(p))
+                done.append(said)
+            except Exception:  # whatever a service's client raises: the chunk stays as it was
                 done.append(t)
         pdf["text"] = done
         return pdf
@@ -160,44 +281,48 @@ def resolve_coreference(chunks: DataFrame, client: ModelClient, window: int = 2)
     return chunks.groupBy("doc").applyInPandas(work, chunks.schema)
 
 
-def stage_records(chunks: DataFrame, triples: DataFrame, canonical: DataFrame) -> DataFrame:
-    """(chunk, input_text, oie, canonical): both lists as text, in order; rejected triples are left out of the second."""
-    listed = lambda r: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s", r, "o"))), lambda x: F.concat_ws(" | ", x["s"], x[r], x["o"])), "; ")
-    a = triples.groupBy("chunk").agg(listed("r").alias("oie"))
-    b = canonical.where("canonical IS NOT NULL").groupBy("chunk").agg(listed("canonical").alias("canonical"))
-    return chunks.select("chunk", F.col("text").alias("input_text")).join(a, "chunk", "left").join(b, "chunk", "left").fillna("", ["oie", "canonical"])
+def _around(template: str, first: str, second: str) -> tuple[str, str, str]:
+    head, rest = template.split(first)
+    middle, tail = rest.split(second)
+    return head, middle, tail
 
 
-def advise(requests: DataFrame, nodes: DataFrame, triples: DataFrame, avoid: list[str], aliases: dict[str, str], needed: str, matches: DataFrame | None = None) -> DataFrame:
-    """One row a request (id, food, disease): status, found, avoid_n, connections_n, context.
+def prepare(documents: DataFrame, client: ModelClient | None = None, size: int = 3, window: int = 1, prompts: Prompts = PROMPTS) -> DataFrame:
+    """(doc, chunk, text) of documents (doc, text): lines cleaned, cut into sentences, joined in chunks of size, and
+    resolved by the client where there is one."""
+    parts = documents.select("doc", F.posexplode(T.chunked(T.sentences(T.clean_lines(F.col("text"))), size)).alias("chunk", "text")).withColumn("chunk", F.col("chunk").cast("bigint"))
+    return parts if client is None else resolve_coreference(parts, client, window, prompts)
 
-    found: the node named food (any case) with the needed property; else the first of matches (id, name, ord) that has
-    relations. Without either the status is NOT_FOUND, or BLOCKED where only the disease is known. All requests are
-    answered by joins on lower-cased names.
-    """
-    req = requests.withColumn("target", mapped(F.lower(T.strip(F.col("disease"))), aliases, F.col("disease"))).withColumn("food_key", F.lower("food"))
-    named = nodes.where(F.col(needed).isNotNull()).groupBy(F.lower("name").alias("food_key")).agg(F.min("name").alias("direct"))
-    bad = triples.where(F.lower("r").isin([a.lower() for a in avoid]))
-    ends = bad.select(F.lower("o").alias("key"), F.col("s").alias("item")).union(bad.select(F.lower("s"), F.col("o"))).distinct()
-    lists = ends.groupBy("key").agg(F.count("*").alias("avoid_n"))
-    links = triples.select("s", "o").distinct().groupBy(F.col("s").alias("found")).agg(F.count("*").alias("connections_n"))
-    out = req.join(named, "food_key", "left").join(lists.withColumnRenamed("key", "disease_key"), F.lower("target") == F.col("disease_key"), "left")
-    if matches is not None:
-        linked = triples.select(F.explode(F.array("s", "o")).alias("name")).distinct()
-        first = matches.join(linked, "name", "left_semi").groupBy("id").agg(F.min_by("name", "ord").alias("mapped"))
-        out = out.join(first, "id", "left")
-    else:
-        out = out.withColumn("mapped", F.lit(None).cast("string"))
-    out = out.withColumn("found", F.coalesce("direct", "mapped")).join(links, "found", "left").fillna(0, ["avoid_n", "connections_n"])
-    status = F.when(F.col("direct").isNotNull(), "OK_FOOD").when(F.col("mapped").isNotNull(), "OK_MAPPED").when(F.col("avoid_n") > 0, "BLOCKED").otherwise("NOT_FOUND")
-    out = out.withColumn("status", status)
-    context = F.concat_ws("\n", F.concat(F.lit("Q: "), "food"), F.concat(F.lit("D: "), "disease"), F.concat(F.lit("avoid: "), F.col("avoid_n").cast("string")), F.concat(F.lit("node: "), "found"))
-    return out.select("id", "status", "found", F.col("avoid_n").cast("bigint").alias("avoid_n"), F.col("connections_n").cast("bigint").alias("connections_n"), F.when(F.col("status").startswith("OK"), context).alias("context"))
 
+def standardise(documents: DataFrame, client: ModelClient, prompts: Prompts = PROMPTS) -> DataFrame:
+    """(doc, text) of documents (doc, text) as prose; those that the model answers nothing for, or fails on, are left out."""
+    answers = asked(documents.select("doc", prompts.fill("standardise", raw_text=F.col("text")).alias("prompt")), client, "prompt", "answer", strict=False)
+    return answers.select("doc", T.strip(F.col("answer")).alias("text")).where("text <> ''")
 
-def zeroed(df: DataFrame, metrics: list[str] = graph.METRICS) -> DataFrame:
-    """df with every metric there, null or missing ones as 0."""
-    return df.withColumns({m: F.coalesce(F.col(m), F.lit(0.0)) if m in df.columns else F.lit(0.0) for m in metrics})
+
+def crawl_definitions(entries: DataFrame, client: ModelClient, most: int = 5, prompts: Prompts = PROMPTS) -> DataFrame:
+    """(entry, text, triples, relations, definitions) of entries (entry, text, triples: arrays of three strings), in order,
+    whose relations are all new, until most relations are collected; definitions is the model's answer as it is.
+
+    Each accepted entry brings a relation, so at most most passes look for the next one.
+    """
+    names = F.transform("triples", lambda t: F.get(t, F.lit(1)))
+    good = entries.where((F.size("triples") > 0) & F.forall("triples", lambda t: F.size(t) == 3)).withColumn("names", names)
+    taken, seen, after = [], [], None
+    while len(seen) < most:
+        rest = good if after is None else good.where(F.col("entry") > F.lit(after))
+        rest = rest.where(~F.arrays_overlap("names", F.array(*[F.lit(s) for s in seen]).cast("array<string>"))) if seen else rest
+        found = rest.orderBy("entry").limit(1).collect()
+        if not found:
+            break
+        after = found[0]["entry"]
+        taken.append(after)
+        seen += [n for n in dict.fromkeys(found[0]["names"]) if n not in seen]
+    chosen = good.where(F.col("entry").isin(taken)) if taken else good.limit(0)
+    chosen = chosen.withColumn("relations", F.array_distinct("names"))
+    said = F.array_join(F.transform("triples", lambda t: F.array_join(t, " | ")), "; ")
+    prompt = prompts.fill("define", text=F.col("text"), triples=said, relations=F.array_join("relations", "|"))
+    return asked(chosen.select("entry", "text", "triples", "relations", prompt.alias("prompt")), client, "prompt", "definitions").drop("prompt", "definitions_error")
 
 
 def latest_context(chunks: DataFrame, window: int = 2) -> DataFrame:

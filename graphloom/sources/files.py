@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.operators import graph
+from graphloom.operators.cleaning import numbered
+from graphloom.operators.evaluation import evaluation_rows, length_filter
 
 # Spreadsheet headings and the properties they become.
 FOOD_COLUMNS = {
@@ -16,9 +19,15 @@ FOOD_COLUMNS = {
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, text): lines in order, blank ones too; numbered within each file, whole files spread over tasks."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line_no", "text"))
-    return files
+    """(file, line_no, text): lines in order, blank ones too, numbered within each file.
+
+    Files are read in blocks: a line's place is its place in its block and the lines of the blocks before.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text"), F.monotonically_increasing_id().alias("m"))
+    placed = raw.withColumn("at", F.row_number().over(Window.partitionBy("file", "block").orderBy("m")))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy("file", "block").agg(F.max("at").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return placed.join(base, ["file", "block"]).select("file", (F.col("base") + F.col("at") - 1).cast("bigint").alias("line_no"), "text")
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
@@ -81,8 +90,37 @@ def write_evaluation_xml(df: DataFrame, path: str, kind: str) -> None:
 
 
 def write_lines(df: DataFrame, column: str, order: list[str], path: str, parts: int = 1) -> None:
-    """A column as text in order: range-sorted, so that files in order of name hold the lines in order."""
-    df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.col(column).cast("string").alias("value")).write.mode("errorifexists").text(path)
+    """A column as text in order: range-sorted, so that files in order of name hold the lines in order. An existing path is
+    refused. One part makes one file; more are written by as many tasks."""
+    rows = df.repartitionByRange(parts, *order) if parts > 1 else df.coalesce(1)
+    rows.sortWithinPartitions(*order).select(F.col(column).cast("string").alias("value")).write.mode("errorifexists").text(path)
+
+
+def write_prose(df: DataFrame, path: str) -> None:
+    """Documents (doc, text) as lines in order of doc, one file."""
+    write_lines(df, "text", ["doc"], path)
+
+
+def read_prompt(spark: SparkSession, path: str) -> str:
+    """A template or few-shot text."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """(row, col, heading, value) of a spreadsheet saved as CSV: the first line's headings, then each cell in order."""
+    df = numbered(spark.read.csv(path, header=True, multiLine=True, escape='"').withColumn("_m", F.monotonically_increasing_id()), ["_m"], "row").drop("_m")
+    cells = F.array(*[F.struct(F.lit(h).alias("heading"), F.col(f"`{h}`").alias("value")) for h in df.columns if h != "row"])
+    return df.select("row", F.posexplode(cells).alias("col", "c")).select("row", "col", "c.heading", "c.value")
+
+
+def write_evaluation(predicted: DataFrame, gold: DataFrame, path: str, most: int | None = None) -> None:
+    """Two tables of lines (line_no, text) as pred and ref below path: rows that cannot be read go with their gold, and so
+    do those whose numbers of triples differ by more than most."""
+    rows = evaluation_rows(predicted, gold)
+    if most is not None:
+        rows = length_filter(rows, most)
+    for name, kind, column in (("pred", "gtriple", "predicted"), ("ref", "mtriple", "gold")):
+        write_evaluation_xml(rows.select(F.col("line_no").alias("entry"), F.col(column).alias("triples")), f"{path}/{name}", kind)
 
 
 def triple_text(s="s", r="r", o="o"):
@@ -106,11 +144,12 @@ def write_stages(df: DataFrame, path: str, iteration: int) -> None:
     df.write.mode("errorifexists").json(str(PurePosixPath(path) / f"iter={iteration}"))
 
 
-def write_paragraphs(df: DataFrame, column: str, order: str, path: str, size: int = 20) -> None:
-    """Paragraphs in order, a blank line after every size of them."""
-    at = F.row_number().over(Window.partitionBy("_p").orderBy(order))
-    ranked = df.repartitionByRange(1, F.col(order)).withColumn("_p", F.spark_partition_id()).withColumn("_i", at)
-    write_lines(ranked.withColumn("line", F.when(F.col("_i") % size == 0, F.concat(F.col(column), F.lit("\n"))).otherwise(F.col(column))), "line", [order], path)
+def write_paragraphs(df: DataFrame, column: str, order: str, path: str, size: int = 20, parts: int = 1) -> None:
+    """Paragraphs in order, a blank line after every size of them and after the last."""
+    placed = numbered(df, [order], "_at")
+    last = placed.count() - 1
+    line = F.when((F.col("_at") % size == size - 1) | (F.col("_at") == last), F.concat(F.col(column), F.lit("\n"))).otherwise(F.col(column))
+    write_lines(placed.withColumn("line", line), "line", ["_at"], path, parts)
 
 
 def append_csv(df: DataFrame, path: str) -> None:
@@ -123,9 +162,42 @@ def write_split(df: DataFrame, path: str, shares=(0.75, 0.125, 0.125), seed: int
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Node and edge tables; edges are laid out by type, so that lookups of a type read its files only."""
-    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").partitionBy("rel_type").parquet(f"{path}/edges")
+    """Node and edge tables; edges are laid out by type, so that lookups of a type read its files only.
+
+    What stood at path is replaced. The new tables are written beside it first, as they may be made from the old ones.
+    """
+    spark = nodes.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    beside = at.suffix(".new")
+    fs.delete(beside, True)
+    nodes.write.parquet(f"{path}.new/nodes")
+    edges.write.partitionBy("rel_type").parquet(f"{path}.new/edges")
+    fs.delete(at, True)
+    if not fs.rename(beside, at):
+        raise OSError(f"cannot move the new graph to {path}")
+
+
+def rebuild_graph(spark: SparkSession, parts: list[tuple[str, str | None]], path: str) -> None:
+    """A graph from nothing: parts are files of triples, each with a food table or None, loaded one after the other. The
+    keys are checked before the old graph is replaced."""
+    rows = [(read_triples(spark, t).select("s", "r", "o"), None if f is None else read_food(spark, f)) for t, f in parts]
+    nodes, edges = graph.rebuild(rows)
+    for df, keys in ((nodes, ("label", "name")), (edges, tuple(graph.EDGE_KEY))):
+        if graph.violations(df, keys).limit(1).count():
+            raise ValueError(f"{keys} are not unique")
+    save_graph(nodes, edges, path)
+
+
+def clear_graph(spark: SparkSession, path: str) -> None:
+    """Deletes all nodes and edges."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def triples_of(edges: DataFrame) -> DataFrame:
+    """(s, r, o) of saved edges."""
+    return edges.select(F.col("s_name").alias("s"), F.col("relation").alias("r"), F.col("o_name").alias("o"))
 
 
 def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
