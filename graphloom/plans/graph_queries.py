@@ -4,38 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import cleaning, extraction, graph
+from graphloom.operators import advice, cleaning, graph
+from graphloom.operators.models import StubClient
 from graphloom.plans import kg
 from graphloom.plans.kg import EDGES_SQL, TRIPLES_SQL, table
 from graphloom.plans.registry import registry
+from graphloom.sources import files
+from graphloom.sources.work import fresh_path
 
 QUERIES, ORACLE_SQL, query = registry()
 AVOID = ["has_brand", "has_type"]
+_graphs: dict[tuple[str, str], str] = {}
 
 
 def _edges(spark, d):
     return kg.labelled(kg.triples(spark, d))
 
 
+def _saved(spark, d):
+    """(nodes, edges) of the graph, saved once a session: lookups read the files of the types and columns they need."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _graphs:
+        path = fresh_path(spark, "graph")
+        nodes, edges = kg.nodes_of(_edges(spark, d)), _edges(spark, d)
+        sizes = table(spark, d, "part").groupBy(F.lit("Part").alias("label"), F.col("p_name").alias("name")).agg(F.min("p_size").cast("bigint").alias("size"), F.max("p_retailprice").alias("price"))
+        files.save_graph(nodes.join(sizes, ["label", "name"], "left"), edges, path)
+        _graphs[at] = path
+    return files.load_graph(spark, _graphs[at])
+
+
+def _typed(edges, relations):
+    """Triples of the edges of these relations; only their files are read."""
+    return files.triples_of(edges.where(F.col("rel_type").isin([r.upper() for r in relations])))
+
+
 @query(f"""WITH {TRIPLES_SQL} SELECT s AS item FROM kg WHERE r IN ('has_brand', 'has_type') AND contains(lower(o), 'brand#1')
 UNION SELECT o FROM kg WHERE r IN ('has_brand', 'has_type') AND contains(lower(s), 'brand#1')""")
 def avoid_list(spark, d):
-    return graph.avoid_list(kg.triples(spark, d), "Brand#1", AVOID)
+    return graph.avoid_list(_typed(_saved(spark, d)[1], AVOID), "Brand#1", AVOID)
 
 
 @query(f"""WITH {TRIPLES_SQL} SELECT s AS subject, r AS relation, o AS object FROM kg WHERE s = 'NATION_3'
 UNION SELECT s, r, o FROM kg WHERE o = 'NATION_3'""")
 def node_relations(spark, d):
-    return graph.node_relations(kg.triples(spark, d), "NATION_3")
+    return graph.node_relations(files.triples_of(_saved(spark, d)[1]), "NATION_3")
 
 
 @query(f"""WITH {TRIPLES_SQL}, n AS (SELECT p_name AS name, min(p_size)::BIGINT AS size, max(p_retailprice) AS price FROM part GROUP BY p_name),
 one AS (SELECT * FROM n WHERE contains(lower(name), 'ring') AND size IS NOT NULL ORDER BY length(name), name LIMIT 1)
-SELECT name, size, price, array_to_string(list_sort(list(DISTINCT o) FILTER (o IS NOT NULL)), '|') AS connections
-FROM one LEFT JOIN (SELECT DISTINCT s, o FROM kg) k ON k.s = one.name GROUP BY ALL""")
+SELECT name, size, price, coalesce(string_agg(r || '>' || o, '|' ORDER BY r, o), '') AS connections
+FROM one LEFT JOIN (SELECT DISTINCT s, r, o FROM kg) k ON k.s = one.name GROUP BY name, size, price""")
 def food_lookup(spark, d):
-    nodes = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_size").cast("bigint").alias("size"), F.max("p_retailprice").alias("price"))
-    return graph.food_lookup(nodes, kg.triples(spark, d), "Ring", "size", ["size", "price"])
+    nodes, edges = _saved(spark, d)
+    found = graph.food_lookup(nodes.where("label = 'Part'"), files.triples_of(edges), "Ring", "size", ["size", "price"])
+    said = F.transform("connections", lambda c: F.concat(c["relation"], F.lit(">"), c["target"]))
+    return found.withColumn("connections", F.array_join(said, "|"))
 
 
 @query(f"WITH {EDGES_SQL} SELECT DISTINCT name FROM nodes WHERE name IS NOT NULL")
@@ -91,43 +114,71 @@ def missing_gold(spark, d):
 
 
 @query(f"""WITH {TRIPLES_SQL}, e AS (SELECT s AS name FROM kg UNION SELECT o FROM kg),
-c AS (SELECT name, CASE WHEN name IN (SELECT p_name FROM part) THEN 'Food' WHEN lower(trim(name)) IN ('asia', 'africa', 'europe') THEN 'Disease' WHEN lower(trim(name)) IN ('economy', 'promo') THEN 'Nutrient' ELSE 'Other' END AS kind FROM e)
-SELECT kind, CASE kind WHEN 'Other' THEN 'Entity' ELSE kind END AS label, count(*) AS n FROM c GROUP BY ALL""")
+c AS (SELECT name, CASE WHEN name IN (SELECT p_name FROM part) THEN 'Food' WHEN lower(trim(name)) IN ('asia', 'africa', 'europe') THEN 'Disease' WHEN lower(trim(name)) IN ('no such nutrient') THEN 'Nutrient' ELSE 'Other' END AS kind FROM e)
+SELECT k.kind, CASE k.kind WHEN 'Other' THEN 'Entity' ELSE k.kind END AS label, count(c.name) AS n FROM (VALUES ('Food'), ('Disease'), ('Nutrient'), ('Other')) k(kind) LEFT JOIN c ON c.kind = k.kind GROUP BY ALL""")
 def entity_classes(spark, d):
     foods = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("food", F.lit(True))
     e = graph.entities(kg.triples(spark, d)).join(foods, "name", "left")
-    kind = graph.entity_class(F.col("name"), F.coalesce("food", F.lit(False)), ["asia", "africa", "europe"], ["economy", "promo"])
-    return e.select(kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("n")).select("kind", graph.node_label(F.col("kind")).alias("label"), "n")
+    kind = graph.entity_class(F.col("name"), F.coalesce("food", F.lit(False)), ["asia", "africa", "europe"], ["no such nutrient"])
+    return graph.class_counts(e.select(kind.alias("kind"))).select("kind", graph.node_label(F.col("kind")).alias("label"), "n")
 
 
-@query(f"""WITH {TRIPLES_SQL} SELECT DISTINCT r AS relation, CASE lower(r) WHEN 'part_of' THEN 'THUOC_NHOM' ELSE coalesce(nullif(upper(replace(trim(regexp_replace(r, '[^a-zA-Z0-9\\s_]', '', 'g')), ' ', '_')), ''), 'RELATED_TO') END AS rel_type
-FROM (SELECT r FROM kg UNION ALL SELECT o_orderpriority FROM orders UNION ALL SELECT 'là nguồn' UNION ALL SELECT 'đ')""".replace("CASE lower(r) WHEN 'part_of'", "CASE lower(r) WHEN 'là nguồn' THEN 'GIAU' WHEN 'part_of'"))
+@query(f"""WITH {TRIPLES_SQL} SELECT DISTINCT r AS relation, CASE lower(r) WHEN 'là nguồn' THEN 'GIAU' WHEN 'part_of' THEN 'THUOC_NHOM' ELSE coalesce(nullif(upper(replace(trim(regexp_replace(r, '[^a-zA-Z0-9\\s_]', '', 'g')), ' ', '_')), ''), 'RELATED_TO') END AS rel_type
+FROM (SELECT r FROM kg UNION ALL SELECT o_orderpriority FROM orders UNION ALL SELECT 'là nguồn' UNION ALL SELECT 'đ')""")
 def edge_types(spark, d):
     more = table(spark, d, "orders").select(F.col("o_orderpriority").alias("r")).unionByName(spark.createDataFrame([("là nguồn",), ("đ",)], "r string"))
     types = graph.EDGE_TYPES | {"part_of": "THUOC_NHOM"}
     return kg.triples(spark, d).select("r").unionByName(more).distinct().select(F.col("r").alias("relation"), graph.edge_type(F.col("r"), types).alias("rel_type"))
 
 
-@query("""WITH old AS (SELECT 'Part' AS label, p_name AS name, min(p_size)::BIGINT AS size, NULL::DOUBLE AS price FROM part WHERE p_partkey % 3 = 0 GROUP BY p_name),
-new AS (SELECT 'Part' AS label, p_name AS name, max(p_size)::BIGINT AS size, max(p_retailprice) AS price FROM part WHERE p_partkey % 5 = 0 AND p_size > 10 GROUP BY p_name)
+@query("""WITH old AS (SELECT 'Part' AS label, p_name AS name, min(p_size)::BIGINT AS size, NULL::DOUBLE AS price FROM part GROUP BY p_name),
+new AS (SELECT 'Part' AS label, name, arg_max(p_size, p_partkey) FILTER (p_size > 25)::BIGINT AS size, arg_max(p_retailprice, p_partkey) AS price FROM (SELECT *, p_name AS name FROM part UNION ALL SELECT *, p_type || ' ' || p_name FROM part) GROUP BY name)
 SELECT coalesce(n.label, o.label) AS label, coalesce(n.name, o.name) AS name, coalesce(n.size, o.size) AS size, coalesce(n.price, o.price) AS price FROM old o FULL JOIN new n ON o.label = n.label AND o.name = n.name""")
 def node_upsert(spark, d):
     p = table(spark, d, "part")
-    old = p.where("p_partkey % 3 = 0").groupBy(F.col("p_name").alias("name")).agg(F.min("p_size").cast("bigint").alias("size")).select(F.lit("Part").alias("label"), "name", "size", F.lit(None).cast("double").alias("price"))
-    new = p.where("p_partkey % 5 = 0 AND p_size > 10").groupBy(F.col("p_name").alias("name")).agg(F.max("p_size").cast("bigint").alias("size"), F.max("p_retailprice").alias("price")).select(F.lit("Part").alias("label"), "name", "size", "price")
-    return graph.upsert_nodes(old, new)
+    old = p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_size").cast("bigint").alias("size")).select(F.lit("Part").alias("label"), "name", "size", F.lit(None).cast("double").alias("price"))
+    # every part twice, by name and by type and name, names repeated; small sizes are missing
+    names = F.explode(F.array("p_name", F.concat_ws(" ", "p_type", "p_name"))).alias("name")
+    new = p.select(F.lit("Part").alias("label"), names, F.when(F.col("p_size") > 25, F.col("p_size").cast("bigint")).alias("size"), F.col("p_retailprice").alias("price"), F.col("p_partkey").alias("at"))
+    return graph.upsert_nodes(old, new, order="at")
 
 
-@query(f"""WITH {EDGES_SQL} SELECT s_label, s_name, rel_type, relation, o_label, o_name FROM edges e WHERE EXISTS (SELECT 1 FROM nodes n WHERE n.label = e.s_label AND n.name = e.s_name AND n.name NOT LIKE '%9') AND o_name NOT LIKE '%9'""")
+@query(f"""WITH {EDGES_SQL} SELECT s_label, s_name, rel_type, relation, o_label, o_name FROM edges WHERE s_name NOT LIKE '%9' AND o_name NOT LIKE '%9'
+UNION SELECT s_label, s_name, rel_type, relation, o_label, o_name FROM edges WHERE relation IN ('located_in', 'part_of')""")
 def edge_upsert(spark, d):
+    # what is there stays, danglers too; new edges need both nodes
     e = _edges(spark, d)
     nodes = kg.nodes_of(e).where("name NOT LIKE '%9'")
-    return graph.upsert_edges(e.limit(0), e.unionByName(e), nodes)
+    return graph.upsert_edges(e.where("relation IN ('located_in', 'part_of')"), e.unionByName(e), nodes)
+
+
+def _foods(spark, d):
+    p = table(spark, d, "part")
+    return p.select(F.col("p_name").alias("name"), F.col("p_type").alias("food_group"), F.when(F.col("p_size") > 5, F.col("p_size").cast("double")).alias("size"), F.col("p_retailprice").alias("price"), F.col("p_partkey").alias("at"))
 
 
-@query("SELECT DISTINCT 'Food' AS s_label, p_name AS s_name, 'BELONGS_TO' AS rel_type, NULL::VARCHAR AS relation, 'Category' AS o_label, p_type AS o_name FROM part")
+def _imported(spark, d):
+    e = _edges(spark, d).where("relation = 'has_brand'")
+    return graph.import_food(kg.nodes_of(e), e, _foods(spark, d), order="at")
+
+
+@query(f"""WITH {EDGES_SQL} SELECT s_label, s_name, rel_type, relation, o_label, o_name FROM edges WHERE relation = 'has_brand'
+UNION SELECT 'Food', p_name, 'BELONGS_TO', NULL, 'Category', p_type FROM part""")
 def category_upsert(spark, d):
-    return table(spark, d, "part").select(F.lit("Food").alias("s_label"), F.col("p_name").alias("s_name"), F.lit("BELONGS_TO").alias("rel_type"), F.lit(None).cast("string").alias("relation"), F.lit("Category").alias("o_label"), F.col("p_type").alias("o_name")).distinct()
+    return _imported(spark, d)[1]
+
+
+@query(f"""WITH {EDGES_SQL} SELECT s_label AS label, s_name AS name, NULL AS type, NULL::DOUBLE AS size, NULL::DOUBLE AS price FROM edges WHERE relation = 'has_brand' UNION SELECT o_label, o_name, NULL, NULL, NULL FROM edges WHERE relation = 'has_brand'
+UNION SELECT 'Food', p_name, 'Food', arg_max(CASE WHEN p_size > 5 THEN p_size ELSE 0 END, p_partkey), arg_max(p_retailprice, p_partkey) FROM part GROUP BY p_name UNION SELECT 'Category', p_type, 'Category', NULL, NULL FROM part""")
+def food_nodes(spark, d):
+    return _imported(spark, d)[0].select("label", "name", "type", "size", "price")
+
+
+@query(f"""WITH {TRIPLES_SQL}, f AS (SELECT lower(p_name) AS k, min(p_size)::DOUBLE AS size FROM part GROUP BY 1)
+SELECT n.name, f.size, f.k IS NOT NULL AS is_food FROM (SELECT s AS name FROM kg UNION SELECT o FROM kg) n LEFT JOIN f ON f.k = lower(n.name)""")
+def entity_properties(spark, d):
+    food = table(spark, d, "part").groupBy(F.upper("p_name").alias("name")).agg(F.min("p_size").cast("double").alias("size"))
+    return graph.with_properties(graph.entities(kg.triples(spark, d)), food)
 
 
 @query(f"""WITH {EDGES_SQL} SELECT (SELECT count(*) FROM (SELECT label, name FROM nodes GROUP BY ALL HAVING count(*) > 1)) AS node_violations,
@@ -189,11 +240,14 @@ def dedup_ci(spark, d):
     return out.select("before", "after", (F.col("before") - F.col("after")).alias("removed"), "kept_sum")
 
 
-@query("""WITH u AS (SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, lang FROM documents WHERE doc_id % 3 = 0)
-SELECT doc_id, lang FROM u QUALIFY row_number() OVER (PARTITION BY doc_id, lang) = 1""")
+@query("SELECT doc_id, lang, before, after, before - after AS removed FROM (SELECT DISTINCT doc_id, lang FROM documents), (SELECT 2 * count(*) AS before, (SELECT count(*) FROM (SELECT DISTINCT doc_id, lang FROM documents)) AS after FROM documents)")
 def merge_parts(spark, d):
+    # two parts, each of all documents
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    return cleaning.first_of_each(docs.where("doc_id % 2 = 0").unionByName(docs.where("doc_id % 3 = 0")), [F.col("doc_id"), F.col("lang")], ["doc_id"])
+    both = docs.withColumn("part", F.lit(1)).unionByName(docs.withColumn("part", F.lit(2)))
+    kept = cleaning.first_of_each(both, [F.col("doc_id"), F.col("lang")], ["part"]).drop("part")
+    n = both.agg(F.count("*").alias("before")).crossJoin(kept.agg(F.count("*").alias("after")))
+    return kept.crossJoin(F.broadcast(n.withColumn("removed", F.col("before") - F.col("after"))))
 
 
 @query("SELECT part, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM (SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // ceil((SELECT count(*) FROM documents) / 7.0)::BIGINT)::BIGINT AS part FROM documents) GROUP BY part")
@@ -220,24 +274,78 @@ def daily_value_bars(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), bar("p_size", 20).alias("size_bar"), bar("p_retailprice", 2000).alias("price_bar"))
 
 
-@query("SELECT p_partkey AS id, coalesce(CASE WHEN p_size > 25 THEN p_size::DOUBLE END, 0) AS calories, coalesce(CASE WHEN p_retailprice > 1000 THEN p_retailprice END, 0) AS fat, 0.0::DOUBLE AS zinc FROM part")
+@query("SELECT p_partkey AS id, coalesce(CASE WHEN p_size > 25 THEN p_size::DOUBLE END, 0) AS calories, coalesce(CASE WHEN p_retailprice > 1000 THEN p_retailprice END, 0) AS fat, 0.0::DOUBLE AS zinc, 0.0::DOUBLE AS others FROM part")
 def default_zero(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 25, F.col("p_size").cast("double")).alias("calories"), F.when(F.col("p_retailprice") > 1000, F.col("p_retailprice")).alias("fat"))
-    return extraction.zeroed(p, ["calories", "fat", "zinc"]).select("id", "calories", "fat", "zinc")
+    others = [m for m in graph.METRICS if m not in ("calories", "fat", "zinc")]
+    return advice.zeroed(p).select("id", "calories", "fat", "zinc", F.greatest(*others).alias("others"))
+
 
+# advice: foods and diseases are searched by substring, all requests at once
+_REQUESTS = """req AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'RING' WHEN 1 THEN c_name WHEN 2 THEN 'e Bolt' ELSE 'no such thing' END AS food, CASE c_custkey % 3 WHEN 0 THEN 'Promo alias ' WHEN 1 THEN 'brand#1' ELSE 'none' END AS disease FROM customer)"""
+_ADVICE = """n AS (SELECT p_name AS name, max(p_size) AS size FROM part GROUP BY p_name),
+t AS (SELECT DISTINCT s, r, o FROM kg),
+ends AS (SELECT lower(o) AS name, s AS item FROM t WHERE r IN ('has_brand', 'has_type') UNION SELECT lower(s), o FROM t WHERE r IN ('has_brand', 'has_type')),
+r2 AS (SELECT *, CASE lower(trim(disease)) WHEN 'promo alias' THEN 'promo' ELSE lower(disease) END AS target FROM req),
+av AS (SELECT target, string_agg(DISTINCT item, '|' ORDER BY item) AS avoid FROM (SELECT DISTINCT target FROM r2) k JOIN ends ON contains(ends.name, k.target) GROUP BY target),
+di AS (SELECT food, min_by(name, (length(name), name)) AS direct FROM (SELECT DISTINCT food FROM req) k JOIN n ON contains(lower(n.name), lower(k.food)) WHERE size IS NOT NULL GROUP BY food),
+co AS (SELECT s, string_agg(o, '|' ORDER BY o) AS connections FROM (SELECT DISTINCT s, o FROM t) GROUP BY s),
+re AS (SELECT name, string_agg(said, '|' ORDER BY said) AS relations FROM (SELECT s AS name, s || ' --[' || r || ']--> ' || o AS said FROM t UNION SELECT o, s || ' --[' || r || ']--> ' || o FROM t) GROUP BY name),
+j AS (SELECT r2.*, avoid, direct, mapped, coalesce(direct, mapped) AS found FROM r2 LEFT JOIN av USING (target) LEFT JOIN di USING (food) LEFT JOIN m USING (id)),
+s2 AS (SELECT *, CASE WHEN direct IS NOT NULL THEN 'OK_FOOD' WHEN mapped IS NOT NULL THEN 'OK_MAPPED' WHEN avoid IS NOT NULL THEN 'BLOCKED' ELSE 'NOT_FOUND' END AS status FROM j),
+a2 AS (SELECT s2.id, food, disease, status, found, coalesce(avoid, '') AS avoid, coalesce(co.connections, '') AS connections, coalesce(re.relations, '') AS relations, CASE WHEN status = 'BLOCKED' THEN 0 ELSE n.size END::DOUBLE AS size,
+  CASE WHEN starts_with(status, 'OK') THEN concat_ws(chr(10), 'Question: ' || food, 'Disease: ' || disease, CASE WHEN avoid IS NULL THEN '(nothing known to be avoided with ' || disease || ')' ELSE 'To be avoided with ' || disease || ':' || chr(10) || '  - ' || replace(avoid, '|', chr(10) || '  - ') END,
+    CASE status WHEN 'OK_FOOD' THEN 'Node: ' || found || chr(10) || 'Connections:' || chr(10) || coalesce('  - ' || replace(co.connections, '|', chr(10) || '  - '), '')
+    ELSE chr(39) || food || chr(39) || ' stands for node: ' || chr(39) || found || chr(39) || chr(10) || 'Relations:' || chr(10) || coalesce('  - ' || replace(re.relations, '|', chr(10) || '  - '), '') END) END AS context
+  FROM s2 LEFT JOIN n ON n.name = found LEFT JOIN co ON co.s = found LEFT JOIN re ON re.name = found)"""
+_ALIASES = {"promo alias": "PROMO"}
 
-@query(f"""WITH {TRIPLES_SQL}, req AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'Blue Ring' WHEN c_custkey % 4 = 1 THEN c_name ELSE 'no such thing' END AS food, CASE WHEN c_custkey % 3 = 0 THEN 'Promo alias' WHEN c_custkey % 3 = 1 THEN 'Brand#1' ELSE 'none' END AS disease FROM customer),
-n AS (SELECT lower(p_name) AS k, min(p_name) AS direct FROM part WHERE p_size IS NOT NULL GROUP BY 1),
-b AS (SELECT lower(o) AS k, s AS item FROM kg WHERE r IN ('has_brand', 'has_type') UNION SELECT lower(s), o FROM kg WHERE r IN ('has_brand', 'has_type')),
-l AS (SELECT k, count(*) AS c FROM b GROUP BY k), e AS (SELECT s, count(DISTINCT o) AS c FROM kg GROUP BY s),
-m AS (SELECT id, CASE WHEN id % 4 = 1 THEN food END AS mapped FROM req),
-j AS (SELECT r.id, food, disease, direct, coalesce(direct, mapped) AS found, coalesce(l.c, 0) AS avoid_n, mapped FROM req r LEFT JOIN n ON lower(food) = n.k LEFT JOIN l ON l.k = lower(CASE lower(disease) WHEN 'promo alias' THEN 'PROMO' ELSE disease END) LEFT JOIN m ON m.id = r.id),
-s AS (SELECT *, CASE WHEN direct IS NOT NULL THEN 'OK_FOOD' WHEN mapped IS NOT NULL THEN 'OK_MAPPED' WHEN avoid_n > 0 THEN 'BLOCKED' ELSE 'NOT_FOUND' END AS status FROM j)
-SELECT id, status, found, avoid_n, coalesce(e.c, 0) AS connections_n, CASE WHEN starts_with(status, 'OK') THEN concat_ws(chr(10), 'Q: ' || food, 'D: ' || disease, 'avoid: ' || avoid_n, 'node: ' || found) END AS context FROM s LEFT JOIN e ON e.s = s.found""")
+
+def _advice_nodes(spark, d):
+    return table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").cast("double").alias("size"))
+
+
+def _plain(out):
+    listed = {c: F.array_join(c, "|") for c in ("avoid", "connections", "relations")}
+    return out.withColumns(listed).withColumn("size", F.col("nutrition.size")).drop("nutrition")
+
+
+@query(f"WITH {TRIPLES_SQL}, {_REQUESTS}, m AS (SELECT id, food AS mapped FROM req WHERE id % 4 = 1), {_ADVICE} SELECT id, food, disease, status, found, avoid, connections, relations, size, context FROM a2")
 def advice_batch(spark, d):
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
-    req = c.select(k.alias("id"), F.when(k % 4 == 0, "Blue Ring").when(k % 4 == 1, F.col("c_name")).otherwise("no such thing").alias("food"), F.when(k % 3 == 0, "Promo alias").when(k % 3 == 1, "Brand#1").otherwise("none").alias("disease"))
-    nodes = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    food = F.when(k % 4 == 0, "RING").when(k % 4 == 1, F.col("c_name")).when(k % 4 == 2, "e Bolt").otherwise("no such thing")
+    req = c.select(k.alias("id"), food.alias("food"), F.when(k % 3 == 0, "Promo alias ").when(k % 3 == 1, "brand#1").otherwise("none").alias("disease"))
+    # the model's answers: a name that has no relations, then the customer's own
     matches = c.where("c_custkey % 4 = 1").select(k.alias("id"), F.explode(F.array(F.struct(F.lit("nobody").alias("name"), F.lit(0).alias("ord")), F.struct(F.col("c_name").alias("name"), F.lit(1).alias("ord")))).alias("m")).select("id", "m.*")
-    return extraction.advise(req, nodes, kg.triples(spark, d), AVOID, {"promo alias": "PROMO"}, "size", matches)
+    return _plain(advice.advise(req, _advice_nodes(spark, d), kg.triples(spark, d), AVOID, _ALIASES, "size", matches, ["size"]))
+
+
+_ASKED = [(1, "ring", "brand#1"), (2, "please nation_3 and africa", "none"), (3, "what is it", "promo alias"), (4, "nothing", "none"), (5, "Nobody", "Brand#12")]
+_ASKED_SQL = "req AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{q}', '{x}')" for i, q, x in _ASKED) + ") v(id, food, disease))"
+_MATCHED_SQL = "m AS (SELECT id, min(name) AS mapped FROM req JOIN (SELECT s AS name FROM kg UNION SELECT o FROM kg) x ON list_contains(string_split(lower(food), ' '), lower(name)) GROUP BY id)"
+
+
+def _asked(spark, d):
+    nodes = kg.nodes_of(_edges(spark, d)).select("name").distinct().join(_advice_nodes(spark, d), "name", "left")
+    return nodes, kg.triples(spark, d), {"avoid": AVOID, "aliases": _ALIASES, "needed": "size", "metrics": ["size"]}
+
+
+@query(f"""WITH {TRIPLES_SQL}, {_ASKED_SQL}, {_MATCHED_SQL}, {_ADVICE} SELECT id, food, disease, status, found, avoid, connections, relations, size, context,
+CASE status WHEN 'BLOCKED' THEN 'Nothing is known about ' || food || '; no advice is given.' WHEN 'NOT_FOUND' THEN 'Nothing is known about ' || food || ' or ' || disease || '.' ELSE food || ' / ' || disease || ': ' || context END AS response FROM a2""")
+def advice_flow(spark, d):
+    nodes, triples, options = _asked(spark, d)
+    return _plain(advice.flow(spark.createDataFrame(_ASKED, "id bigint, food string, disease string"), nodes, triples, StubClient(), **options))
+
+
+@query(f"""WITH {TRIPLES_SQL}, {_ASKED_SQL}, {_MATCHED_SQL}, {_ADVICE}, p AS (SELECT food || ' / ' || disease || ': ' || context AS said, found, size FROM a2 WHERE id = 1)
+SELECT 'question' AS kind, said AS bot_response, found AS name, size FROM p UNION ALL SELECT 'image', said, found, size FROM p UNION ALL SELECT 'no image', 'No dish can be seen on the image.', NULL, NULL UNION ALL SELECT 'unknown', 'Nothing is known about nothing or none.', NULL, NULL""")
+def ask(spark, d):
+    import base64
+
+    nodes, triples, options = _asked(spark, d)
+    client, image = StubClient(), base64.b64encode(b"ring").decode()
+    said = [("question", advice.ask(spark, "ring", "brand#1", nodes, triples, client, **options)), ("image", advice.ask_image(spark, image, "brand#1", nodes, triples, client, **options))]
+    said += [("no image", files.answer_dict(advice.ask_image(spark, "?", "brand#1", nodes, triples, client, **options))), ("unknown", advice.ask(spark, "nothing", "none", nodes, triples, client, **options))]
+    rows = [(k, a["bot_response"], (a["nutrition"] or {}).get("name"), (a["nutrition"] or {}).get("size")) for k, a in said]
+    return spark.createDataFrame(rows, "kind string, bot_response string, name string, size double")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators import extraction, retrieval
+from graphloom.operators import cleaning, evaluation, extraction, foods, retrieval
+from graphloom.operators.cleaning import numbered
 from graphloom.plans import kg
 from graphloom.plans.kg import TRIPLES_SQL, table
 from graphloom.plans.registry import registry
@@ -58,27 +59,27 @@ def decimal_parse(spark, d):
     return table(spark, d, "part").select(k.alias("id"), T.decimal(v).alias("as_null"), T.decimal(v, 0.0).alias("as_zero"))
 
 
-@query(f"WITH {TRIPLES_SQL} SELECT s, r, o, count(*) AS n FROM kg WHERE r <> 'ordered_with' GROUP BY ALL")
+@query(f"WITH {TRIPLES_SQL} SELECT s, r, o, count(*) AS n FROM kg GROUP BY ALL")
 def parse_literals(spark, d):
-    t = kg.triples(spark, d).where("r <> 'ordered_with'")
+    t = kg.triples(spark, d)
     one = F.concat(F.lit("['"), "s", F.lit("', \""), "r", F.lit("\", '"), "o", F.lit("']"))
     lines = t.select(F.when(F.col("r") == "part_of", one).otherwise(F.concat(F.lit("["), one, F.lit(", ['x', 'y']]"))).alias("line"))
     return lines.select(F.explode(T.triple_literals(F.col("line"))).alias("t")).groupBy(*[F.get("t", F.lit(i)).alias(c) for i, c in enumerate("sro")]).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {TRIPLES_SQL} SELECT DISTINCT s, r, o FROM kg WHERE r IN ('part_of', 'located_in')")
+@query(f"WITH {TRIPLES_SQL} SELECT DISTINCT s, r, o FROM kg")
 def parse_triplets(spark, d):
-    t = kg.triples(spark, d).where("r IN ('part_of', 'located_in')").distinct()
+    t = kg.triples(spark, d).distinct()
     answer = F.concat(F.lit("Sure: [['"), "s", F.lit("', '"), "r", F.lit("', '"), "o", F.lit("'], ['a', '_', 'b'], ['', 'c', 'd'], ['two', 'parts']] done]"))
     found = t.select(F.explode(T.answer_triples(answer)).alias("t"))
     return found.select(*[F.get("t", F.lit(i)).alias(c) for i, c in enumerate("sro")])
 
 
-@query(f"WITH {TRIPLES_SQL} SELECT s, 2::BIGINT AS n, s || '|' || o AS listed FROM (SELECT DISTINCT s, o FROM kg WHERE r = 'part_of')")
+@query(f"WITH {TRIPLES_SQL} SELECT s, o, 2::BIGINT AS n, s || '|' || o AS listed FROM (SELECT DISTINCT s, o FROM kg)")
 def parse_entities(spark, d):
-    t = kg.triples(spark, d).where("r = 'part_of'").select("s", "o").distinct()
-    found = t.select("s", T.answer_entities(F.concat(F.lit("Entities: ['"), "s", F.lit("', '"), "o", F.lit("'] and [more]"))).alias("e"))
-    return found.select("s", F.size("e").cast("bigint").alias("n"), F.array_join("e", "|").alias("listed"))
+    t = kg.triples(spark, d).select("s", "o").distinct()
+    found = t.select("s", "o", T.answer_entities(F.concat(F.lit("Entities: ['"), "s", F.lit("', '"), "o", F.lit("'] and [more]"))).alias("e"))
+    return found.select("s", "o", F.size("e").cast("bigint").alias("n"), F.array_join("e", "|").alias("listed"))
 
 
 @query("SELECT n_name AS name, 'in region ' || r_name || ': fine' AS definition FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -133,28 +134,85 @@ def mention_filter(spark, d):
     return retrieval.mentioned(rows).select("doc_id", "words")
 
 
-_TAGS = [("size (cm)", "p_size", 30.0), ("price (eur)", "p_retailprice", 1200.0)]
+# parts as foods: amounts as text with a decimal comma, every third group missing
+_FOOD_CELLS = {"TÊN THỨC ĂN": "p_name", "Loại": "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END", "Calories (kcal)": "p_size::VARCHAR", "Fat (g)": "replace((p_size / 2.0)::VARCHAR, '.', ',')", "Natri (mg)": "replace(round(p_retailprice / 2, 1)::VARCHAR, '.', ',')", "Chất xơ (g)": "CASE WHEN p_partkey % 4 = 0 THEN 'n/a' ELSE (p_partkey % 7)::VARCHAR END", "Carbonhydrates (g)": "(p_size + 10)::VARCHAR"}
 
 
-@query("""SELECT p_partkey AS id, concat_ws(', ', CASE WHEN p_size > 0 AND p_size >= 30 THEN 'size' END, CASE WHEN p_retailprice > 0 AND p_retailprice >= 1200 THEN 'price' END) AS tags, 'cm' AS first_unit FROM part""")
+def _food_cells(spark, d):
+    k, p = F.col("p_partkey"), table(spark, d, "part")
+    comma = lambda c: F.replace(c.cast("string"), F.lit("."), F.lit(","))
+    cells = {"TÊN THỨC ĂN": F.col("p_name"), "Loại": F.when(k % 3 == 0, "").otherwise(F.col("p_type")), "Calories (kcal)": F.col("p_size").cast("string"), "Fat (g)": comma(F.col("p_size") / 2), "Natri (mg)": comma(F.round(F.col("p_retailprice") / 2, 1)), "Chất xơ (g)": F.when(k % 4 == 0, "n/a").otherwise((k % 7).cast("string")), "Carbonhydrates (g)": (F.col("p_size") + 10).cast("string")}
+    return p.select(k.alias("id"), *[c.alias(n) for n, c in cells.items()])
+
+
+def _paragraph_sql() -> str:
+    """The sentences of foods.py over the cells above."""
+    cell = {h: f"c{i}" for i, h in enumerate(_FOOD_CELLS)}
+    number = {h: f"coalesce(try_cast(replace({c}, ',', '.') AS DOUBLE), 0)" for h, c in cell.items()}
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    name, group = cell[foods.NAME], cell[foods.GROUP]
+
+    def said(template, **fields):
+        out = quote(template)
+        for k, v in fields.items():
+            out = f"replace({out}, '{{{k}}}', {v})"
+        return out
+
+    have = [(h, n, t) for h, n, t in foods.SOURCES if h in cell]
+    unit = lambda h: h[h.index("(") + 1 : -1]
+    held = "concat_ws(', ', " + ", ".join(f"CASE WHEN {number[h]} > 0 THEN {quote(n + ': ')} || replace({cell[h]}, ',', '.') || {quote(' ' + unit(h))} END" for h, n, _ in have) + ")"
+    tags = "concat_ws(', ', " + ", ".join(f"CASE WHEN {number[h]} > 0 AND {number[h]} >= {t} THEN {quote(n)} END" for h, n, t in have) + ")"
+    n = number
+    lines = [
+        f"CASE WHEN {group} NOT IN ('', 'None') THEN {said(foods.GROUPED, name=name, group=group)} ELSE {said(foods.UNGROUPED, name=name)} END",
+        f"CASE WHEN {held} <> '' THEN {said(foods.HOLDS, name=name, items=held)} END",
+        f"CASE WHEN {tags} <> '' THEN {said(foods.SOURCE, name=name, items=tags)} END",
+        f"CASE WHEN {n['Natri (mg)']} > 400 THEN {said(foods.SODIUM, name=name, amount=cell['Natri (mg)'])} END",
+        f"CASE WHEN {n['Fat (g)']} > 15 THEN {said(foods.FAT, name=name)} END",
+        f"CASE WHEN {n['Carbonhydrates (g)']} > 50 THEN {said(foods.CARBS, name=name, amount=cell['Carbonhydrates (g)'])} END",
+        f"CASE WHEN {n['Chất xơ (g)']} >= 3 THEN {said(foods.FIBRE, name=name, amount=cell['Chất xơ (g)'])} END",
+    ]
+    return f"cells AS (SELECT p_partkey AS id, {', '.join(f'{x} AS {cell[h]}' for h, x in _FOOD_CELLS.items())} FROM part), said AS (SELECT id, {tags} AS tags, concat_ws(' ', {', '.join(lines)}) AS paragraph FROM cells)"
+
+
+_PARAGRAPHS = _paragraph_sql()
+
+
+@query(f"WITH {_PARAGRAPHS} SELECT id, tags, 'kcal' AS first_unit FROM said")
 def threshold_tags(spark, d):
-    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("v"), F.lit(t).alias("least")) for n, c, t in _TAGS])
-    high = F.filter(rows, lambda x: (x["v"] > 0) & (x["v"] >= x["least"]))
-    names = F.transform(high, lambda x: F.regexp_replace(x["name"], r"\s*\(.*\)$", ""))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(names, ", ").alias("tags"), T.unit(F.lit(_TAGS[0][0])).alias("first_unit"))
+    rows = _food_cells(spark, d)
+    return rows.select("id", F.array_join(foods.source_tags(rows), ", ").alias("tags"), T.unit(F.lit(foods.SOURCES[0][0])).alias("first_unit"))
 
 
-@query("""SELECT p_partkey AS id, concat_ws(' ', p_name || ' is a ' || p_type || '.', CASE WHEN p_size > 0 THEN 'It holds size: ' || p_size || ' cm.' END, CASE WHEN p_size >= 30 THEN p_name || ' is a good source of size.' END,
-CASE WHEN p_size > 40 OR p_retailprice > 1500 THEN 'Limit it.' END, CASE WHEN p_size <= 3 THEN 'It is small (' || p_size || ').' END) AS paragraph, ((row_number() OVER (ORDER BY p_partkey) - 1) // 20)::BIGINT AS paragraph_group FROM part""")
+@query(f"WITH {_PARAGRAPHS} SELECT id, paragraph, ((row_number() OVER (ORDER BY id) - 1) // 20)::BIGINT AS paragraph_group FROM said")
 def row_paragraph(spark, d):
-    from graphloom.operators.cleaning import split_parts
-
-    p = table(spark, d, "part")
-    size = F.col("p_size")
-    text = F.concat_ws(
-        " ", F.concat("p_name", F.lit(" is a "), "p_type", F.lit(".")), F.when(size > 0, F.concat(F.lit("It holds size: "), size.cast("string"), F.lit(" cm."))), F.when(size >= 30, F.concat("p_name", F.lit(" is a good source of size."))),
-        F.when((size > 40) | (F.col("p_retailprice") > 1500), "Limit it."), F.when(size <= 3, F.concat(F.lit("It is small ("), size.cast("string"), F.lit(")."))),
-    )
-    groups = -(-p.count() // 20)
-    rows = split_parts(p.select("p_partkey", text.alias("paragraph")), "p_partkey", max(1, groups))
-    return rows.select(F.col("p_partkey").alias("id"), "paragraph", F.col("part").alias("paragraph_group"))
+    rows = _food_cells(spark, d)
+    placed = numbered(rows.select("id", foods.paragraph(rows).alias("paragraph")), ["id"], "at")
+    return placed.select("id", "paragraph", F.floor(F.col("at") / 20).cast("bigint").alias("paragraph_group"))
+
+
+@query(r"""SELECT DISTINCT name, trim(replace(lower(name), '_', ' ')) AS form FROM (SELECT s_name || '_' || n_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT ' ' || p_name || '_' FROM part)""")
+def embedding_text(spark, d):
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat("s_name", F.lit("_"), "n_name").alias("name"))
+    names = s.unionByName(table(spark, d, "part").select(F.concat(F.lit(" "), "p_name", F.lit("_")).alias("name"))).distinct()
+    return names.select("name", cleaning.embedding_text(F.col("name")).alias("form"))
+
+
+# predictions of which every fifth is no list of triples of three strings; gold ones all are
+@query("""SELECT item_id AS line_no, 'it''s | has | w' || item_id AS gold, CASE item_id % 5 WHEN 0 THEN '' ELSE 'it''s | has | v' || item_id || '|"q" | r | s' END AS predicted FROM benchmark WHERE item_id % 5 NOT IN (1, 2, 3)""")
+def evaluation_rows(spark, d):
+    k = F.col("item_id")
+    b = table(spark, d, "benchmark")
+    n = k.cast("string")
+    good = F.concat(F.lit("[[\"it's\", 'has', 'v"), n, F.lit("'], ['\"q\"', 'r', \"s\"]]"))
+    line = F.when(k % 5 == 0, "[]").when(k % 5 == 1, "[['a', 'b']]").when(k % 5 == 2, F.concat(F.lit("[['a', 'b', "), n, F.lit("]]"))).when(k % 5 == 3, "no list").otherwise(good)
+    rows = evaluation.evaluation_rows(b.select(k.alias("line_no"), line.alias("text")), b.select(k.alias("line_no"), F.concat(F.lit("[[\"it's\", 'has', 'w"), n, F.lit("']]")).alias("text")))
+    return rows.select("line_no", *[F.array_join(c, "|").alias(c) for c in ("gold", "predicted")])
+
+
+@query(r"""SELECT DISTINCT raw, strip_accents(replace(lower(regexp_replace(regexp_replace(replace(regexp_replace(raw, '([a-z])([A-Z])', '\1 \2', 'g'), '_', ' '), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')), 'đ', 'd')) AS form
+FROM (SELECT p_name || 'Món_Đỏ | is_' || p_type || ' | ' || p_brand AS raw FROM part)""")
+def normal_triple(spark, d):
+    raw = table(spark, d, "part").select(F.concat("p_name", F.lit("Món_Đỏ | is_"), "p_type", F.lit(" | "), "p_brand").alias("raw")).distinct()
+    with_note = F.concat("raw", F.lit(" (an_Ý note)"))
+    return raw.select("raw", evaluation.normal_triple(with_note).alias("form"))

@@ -101,11 +101,11 @@ def refine_hints(spark, d):
     return retrieval.hints(prev, ret, t.select(F.col("r").alias("relation")))
 
 
-_BY_TYPE = "t AS (SELECT DISTINCT p_type AS k, p_brand AS r FROM part WHERE p_size > 45)"
+_BY_TYPE = "t AS (SELECT DISTINCT p_type AS k, p_brand AS r FROM part)"
 
 
 def _by_type(spark, d):
-    return table(spark, d, "part").where("p_size > 45").select(F.col("p_type").alias("k"), F.col("p_brand").alias("r"))
+    return table(spark, d, "part").select(F.col("p_type").alias("k"), F.col("p_brand").alias("r"))
 
 
 @query(f"WITH {_BY_TYPE} SELECT k, r FROM (SELECT DISTINCT k FROM t), (SELECT DISTINCT r FROM t) EXCEPT SELECT k, r FROM t")
@@ -199,3 +199,70 @@ def info_nce(spark, d):
 def unit_vectors(spark, d):
     v = F.col("embedding")
     return table(spark, d, "embeddings").select("vec_id", F.round(V.norm(v), 6).alias("length"), F.round(F.get(V.normalized(v), F.lit(0)), 6).alias("first"))
+
+
+@query(f"""WITH {_NEIGHBOURS}, k AS (SELECT vec_id // 16 AS batch, vec_id AS q, q AS v, p AS w FROM x),
+s AS (SELECT a.batch, a.q, b.q AS t, {_DOT.format('a.v', 'b.w')} / sqrt({_DOT.format('a.v', 'a.v')}) / sqrt({_DOT.format('b.w', 'b.w')}) / 0.1 AS s FROM k a JOIN k b ON a.batch = b.batch)
+SELECT batch, q, round(ln(sum(exp(s))) - max(s) FILTER (q = t), 8) AS loss FROM s GROUP BY batch, q""")
+def info_nce_batches(spark, d):
+    rows = _neighbours(spark, d).select(F.floor(F.col("vec_id") / 16).cast("bigint").alias("batch"), F.col("vec_id").alias("q"), F.col("q").alias("v"), F.col("p").alias("w"))
+    return V.info_nce_in_batch(rows).withColumn("loss", F.round("loss", 8))
+
+
+@query(f"""WITH {_NEIGHBOURS}, u AS (SELECT embedding AS w FROM embeddings WHERE vec_id < 3), s AS (SELECT vec_id, {_DOT.format('q', 'p')} / 0.1 AS p, (SELECT sum(exp({_DOT.format('x.q', 'u.w')} / 0.1)) FROM u) AS n FROM x)
+SELECT vec_id, round(-ln(exp(p) / (exp(p) + n)), 8) AS loss FROM s""")
+def info_nce_unpaired(spark, d):
+    # the same negatives for every query
+    rows = table(spark, d, "embeddings").where("vec_id < 3").select("embedding").collect()
+    negatives = F.array(*[V.dot(F.col("q"), F.lit([float(x) for x in r[0]])) for r in rows])
+    loss = V.info_nce(V.dot(F.col("q"), F.col("p")), negatives, 0.1)
+    return _neighbours(spark, d).select("vec_id", F.round(loss, 8).alias("loss"))
+
+
+@query("SELECT vec_id, round(CASE vec_id % 4 WHEN 3 THEN NULL WHEN 2 THEN embedding[1]::DOUBLE ELSE embedding[2]::DOUBLE END, 6) AS first FROM embeddings")
+def last_token(spark, d):
+    # three tokens a text: the vector, the vector moved by one, the vector again; the mask ends at another place for each text
+    e, k = F.col("embedding"), F.col("vec_id") % 4
+    tokens = F.array(e, F.slice(e, F.lit(2), F.size(e) - 1), F.slice(e, F.lit(2), F.size(e) - 1))
+    mask = F.when(k == 0, F.array(F.lit(1), F.lit(1), F.lit(0))).when(k == 1, F.array(F.lit(1), F.lit(1), F.lit(1))).when(k == 2, F.array(F.lit(1), F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0), F.lit(0), F.lit(0)))
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.get(V.last_token(tokens, mask), F.lit(0)).cast("double"), 6).alias("first"))
+
+
+# entries with a triple or two and definitions, made from the parts
+_ENTRIES = """ent AS (SELECT p_partkey AS entry, p_name || ' of ' || p_brand || ' is ' || p_type AS text, p_name, p_brand, p_type FROM part),
+tr AS (SELECT entry, text, 0 AS pos, p_name AS s, 'made_by' AS r, upper(p_brand) AS o FROM ent UNION ALL SELECT entry, text, 1, p_name, 'kind_' || p_type, p_type FROM ent UNION ALL SELECT entry, text, 2, p_name, 'absent', 'not in it' FROM ent),
+de AS (SELECT entry, r AS relation, CASE r WHEN 'made_by' THEN 'who makes ' || s ELSE 'what ' || s || ' is' END AS definition FROM tr)"""
+
+
+def _entries(spark, d):
+    p = table(spark, d, "part")
+    t = lambda r, o: F.array(F.col("p_name"), r, o)
+    triples = F.array(t(F.lit("made_by"), F.upper("p_brand")), t(F.concat(F.lit("kind_"), "p_type"), F.col("p_type")), t(F.lit("absent"), F.lit("not in it")))
+    text = F.concat("p_name", F.lit(" of "), "p_brand", F.lit(" is "), "p_type")
+    entries = p.select(F.col("p_partkey").alias("entry"), text.alias("text"), triples.alias("triples"))
+    rows = entries.select("entry", F.explode("triples").alias("t")).select("entry", F.get("t", F.lit(0)).alias("s"), F.get("t", F.lit(1)).alias("relation"))
+    said = F.when(F.col("relation") == "made_by", F.concat(F.lit("who makes "), "s")).otherwise(F.concat(F.lit("what "), "s", F.lit(" is")))
+    return entries, rows.select("entry", "relation", said.alias("definition"))
+
+
+@query(f"""WITH {_ENTRIES}, pos AS (SELECT tr.entry, text, tr.r, definition, '[' || s || ', ' || tr.r || ', ' || o || ']' AS t FROM tr JOIN de ON de.entry = tr.entry AND de.relation = tr.r WHERE contains(lower(text), lower(s)) AND contains(lower(text), lower(o))),
+p AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY r) - 1 AS idx FROM pos), rel AS (SELECT relation, min(definition) AS nd FROM de GROUP BY 1),
+n AS (SELECT entry, relation, nd, row_number() OVER (PARTITION BY entry ORDER BY relation) - 1 AS idx FROM (SELECT DISTINCT entry FROM pos) e, rel WHERE NOT EXISTS (SELECT 1 FROM pos WHERE pos.entry = e.entry AND pos.r = rel.relation))
+SELECT p.entry, p.idx, text AS sentence, p.r || ': ' || definition AS positive, n.relation || ': ' || nd AS negative, p.r AS positive_relation, n.relation AS negative_relation, t AS positive_triple FROM p JOIN n ON n.entry = p.entry AND n.idx = p.idx WHERE p.idx < 2""")
+def collect_samples(spark, d):
+    out = retrieval.collect_samples(*_entries(spark, d))
+    said = F.array_join(F.transform("positive_triple", lambda t: F.concat(F.lit("["), F.array_join(t, ", "), F.lit("]"))), "; ")
+    return out.withColumn("positive_triple", said)
+
+
+@query(f"WITH {_ENTRIES} SELECT relation, array_to_string(list_sort(list(DISTINCT definition)), '|') AS definitions FROM de GROUP BY relation")
+def definition_lists(spark, d):
+    defs = _entries(spark, d)[1].withColumnRenamed("entry", "chunk")
+    return retrieval.definition_lists(defs).withColumn("definitions", F.array_join("definitions", "|"))
+
+
+@query(f"WITH {_ENTRIES} SELECT r, row_number() OVER (PARTITION BY r ORDER BY entry, pos) - 1 AS idx, text, s, o FROM tr")
+def example_lists(spark, d):
+    entries = _entries(spark, d)[0].withColumnRenamed("entry", "chunk")
+    rows = entries.select("chunk", F.posexplode("triples").alias("pos", "t")).select("chunk", "pos", *[F.get("t", F.lit(i)).alias(c) for i, c in enumerate("sro")])
+    return retrieval.examples(rows, entries)
