@@ -41,3 +41,20 @@ def test_dedup_keeps_the_first_and_is_idempotent(spark, rows):
 def test_split_covers_every_row_once(spark):
     got = C.split_parts(spark.range(23).withColumnRenamed("id", "k"), "k", 5).groupBy("part").agg(F.count("*").alias("n"), F.min("k").alias("a")).orderBy("part").collect()
     assert [(r["part"], r["n"], r["a"]) for r in got] == [(0, 5, 0), (1, 5, 5), (2, 5, 10), (3, 5, 15), (4, 3, 20)]
+
+
+def test_split_keeps_every_wide_row(spark):
+    # adaptive execution merges partitions of wide and of narrow exchanges differently
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = spark.range(200_000).select((F.col("id") * 7919 % 200_003).alias("k"), F.repeat(F.lit("x"), 256).alias("body"))
+        got = C.split_parts(rows, "k", 7).groupBy("part").agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("z")).orderBy("part").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert [r["n"] for r in got] == [28572] * 6 + [28568]
+    assert all(x["z"] < y["a"] for x, y in zip(got, got[1:]))
+
+
+def test_embedding_text(spark):
+    assert spark.createDataFrame([(" Tiểu_Đường ",)], "x string").select(C.embedding_text(F.col("x"))).first()[0] == "tiểu đường"

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import evaluation as E
 from graphloom.operators import extraction as X
 from graphloom.operators import graph as G
+from graphloom.operators.models import StubClient
 from graphloom.operators import retrieval as R
 
 
@@ -16,6 +17,8 @@ def test_upsert_keeps_old_values_where_new_ones_are_null(spark):
     new = spark.createDataFrame([("Food", "rice", None), ("Entity", "rice", 5.0), ("Food", "fish", 3.0)], "label string, name string, fat double")
     got = {(r["label"], r["name"]): r["fat"] for r in G.upsert_nodes(old, new).collect()}
     assert got == {("Food", "rice"): 1.0, ("Entity", "rice"): 5.0, ("Food", "fish"): 3.0}
+    twice = spark.createDataFrame([("Food", "rice", 7.0, 1), ("Food", "rice", None, 2), ("Food", "tea", 4.0, 3)], "label string, name string, fat double, at int")
+    assert sorted(map(tuple, G.upsert_nodes(old, twice, order="at").collect())) == [("Food", "fish", 2.0), ("Food", "rice", 7.0), ("Food", "tea", 4.0)]
 
 
 def test_self_loop_once_and_substring_on_either_side(spark):
@@ -30,6 +33,11 @@ def test_edge_types_and_labels(spark):
     assert spark.range(1).select(G.node_label(F.lit("Other")), G.entity_class(F.lit(" Gout "), F.lit(False)), G.entity_class(F.lit("gout"), F.lit(True))).first()[:] == ("Entity", "Disease", "Food")
 
 
+def test_all_classes_are_counted(spark):
+    got = G.class_counts(spark.createDataFrame([("Food",), ("Food",), ("Other",)], "kind string")).collect()
+    assert {r["kind"]: r["n"] for r in got} == {"Food": 2, "Disease": 0, "Nutrient": 0, "Other": 1}
+
+
 def test_danglers_make_no_edge(spark):
     e = spark.createDataFrame([("L", "a", "T", "t", "L", "b"), ("L", "a", "T", "t", "L", "gone")], G.EDGE_KEY)
     nodes = spark.createDataFrame([("L", "a"), ("L", "b")], "label string, name string")
@@ -90,7 +98,7 @@ def test_ascii_fold(spark):
 
 
 def test_canonical_relations_cost_no_call(spark):
-    class Counting(X.StubClient):
+    class Counting(StubClient):
         def complete(self, prompts):
             raise RuntimeError("no call expected")
 
@@ -102,7 +110,7 @@ def test_canonical_relations_cost_no_call(spark):
 
 
 def test_failed_model_keeps_the_chunk(spark):
-    class Broken(X.StubClient):
+    class Broken(StubClient):
         def complete(self, prompts):
             raise OSError
 
