@@ -48,6 +48,8 @@ _ones = re.compile(r"[^\W\d_][1!]+[^\W\d_]|(?<!\S)[1!]+[^\W\d_]").search
 
 #: Toxic documents that an entry must show for each other document that it hits.
 PENALTY = 1.0
+#: Toxic documents, and log odds, from which an entry is taken even where others speak for its documents.
+SURE_DOCS, SURE_ODDS = 4, 2.5
 
 
 def _plain(word: str, table: dict) -> str:
@@ -146,7 +148,8 @@ def _beginnings(text: str) -> set[str]:
 def learn_lexicon(texts: list[str], toxic: np.ndarray, least: int = 3, entries: int = 300) -> tuple[dict[str, float], set[str]]:
     """Weights of INSULTS and of beginnings (or, with a blank at the end, whole words) that toxic texts hold far more often.
 
-    Greedy: the entry that tells most goes first, and documents that hold it no longer speak for the next.
+    Greedy: the entry that tells most goes first, and documents that hold it no longer speak for the next; then the surest
+    of the others.
     """
     # texts are cut again in each pass: their beginnings together would not fit the driver
     up, down = Counter(), Counter()
@@ -190,6 +193,16 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, least: int = 3, entries:
         if t.endswith(" "):
             whole.add(word)
         open_ -= set(docs)
+    # entries that tell as surely, though others already speak for their documents here: held-out texts may have them alone
+    for t in sorted(good, key=lambda t: (len(t), t)):
+        word = t.rstrip(" ")
+        known = any(word[:k] in weights and word[:k] not in whole for k in range(3, len(word) + 1))
+        if up[t] >= SURE_DOCS and good[t] > SURE_ODDS and not known:
+            weights[word] = max(weights.get(word, 0.0), min(good[t], 6.0))
+            if t.endswith(" "):
+                whole.add(word)
+            else:
+                whole.discard(word)
     return weights, whole
 
 
