@@ -119,6 +119,25 @@ def test_token_shards_round_trip(spark, tokenizer, monkeypatch):
     assert [tuple(r) for r in got] == want
 
 
+def test_small_shards_and_one_partition(spark, tokenizer):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.randint(0, 60))) for i in range(60)]
+    whole = sorted(map(tuple, dac_tokens.encode_documents(frame(spark, rows), tokenizer, 2).collect()))
+    # several shards in a partition, documents larger than a shard among them
+    shards = dac_tokens.write_shards(frame(spark, rows).repartition(2), tokenizer, 2, 150)
+    assert shards.groupBy("part").count().agg({"count": "max"}).first()[0] > 3
+    assert sorted(map(tuple, dac_tokens.read_shards(shards).collect())) == whole
+
+
+def test_pieces_forgotten_and_learned_again(tokenizer, monkeypatch):
+    monkeypatch.setattr(dac_tokens, "REMEMBERED", 50)
+    rng = random.Random(5)
+    e = dac_tokens.Encoder(tokenizer)
+    for _ in range(6):
+        texts = [prose(rng, 30) + rng.choice(["", "\x1c", " don't", "\n\n Über1"]) for _ in range(5)]
+        assert [x.tolist() for x in e.encode(texts)] == [e.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_codes_reach_any_token():
     rng = np.random.default_rng(1)
     ids = np.concatenate([rng.integers(0, 2**b, 400) for b in (3, 8, 9, 16, 17, 24, 25, 32)]).astype(np.uint32)
@@ -322,6 +341,17 @@ def test_toxicity(spark):
     assert kept.columns == frame(spark, rows).columns and 0.6 < kept.count() / len(rows) < 0.8
 
 
+def test_ids_of_several_texts_teach_one(spark):
+    rng = random.Random(16)
+    rows = [(i, prose(rng, 30) + (" zorgliax" if i % 3 == 0 else "")) for i in range(90)]
+    rows += [(i, "~ " + prose(rng, 5)) for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int, quality int")
+    for f in (toxicity_lexicon.toxicity, mil_quality.quality):
+        once, again = (sorted((r["doc_id"], r["score"]) for r in f(frame(spark, x).repartition(n), labels).collect()) for x, n in ((rows, 2), (rows[::-1], 5)))
+        assert [i for i, _ in once] == [i for i, _ in again] and len(once) == 180
+        assert [x for _, x in once] == pytest.approx([x for _, x in again])
+
+
 def test_lexicon_matches():
     x = toxicity_lexicon.Lexicon({"trash": 1.0, "moron": 2.0, "réeux": 3.0}, {"trash", "moron"})
     found = lambda t: [t[a:b] for a, b, *_ in x.matches(t)]

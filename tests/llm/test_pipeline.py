@@ -80,3 +80,18 @@ def test_run_and_empty_corpus(spark, corpus, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{at}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_clashing_columns_and_repeated_ids(spark, corpus, tmp_path):
+    at, rows, kind = corpus
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    twin = [(7, "another text of seven " * 9, "en", "src1", 0), (7, rows[7][1], "en", "src1", 0)]
+    docs = docs.unionByName(spark.createDataFrame(twin, docs.schema)).selectExpr("*", "'x' AS set_key", "1 AS size", "'k' AS key", "0 AS bits", "'r' AS row", "0 AS score", "0 AS copies", "'c' AS component")
+    for name, stage in pipeline.STAGES[:-1]:
+        stage(spark, docs, at).write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        assert out.columns == docs.columns
+        docs = out
+    # of the equal rows of an id one stays; its other text stays too
+    seven = [r["text"] for r in spark.read.parquet(f"{tmp_path}/near_duplicates").where("doc_id = 7").collect()]
+    assert sorted(seven) == sorted([rows[7][1], twin[0][1]]) and kind[7] == "clean"
