@@ -210,7 +210,19 @@ def _is_train(doc_id, text_id: str, folds: int, held: int) -> bool:
     return zlib.crc32(text_id.encode()) % folds != held if doc_id is not None else True
 
 
-def _send(shards: int, hot: np.ndarray, spread: np.ndarray, folds: int, held: int):
+def _shard_keys(spark, shards: int) -> np.ndarray:
+    """A number for each shard that Spark's hash deals to the partition of that number, so that none gets two."""
+    tries = shards * (12 + shards.bit_length())
+    found = spark.range(tries).select(F.col("id").cast("int").alias("k"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(shards)).alias("s")).groupBy("s").agg(F.min("k").alias("k")).collect()
+    keys = np.full(shards, -1, np.int64)
+    keys[[r["s"] for r in found]] = [r["k"] for r in found]
+    # a shard that no number was found for shares a partition with others
+    lost = np.flatnonzero(keys < 0)
+    keys[lost] = tries + lost
+    return keys
+
+
+def _send(shards: int, keys: np.ndarray, hot: np.ndarray, spread: np.ndarray, folds: int, held: int):
     schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("docs", pa.int32()), ("ids", pa.list_(pa.int64())), ("body", pa.binary())])
 
     def work(batches):
@@ -240,7 +252,7 @@ def _send(shards: int, hot: np.ndarray, spread: np.ndarray, folds: int, held: in
                     runs = np.diff(np.append(new, len(t))).astype("<u4")
                     body = b"".join([struct.pack("<III", len(new), len(t), d.itemsize), train, t[new].tobytes(), runs.tobytes(), p.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : PRIOR_BITS // 8].tobytes(), d.tobytes()])
                     # ids travel once, with the shard of the first triple
-                    yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int32()), pa.array([chunk]), pa.array([len(ids)], pa.int32()), pa.array([ids if a == 0 else []], pa.list_(pa.int64())), pa.array([body])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(keys[shard[a]])], pa.int32()), pa.array([chunk]), pa.array([len(ids)], pa.int32()), pa.array([ids if a == 0 else []], pa.list_(pa.int64())), pa.array([body])], schema=schema)
                     a = z
                 chunk += 1
 
@@ -413,7 +425,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     hot, hot_count = watch[chosen], exact[chosen]
     spread = np.array([max(1, min(shards, int(np.ceil(share_of[int(t)] * shards * 4)))) for t in hot], np.int64)
 
-    sent = docs.mapInArrow(lean(_send(shards, hot, spread, folds, held)), "shard int, chunk bigint, docs int, ids array<bigint>, body binary")
+    sent = docs.mapInArrow(lean(_send(shards, _shard_keys(docs.sparkSession, shards), hot, spread, folds, held)), "shard int, chunk bigint, docs int, ids array<bigint>, body binary")
     sums = sent.repartition(shards, "shard").groupBy("shard").applyInArrow(_shard_sums(total, begins, hot, hot_count), "chunk bigint, ids array<bigint>, docs int, distinct bigint, body binary")
     sums = written(sums, "sums")
     distinct = (sums.agg(F.sum("distinct")).first()[0] or 0) + int((hot_count > 0).sum())
