@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import batched, bounded, free, lean, written
+from .shared import HELD, batched, bounded, free, lean, written
 
 MAGIC = b"GLDAC\0\0\1"
 LEVEL_BITS, LEVELS = 8, 4
@@ -233,6 +233,8 @@ _encoders: dict[str, Encoder] = {}
 def _encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        if _encoders.clear not in HELD:
+            HELD.append(_encoders.clear)
         free()
     return _encoders[path]
 
@@ -285,7 +287,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int
     # rows of one id, or without any, are dealt by the beginning of their text, whose order agrees with the text's
     by_id = F.col("doc_id").asc_nulls_first()
     ordered = batched(docs).select(F.col("doc_id").cast("long"), "text").repartitionByRange(by_id, F.substring("text", 1, 32)).sortWithinPartitions(by_id, "text")
-    return written(ordered.mapInArrow(lean(encode), "part int, shard int, doc_ids array<bigint>, tokens bigint, blob binary"), "shards")
+    return written(ordered.mapInArrow(lean(encode, keep=True), "part int, shard int, doc_ids array<bigint>, tokens bigint, blob binary"), "shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -306,7 +308,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(base + s.first[:-1]), "n_tokens": pa.array(np.diff(s.first)), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return shards.join(bounded(starts, 32), ["part", "shard"]).select("base", "doc_ids", "blob").mapInArrow(lean(read), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return shards.join(bounded(starts, 32), ["part", "shard"]).select("base", "doc_ids", "blob").mapInArrow(lean(read, keep=True), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:

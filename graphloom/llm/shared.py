@@ -75,10 +75,17 @@ def free() -> None:
         return
 
 
-def lean(work):
-    """work over an iterator of batches, with free() at its end."""
+#: What a worker drops before it turns to another operator: functions that empty its caches.
+HELD: list = []
+
+
+def lean(work, keep: bool = False):
+    """work over an iterator of batches, with free() at its end; without keep, caches of other operators go first."""
 
     def run(batches):
+        if not keep:
+            for drop in HELD:
+                drop()
         yield from work(batches)
         free()
 
