@@ -25,6 +25,20 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS c FROM r GROUP BY 1) m ON m.x = d.doc_id"""
 
 
+def wand_search() -> str:
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    return rf"""WITH q AS (SELECT item_id, unnest(regexp_extract_all({_ASCII_LOWER}, '{term}')) AS t FROM benchmark),
+qt AS (SELECT item_id, t, count(*) AS reps FROM q GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_ASCII_LOWER}, '{term}') AS w FROM documents),
+n AS (SELECT row, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM n),
+p AS (SELECT row, t, count(*)::BIGINT AS tf FROM (SELECT row, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM qt) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*)::BIGINT AS df FROM p GROUP BY 1), s),
+i AS (SELECT row, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words))) AS score FROM p JOIN w USING (t) JOIN n USING (row), s),
+r AS (SELECT item_id, row, sum(reps * score)::BIGINT AS score FROM qt JOIN i USING (t) GROUP BY ALL HAVING sum(reps * score) > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM r JOIN n USING (row) QUALIFY rank <= 10"""
+
+
 def source_mix() -> str:
     return rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, ('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))), 1, 15))::BIGINT AS bits FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),

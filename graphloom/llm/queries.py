@@ -91,9 +91,32 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rank_profiles import languages
+
+    return languages(table(spark, sf_dir, "documents"), 4, 2)
+
+
+@query
+def op12_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wand_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import digests, periodic_runs, with_period
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests(periodic_runs(docs.withColumn("text", with_period(F.col("text"), F.col("doc_id"))), 6, 4))
+
+
 ORACLE_SQL |= {
     "op1_divergence_rules": oracles.divergence_rules(),
     "op3_license_scan": oracles.license_scan(),
     "op7_near_duplicates": oracles.near_duplicates(),
     "op9_source_mix": oracles.source_mix(),
+    "op12_wand_search": oracles.wand_search(),
 }
