@@ -40,7 +40,8 @@ def scan(docs: DataFrame) -> DataFrame:
     Places count code points, ends are exclusive. spans lists kind:start:end by start, then kind. A match and the text
     before it alternate, so their lengths, summed up, give all places. Null and empty texts hold nothing (base_sha256 is
     then of the empty string). Rows are told apart by a number of their own: repeated rows and null ids are reported
-    each. Other columns are ignored; an empty table gives no rows.
+    each. Other columns are ignored; an empty table gives no rows. Texts are scanned whole; time grows with a text's length
+    and its number of candidates (as their sort does), not with their square.
     """
     df = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     found = []
@@ -64,11 +65,13 @@ def scan(docs: DataFrame) -> DataFrame:
     # a part's start, and the first start after its end, are of the nearest parts that don't overlap it
     ends = F.array(F.struct(F.col("end").alias("at"), F.lit(0).alias("opens")), F.struct(F.col("start").alias("at"), F.lit(1).alias("opens")))
     points = df.withColumn("point", F.explode(ends)).select("row", "doc_id", "kind", "n", "start", "end", "ok", "role", "point.*")
-    order = Window.partitionBy("row").orderBy("at", "opens")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    # both frames grow from their partition's start, so Spark carries one value along; a frame up to the end it would
+    # read again for every row
+    ahead = Window.partitionBy("row").orderBy("at", "opens").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("row").orderBy(F.desc("at"), F.desc("opens")).rowsBetween(Window.unboundedPreceding, -1)
     meets = {}
     for r in ("id", "secret", "place"):
-        last, first = F.max(F.when((F.col("role") == r) & (F.col("opens") == 0), F.col("at"))).over(before), F.min(F.when((F.col("role") == r) & (F.col("opens") == 1), F.col("at"))).over(after)
+        last, first = F.max(F.when((F.col("role") == r) & (F.col("opens") == 0), F.col("at"))).over(ahead), F.min(F.when((F.col("role") == r) & (F.col("opens") == 1), F.col("at"))).over(back)
         meets[f"near_{r}"] = F.coalesce(F.when(F.col("opens") == 1, F.col("at") - last <= SCOPE).otherwise(first - F.col("at") <= SCOPE), F.lit(False))
     df = points.withColumns(meets).groupBy("row", "doc_id", "kind", "n", "start", "end", "ok", "role").agg(*[F.max(c).alias(c) for c in meets])
     # an endpoint and a login without any secret are no credential

@@ -1,7 +1,9 @@
 """The operators made of DataFrame functions, against plain Python."""
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -156,6 +158,31 @@ def test_long_parts_are_whole(spark):
     assert {r["doc_id"]: r["spans"] for r in got} == {1: "login:0:10,token:11:251", 2: "login:0:207,token:208:9211"}
 
 
+def test_very_many_candidates_in_one_text(spark):
+    """Time grows with the candidates, not with their square: 100,000 of them in one text of 4 MB."""
+    rng = random.Random(1)
+    kinds = [lambda n: f"user=name{n:07d} ", lambda n: "Aa0" + f"{n:07d}x" * 3 + " ", lambda n: f"https://h{n:07d}.example ", lambda n: "filler " * 60]
+    parts, pieces, at = [], [], 0
+    for n in range(133_000):
+        k = rng.choices(range(4), [10, 10, 10, 1 if n % 1000 else 40])[0]
+        piece = kinds[k](n)
+        if k < 3:
+            parts.append((at, at + len(piece) - 1, k))
+        pieces.append(piece)
+        at += len(piece)
+    assert len(parts) > 100_000
+    begin = time.monotonic()
+    (got,) = credential_links.scan(spark.createDataFrame([(1, "".join(pieces))], "doc_id long, text string")).collect()
+    assert time.monotonic() - begin < 60
+    said, names = [], ["login", "token", "endpoint"]
+    near = lambda p, q: 0 <= max(p[0] - q[1], q[0] - p[1]) <= credential_links.SCOPE
+    for i, p in enumerate(parts):
+        others = parts[max(0, i - 40) : i + 41]  # more than SCOPE characters on either side
+        if any((q[2] == 1) != (p[2] == 1) and near(p, q) for q in others):
+            said.append(f"{names[p[2]]}:{p[0]}:{p[1]}")
+    assert got["spans"] == ",".join(said)
+
+
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.sampled_from(["token", "SECRET", ":", "= ", '"', "abcdef0123456789", "AKIA", "AKIAABCDEFGH", "ABCDEFGHIJ", "é", " ", "\n", "api_key", "x-y.z", "password=", "\U0001f642", "user=ann ", "https://h.example/", "aB3dE5gH7jK9mN1pQ3rS5", " " * 290]), max_size=14))
 def test_secret_places(spark, parts):
