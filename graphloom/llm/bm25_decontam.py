@@ -10,7 +10,10 @@ sorted by item and cut into blocks with their largest impact. Retrieval returns
 Items of more than SEGMENT words are indexed in pieces of at most SEGMENT words, as even as can be, each normalised by the
 score of its own words; a piece at or above the threshold retrieves its item.
 
-Items retrieved are verified as a whole: the question's and the answer's word 3-grams must stand in the passage and what is next to it.
+Items retrieved are verified as a whole: the question's and the answer's word 3-grams must stand in the passage and what is
+next to it. A part of one or two words counts as one gram of that length. Where neither part has three words, single words
+would prove nothing: the item's words must stand there as a run, in order. An item whose question or answer has no word has
+nothing to overlap and is never reported.
 """
 
 from __future__ import annotations
@@ -60,6 +63,17 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(words[: (len(words) + 1) // 2]), " ".join(words[(len(words) + 1) // 2 :])
 
 
+def _stands(words: np.ndarray, run: np.ndarray) -> bool:
+    """Whether the few words of run stand one after the other."""
+    n = len(words) - len(run) + 1
+    if n <= 0:
+        return False
+    ok = np.ones(n, bool)
+    for j, x in enumerate(run):
+        ok &= words[j : j + n] == x
+    return bool(ok.any())
+
+
 def _hashes(text: str) -> np.ndarray:
     return word_hashes([text.encode("utf-8", "surrogatepass")], True)[0]
 
@@ -72,14 +86,15 @@ def statistics(items: list[tuple[int, str]]) -> tuple[int, float, dict[int, int]
 
 
 class Index:
-    """Pieces' normalised BM25 impacts by term, and the items they are of. Items without words are left out.
+    """Pieces' normalised BM25 impacts by term, and the items they are of. Items without words in question or answer are
+    left out.
 
     known: the statistics of all items, of which these may be a part.
     """
 
     def __init__(self, items: list[tuple[int, str]], known: tuple[int, float, dict[int, int]] | None = None):
-        hashed = [(i, _hashes(t), t) for i, t in items]
-        hashed = [x for x in hashed if len(x[1])]
+        hashed = [(i, _hashes(t), [_hashes(x) for x in split_item(t)]) for i, t in items]
+        hashed = [x for x in hashed if all(map(len, x[2]))]
         self.ids = [x[0] for x in hashed]
         self.lengths = np.array([len(x[1]) for x in hashed], np.int64)
         pieces = [(i, p) for i, (_, h, _) in enumerate(hashed) for p in np.array_split(h, -(-len(h) // SEGMENT))]
@@ -117,10 +132,8 @@ class Index:
         bits = np.zeros(1 << 20, bool)
         bits[self.terms & np.uint64((1 << 20) - 1)] = True
         self.bits = bits
-        self.parts = []
-        for _, _, t in hashed:
-            q, a = (_grams(_hashes(x)) for x in split_item(t))
-            self.parts.append((np.unique(q), np.unique(a)))
+        # grams of question and answer, and the whole where single words prove nothing
+        self.parts = [(np.unique(_grams(q)), np.unique(_grams(a)), h if max(len(q), len(a)) < 3 else None) for _, h, (q, a) in hashed]
 
     def numbers(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, term numbers) of the words that are terms."""
@@ -229,8 +242,10 @@ class Index:
                     continue
                 reach = max(SEGMENT, int(self.lengths[item]))
                 words = h[max(int(starts[d]), first - reach) : min(int(starts[d] + counts[d]), first + 2 * SEGMENT + reach)]
-                q, x = self.parts[item]
-                q_over, a_over = (float(np.isin(g, np.concatenate([_grams(words, k) for k in (1, 2, 3)])).mean()) if len(g) else 1.0 for g in (q, x))
+                q, x, run = self.parts[item]
+                if run is not None and not _stands(words, run):
+                    continue
+                q_over, a_over = (float(np.isin(g, np.concatenate([_grams(words, k) for k in (1, 2, 3)])).mean()) for g in (q, x))
                 if q_over >= QUESTION and a_over >= ANSWER:
                     done[d, item] = (first - int(starts[d]), score, q_over, a_over)
         for (d, item), x in done.items():
@@ -282,7 +297,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     of more than SEGMENT words, of its best piece's score for its own words; the overlaps are shares of the whole item's
     word 3-grams. Words are runs of ASCII letters and digits and of all other characters, A-Z in lower
     case. Null and empty texts, on either side, hold and match nothing; rows with a null id report it as null; repeated
-    rows are reported each. Other columns are ignored; no items or no documents give no rows.
+    rows are reported each. Items without a question or an answer are never reported; items of which neither part has three
+    words only where they stand as a run (see the module's text). passage_start is the first word of the best passage, the
+    first of equally good ones. Other columns are ignored; no items or no documents give no rows. Texts are searched whole,
+    whatever their length.
 
     The items are dealt by hash into parts of at most about INDEX_BYTES. A part is indexed on the driver with the
     statistics of all items, shipped to the workers and run over all documents; where there are several, each part's
@@ -313,6 +331,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs' rows, all columns, that hold no test item; rows with a null id stay."""
+    """docs' rows, all columns, that hold no test item.
+
+    Rows with a null id, and null and empty texts, stay; of repeated rows all stay or none. An empty table of docs gives no
+    rows, one of items all rows of docs.
+    """
     found = written(leaks(docs, items).where("doc_id IS NOT NULL").select("doc_id").distinct(), "leaks")
     return docs.join(bounded(found, 16), "doc_id", "left_anti").select(*docs.columns)

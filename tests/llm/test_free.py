@@ -171,15 +171,24 @@ def test_wand_returns_all_above(spark):
 
 def test_leaks(spark):
     rng = random.Random(9)
-    items = [(i, prose(rng, 25).capitalize() + ".\n" + prose(rng, 8) + ".") for i in range(12)] + [(90, None), (91, ""), (92, "word")]
-    clean = [(i, prose(rng, rng.randint(0, 400))) for i in range(100, 130)]
+    items = [(i, prose(rng, 25).capitalize() + ".\n" + prose(rng, 8) + ".") for i in range(12)] + [(90, None), (91, ""), (92, "word"), (93, "???\nonly an answer"), (94, "only a question\n!")]
+    clean = [(i, prose(rng, rng.randint(0, 400))) for i in range(100, 130)] + [(130, "a word in some other text entirely, only an answer and only a question")]
     planted = [(200 + k, prose(rng, 37 * k) + " " + items[k][1].upper() + " " + prose(rng, 50)) for k in range(12)]
     got = bm25_decontam.leaks(frame(spark, [*ODD, *clean, *planted]), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got if r["item_id"] != 92} == {(200 + k, k) for k in range(12)}
-    rest = bm25_decontam.without_leaks(frame(spark, [*clean, *planted]), spark.createDataFrame(items[:12], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(200 + k, k) for k in range(12)}
+    # items with further columns, some of them named like those of documents and results
+    wide = spark.createDataFrame([(i, t, 5, "x", 0.5) for i, t in items], "item_id long, text string, doc_id int, source string, score double")
+    rest = bm25_decontam.without_leaks(frame(spark, [*clean, *planted]), wide)
     assert sorted(r["doc_id"] for r in rest.collect()) == [i for i, _ in clean]
 
 
+def test_leaks_of_short_items(spark):
+    items = spark.createDataFrame([(1, "red fox"), (2, "who? me."), (3, "what is the tallest hill of all? rainhill"), (4, "fox fox")], "item_id long, text string")
+    docs = [(10, "a red fox runs"), (11, "fox, red"), (12, "who is it? not me"), (13, "Who, ME"), (14, "what is the tallest hill of all: a) tarn b) rainhill"), (15, "rainhill is a hill"), (16, "the fox " * 40)]
+    got = bm25_decontam.leaks(frame(spark, docs), items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(10, 1), (13, 2), (14, 3)]
+
+
 def test_leaks_of_long_items(spark):
     rng = random.Random(10)
     items = [(k, prose(rng, n).capitalize() + ".\n" + prose(rng, 10) + ".") for k, n in enumerate((30, 55, 118, 246, 390, 590, 1500))]
@@ -214,9 +223,11 @@ def brute_leaks(docs, items):
                     reach = max(B.SEGMENT, len(cut[i]))
                     near = w[max(0, s - reach) : s + 2 * B.SEGMENT + reach]
                     parts = [words(x) for x in B.split_item(dict(items)[i])]
-                    over = [len(grams(x, min(3, len(x))) & grams(near, min(3, len(x)))) / len(grams(x, min(3, len(x)))) if x else 1.0 for x in parts]
+                    if not all(parts) or (max(map(len, parts)) < 3 and tuple(cut[i]) not in grams(near, len(cut[i]))):
+                        continue
+                    over = [len(grams(x, min(3, len(x))) & grams(near, min(3, len(x)))) / len(grams(x, min(3, len(x)))) for x in parts]
                     if over[0] >= B.QUESTION and over[1] >= B.ANSWER:
-                        found[d, i] = max(best, found.get((d, i), 0.0))
+                        found.setdefault((d, i), {})[s] = best
     return found
 
 
@@ -225,7 +236,8 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     vocabulary = prose(rng, 150).split()
     some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
     items = [(k, " ".join(some(n)).capitalize() + ".\n" + " ".join(some(max(3, n // 8))) + ".") for k, n in enumerate([15, 20, 30, 40, 55, 64, 65, 90, 130, 260, 400, 700, 1900])]
-    docs = [(1, None), (2, ""), (None, "no id " + items[3][1]), (900, items[12][1])]
+    items += [(20, vocabulary[0]), (21, " ".join(vocabulary[1:3])), (22, " ".join(vocabulary[3:5]) + "\n" + vocabulary[5])]
+    docs = [(1, None), (2, ""), (None, "no id " + items[3][1]), (900, items[12][1]), (901, items[21 - 7][1]), (902, items[22 - 7][1])]
     for d in range(100, 240):
         k = rng.randrange(len(items))
         w = items[k][1].split()
@@ -236,9 +248,10 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     table = spark.createDataFrame([*items, items[0], (90, None), (91, "")], "item_id long, text string")
     for limit in (bm25_decontam.INDEX_BYTES, 4000):
         monkeypatch.setattr(bm25_decontam, "INDEX_BYTES", limit)
-        got = {(r["doc_id"], r["item_id"]): r["score"] for r in bm25_decontam.leaks(frame(spark, docs), table).collect()}
+        got = {(r["doc_id"], r["item_id"]): (r["score"], r["passage_start"]) for r in bm25_decontam.leaks(frame(spark, docs), table).collect()}
         assert got.keys() == want.keys() and len(want) > 20
-        assert all(got[k] <= want[k] + 1e-9 for k in want)
+        for k, (score, start) in got.items():
+            assert abs(score - max(want[k].values())) < 1e-9 and abs(want[k][start] - score) < 1e-9
 
 
 # --- 2
