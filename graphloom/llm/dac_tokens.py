@@ -9,6 +9,9 @@ A shard (one blob, little-endian):
     uint64 x (documents + 1): first token of each document
     for each level: uint64 entries, entries bytes or uint16, then (but for the last level)
     ceil(entries / 64) uint64 of continuation bits and as many uint32 of ranks (set bits before each word)
+
+Shards stand in a Parquet file as they are, uncompressed, one to a row group: the codes are the compression, and nothing has
+to be unpacked between the file and a token.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ MAGIC = b"GLDAC\0\0\1"
 LEVEL_BITS, LEVELS = 8, 4
 #: Tokens of a shard at most, unless one document has more.
 SHARD_TOKENS = 1 << 20
+#: How shards are written: a row group each, uncompressed.
+FILES = {"compression": "none", "parquet.block.row.count.limit": "1"}
 #: Distinct pieces that one Python worker remembers.
 REMEMBERED = 1_000_000
 
@@ -287,28 +292,69 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int
     # rows of one id, or without any, are dealt by the beginning of their text, whose order agrees with the text's
     by_id = F.col("doc_id").asc_nulls_first()
     ordered = batched(docs).select(F.col("doc_id").cast("long"), "text").repartitionByRange(by_id, F.substring("text", 1, 32)).sortWithinPartitions(by_id, "text")
-    return written(ordered.mapInArrow(lean(encode, keep=True), "part int, shard int, doc_ids array<bigint>, tokens bigint, blob binary"), "shards")
+    return written(ordered.mapInArrow(lean(encode, keep=True), "part int, shard int, doc_ids array<bigint>, tokens bigint, blob binary"), "shards", **FILES)
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, read from the blobs.
+def based(shards: DataFrame) -> DataFrame:
+    """shards with base, the number of ids in all shards before.
 
-    Only (part, shard, tokens), one short row a shard, meets in one place, to number the shards' first tokens.
+    Only (part, shard, tokens), one short row a shard, meets in one place.
     """
     order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.select("part", "shard", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("base"))
+    return shards.join(bounded(starts, 32), ["part", "shard"])
+
+
+def read_shards(shards: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, middle_id) of every document, read from the blobs.
+
+    middle_id, the id at n_tokens div 2, is fetched by itself, by one lookup a level; that it is the one that the
+    document's neighbours give too is checked, and a shard whose directory disagrees with its codes fails the task.
+    """
 
     def read(batches):
         for batch in batches:
             for base, ids, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = Shard(blob.as_buffer().to_pybytes())
                 # documents follow one another, so a level's neighbours are read for all of them at once
-                raw = memoryview(s.slice(0, s.tokens).astype("<u4").tobytes())
+                every = s.slice(0, s.tokens).astype("<u4")
+                middle = (s.first[:-1] + s.first[1:]) // 2
+                fetched = [s.token(i) for i in middle.tolist()]
+                if every[middle].tolist() != fetched:
+                    raise ValueError("a shard's rank directory does not fit its codes")
+                raw = memoryview(every.tobytes())
                 at = (s.first * 4).tolist()
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(base + s.first[:-1]), "n_tokens": pa.array(np.diff(s.first)), "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(base + s.first[:-1]), "n_tokens": pa.array(np.diff(s.first)), "ids_crc32": pa.array(crc, pa.int64()), "middle_id": pa.array(fetched, pa.int64())})
+
+    return based(shards).select("base", "doc_ids", "blob").mapInArrow(lean(read, keep=True), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, middle_id bigint")
+
+
+#: Places of one group of tokens_at, as ids of the corpus.
+STRETCH = SHARD_TOKENS
+
+
+def tokens_at(shards: DataFrame, places: DataFrame) -> DataFrame:
+    """(place, id) of the ids at places (place), counted from the first id of all shards; places outside give no row.
+
+    A shard meets the places that fall in it by the stretches of STRETCH ids that both touch, so only shards that hold one
+    are opened, once each for every stretch, and of those only the asked ids are looked up. Null places give no row;
+    repeated ones are answered once.
+    """
+    held = based(shards).select("base", "tokens", "part", "shard")
+    first, last = F.floor(F.col("base") / STRETCH), F.floor((F.col("base") + F.col("tokens") - 1) / STRETCH)
+    held = held.where("tokens > 0").withColumn("stretch", F.explode(F.sequence(first, last)))
+    asked = places.select(F.col("place").cast("long")).where("place IS NOT NULL").distinct().withColumn("stretch", F.floor(F.col("place") / STRETCH))
+    inside = held.join(asked, "stretch").where("place >= base AND place < base + tokens")
+    lists = inside.groupBy("part", "shard", "stretch").agg(F.first("base").alias("base"), F.array_sort(F.collect_list("place")).alias("places"))
+
+    def fetch(batches):
+        for batch in batches:
+            for base, wanted, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                s = Shard(blob.as_buffer().to_pybytes())
+                yield pa.RecordBatch.from_pydict({"place": pa.array(wanted, pa.int64()), "id": pa.array([s.token(i - base) for i in wanted], pa.int64())})
 
-    return shards.join(bounded(starts, 32), ["part", "shard"]).select("base", "doc_ids", "blob").mapInArrow(lean(read, keep=True), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return shards.select("part", "shard", "blob").join(lists, ["part", "shard"]).select("base", "places", "blob").mapInArrow(lean(fetch, keep=True), "place bigint, id bigint")
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:

@@ -31,14 +31,15 @@ def work_dir(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors.
 
-    In zstd, whose native buffers go when a page is done; snappy's stay until the JVM collects their owners.
+    In zstd, unless options say otherwise: its native buffers go when a page is done; snappy's stay until the JVM collects
+    their owners.
     """
     spark = df.sparkSession
     at = f"{work_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    df.write.options(**{"compression": "zstd", **options}).parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out.written_at = at
     return out

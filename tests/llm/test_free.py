@@ -114,12 +114,12 @@ def test_token_shards_round_trip(spark, tokenizer, monkeypatch):
     at, want = 0, []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
-        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids[len(ids) // 2]))
         at += len(ids)
     assert [tuple(r) for r in got] == want
 
 
-def test_small_shards_and_one_partition(spark, tokenizer):
+def test_small_shards_and_one_partition(spark, tokenizer, monkeypatch):
     rng = random.Random(3)
     rows = [(i, prose(rng, rng.randint(0, 60))) for i in range(60)]
     whole = sorted(map(tuple, dac_tokens.encode_documents(frame(spark, rows), tokenizer, 2).collect()))
@@ -127,6 +127,26 @@ def test_small_shards_and_one_partition(spark, tokenizer):
     shards = dac_tokens.write_shards(frame(spark, rows).repartition(2), tokenizer, 2, 150)
     assert shards.groupBy("part").count().agg({"count": "max"}).first()[0] > 3
     assert sorted(map(tuple, dac_tokens.read_shards(shards).collect())) == whole
+    # on disk a shard is a row group of its own, as it is
+    import pyarrow.parquet as pq
+
+    seen = 0
+    for f in shards.inputFiles():
+        meta = pq.ParquetFile(f.removeprefix("file://")).metadata
+        for g in range(meta.num_row_groups):
+            assert meta.row_group(g).num_rows == 1
+            assert {meta.row_group(g).column(c).compression for c in range(meta.num_columns)} == {"UNCOMPRESSED"}
+        seen += meta.num_row_groups
+    assert seen == shards.count()
+    # any id of the corpus by its place
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokenizer)
+    every = [x for _, t in rows for x in [*lib.encode(t, add_special_tokens=False).ids, 2]]
+    monkeypatch.setattr(dac_tokens, "STRETCH", 100)
+    asked = [*range(0, len(every), 13), 0, len(every) - 1, len(every), -1, None]
+    got = dac_tokens.tokens_at(shards, spark.createDataFrame([(i,) for i in asked], "place long"))
+    assert sorted(map(tuple, got.collect())) == sorted({(i, every[i]) for i in asked if i is not None and 0 <= i < len(every)})
 
 
 def test_pieces_forgotten_and_learned_again(tokenizer, monkeypatch):
