@@ -101,23 +101,23 @@ def refine_hints(spark, d):
     return retrieval.hints(prev, ret, t.select(F.col("r").alias("relation")))
 
 
-_BY_TYPE = "t AS (SELECT DISTINCT p_type AS k, p_brand AS r FROM part)"
+_BY_SUBJECT = f"{TRIPLES_SQL}, t AS (SELECT DISTINCT s AS k, r FROM kg)"
 
 
-def _by_type(spark, d):
-    return table(spark, d, "part").select(F.col("p_type").alias("k"), F.col("p_brand").alias("r"))
+def _by_subject(spark, d):
+    return kg.triples(spark, d).select(F.col("s").alias("k"), "r")
 
 
-@query(f"WITH {_BY_TYPE} SELECT k, r FROM (SELECT DISTINCT k FROM t), (SELECT DISTINCT r FROM t) EXCEPT SELECT k, r FROM t")
+@query(f"WITH {_BY_SUBJECT} SELECT k, r FROM (SELECT DISTINCT k FROM t), (SELECT DISTINCT r FROM t) EXCEPT SELECT k, r FROM t")
 def negative_relations(spark, d):
-    return retrieval.negative_relations(_by_type(spark, d), "k")
+    return retrieval.negative_relations(_by_subject(spark, d), "k")
 
 
-@query(f"""WITH {_BY_TYPE}, neg AS (SELECT k, r FROM (SELECT DISTINCT k FROM t), (SELECT DISTINCT r FROM t) EXCEPT SELECT k, r FROM t),
+@query(f"""WITH {_BY_SUBJECT}, neg AS (SELECT k, r FROM (SELECT DISTINCT k FROM t), (SELECT DISTINCT r FROM t) EXCEPT SELECT k, r FROM t),
 p AS (SELECT k, r, row_number() OVER (PARTITION BY k ORDER BY r) - 1 AS idx FROM t), n AS (SELECT k, r, row_number() OVER (PARTITION BY k ORDER BY r) - 1 AS idx FROM neg)
 SELECT p.k, p.idx, p.r AS positive, n.r AS negative FROM p JOIN n ON p.k = n.k AND p.idx = n.idx WHERE p.idx < 2""")
 def retriever_samples(spark, d):
-    return retrieval.retriever_samples(_by_type(spark, d), "k", 2)
+    return retrieval.retriever_samples(_by_subject(spark, d), "k", 2)
 
 
 _EVAL = f"""gold AS (SELECT DISTINCT s AS entry, s || ' | ' || r || ' | ' || o AS triple FROM kg WHERE r IN ('has_brand', 'has_type')),

@@ -30,8 +30,9 @@ def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, str(DATA))
     columns = sorted(df.columns)
     got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
+    # a query over tables with rows that returns none shows nothing
+    assert got
     if name not in catalog.ORACLE_SQL:
-        assert got
         return
     r = duck.execute(catalog.ORACLE_SQL[name])
     names = [d[0] for d in r.description]
