@@ -13,6 +13,7 @@ from graphloom.plans.registry import registry
 from graphloom.plans.text_queries import _FOOD_CELLS, _PARAGRAPHS, _food_cells
 from graphloom.sources import files
 from graphloom.sources.work import fresh_path
+from graphloom.sources.xlsx import write_xlsx
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -58,6 +59,24 @@ def food_cells(spark, d):
     return files.read_cells(spark, _food_file(spark, d))
 
 
+def _food_workbooks(spark, d):
+    """The food table as workbooks of at most 300 rows, two of its columns as numbers."""
+    path = fresh_path(spark, "food") + ".xlsx"
+    cells = _food_cells(spark, d).withColumns({"Calories (kcal)": F.col("`Calories (kcal)`").cast("int"), "Carbonhydrates (g)": F.col("`Carbonhydrates (g)`").cast("double")})
+    write_xlsx(cells.repartitionByRange(4, "id").sortWithinPartitions("id").drop("id"), path, rows="300")
+    return path
+
+
+@query(ORACLE_SQL["food_table"])
+def xlsx_table(spark, d):
+    return files.read_food(spark, _food_workbooks(spark, d)).select("key", "name", "food_group", "calories", "fat", "sodium", "fiber", "carbs")
+
+
+@query(ORACLE_SQL["food_cells"])
+def xlsx_cells(spark, d):
+    return files.read_cells(spark, _food_workbooks(spark, d))
+
+
 @query("""SELECT n_name AS relation, 'in ' || r_name || ', so far' AS definition, (row_number() OVER (ORDER BY n_nationkey))::BIGINT AS ord FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def schema_file(spark, d):
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -217,10 +236,19 @@ e AS (SELECT a.label AS s_label, s, upper(r) AS rel_type, r, b.label AS o_label,
 
 @query(f"WITH {_REBUILT} SELECT 'node' AS kind, label AS name, count(*) AS n FROM (SELECT * FROM n1 UNION SELECT * FROM n2) GROUP BY label UNION ALL SELECT 'edge', s_label || ' ' || rel_type || ' ' || o_label, count(*) FROM e GROUP BY ALL")
 def rebuilt_graph(spark, d):
+    return _rebuilt(spark, d, _food_file(spark, d))
+
+
+@query(ORACLE_SQL["rebuilt_graph"])
+def xlsx_graph(spark, d):
+    return _rebuilt(spark, d, _food_workbooks(spark, d))
+
+
+def _rebuilt(spark, d, food):
     path, t = fresh_path(spark, "rebuild"), kg.triples(spark, d).distinct()
     for name, relations in (("food", ("has_brand", "has_type")), ("place", ("located_in", "part_of"))):
         files.write_flat_triples(t.where(F.col("r").isin(*relations)), ["s", "r", "o"], f"{path}/{name}")
-    files.rebuild_graph(spark, [(f"{path}/food", _food_file(spark, d)), (f"{path}/place", None)], f"{path}/graph")
+    files.rebuild_graph(spark, [(f"{path}/food", food), (f"{path}/place", None)], f"{path}/graph")
     nodes, edges = files.load_graph(spark, f"{path}/graph")
     a = nodes.groupBy(F.lit("node").alias("kind"), F.col("label").alias("name")).agg(F.count("*").alias("n"))
     return a.unionByName(edges.groupBy(F.lit("edge").alias("kind"), F.concat_ws(" ", "s_label", "rel_type", "o_label").alias("name")).agg(F.count("*").alias("n")))

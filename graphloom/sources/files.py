@@ -11,6 +11,7 @@ from graphloom.functions import text as T
 from graphloom.operators import graph
 from graphloom.operators.cleaning import numbered
 from graphloom.operators.evaluation import evaluation_rows, length_filter
+from graphloom.sources.xlsx import read_xlsx
 
 # Spreadsheet headings and the properties they become.
 FOOD_COLUMNS = {
@@ -34,22 +35,22 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 
-def read_food(spark: SparkSession, path: str, missing: float | None = None) -> DataFrame:
-    """A food table saved as CSV: headings renamed, comma-decimals parsed, the last row of a name (any case) wins."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"').withColumn("_row", F.monotonically_increasing_id())
+def read_sheet(spark: SparkSession, path: str, sheet: str = "0") -> DataFrame:
+    """A spreadsheet's rows as strings, in order: CSV, or, by the path's ending, an .xlsx file or a folder of them."""
+    if path.rstrip("/").endswith(".xlsx"):
+        return read_xlsx(spark, path, sheet=sheet)
+    return spark.read.csv(path, header=True, multiLine=True, escape='"')
+
+
+def read_food(spark: SparkSession, path: str, missing: float | None = None, sheet: str = "0") -> DataFrame:
+    """A food table, .xlsx or CSV: headings renamed, comma-decimals parsed, the last row of a name (any case) wins."""
+    df = read_sheet(spark, path, sheet).withColumn("_row", F.monotonically_increasing_id())
     df = df.withColumnsRenamed({k: v for k, v in FOOD_COLUMNS.items() if k in df.columns})
     df = df.withColumns({c: T.decimal(F.col(c), missing) for c in FOOD_COLUMNS.values() if c in df.columns and c not in ("name", "food_group")})
     keyed = df.where("name IS NOT NULL").groupBy(F.lower(T.strip(F.col("name"))).alias("key")).agg(F.max_by(F.struct(*[c for c in df.columns if c != "_row"]), "_row").alias("r"))
     return keyed.select("key", "r.*")
 
 
-def read_excel_as_food(spark: SparkSession, path: str) -> DataFrame:
-    """A spreadsheet through pandas, where its reader is installed; convert large ones to CSV or Parquet once."""
-    import pandas as pd
-
-    return spark.createDataFrame(pd.read_excel(path, dtype=str))
-
-
 def read_schema(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """(relation, definition, ord): commas in a definition are kept; the last line of a relation wins. header: the first
     line of each file is headings, not a relation."""
@@ -106,9 +107,9 @@ def read_prompt(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """(row, col, heading, value) of a spreadsheet saved as CSV: the first line's headings, then each cell in order."""
-    df = numbered(spark.read.csv(path, header=True, multiLine=True, escape='"').withColumn("_m", F.monotonically_increasing_id()), ["_m"], "row").drop("_m")
+def read_cells(spark: SparkSession, path: str, sheet: str = "0") -> DataFrame:
+    """(row, col, heading, value) of a spreadsheet, .xlsx or CSV: the first line's headings, then each cell in order."""
+    df = numbered(read_sheet(spark, path, sheet).withColumn("_m", F.monotonically_increasing_id()), ["_m"], "row").drop("_m")
     cells = F.array(*[F.struct(F.lit(h).alias("heading"), F.col(f"`{h}`").alias("value")) for h in df.columns if h != "row"])
     return df.select("row", F.posexplode(cells).alias("col", "c")).select("row", "col", "c.heading", "c.value")
 
