@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators import graph
-from graphloom.operators.cleaning import mapped
+from graphloom.operators.cleaning import mapped, numbered
 from graphloom.operators.models import ModelClient, Prompts, asked
+from graphloom.sources.work import saved
 
-#: Names that are broadcast for a search by substring; more are looked up by their beginnings.
-NAMES = 20_000
-#: Letters of a beginning.
-BEGINNING = 3
+#: Letters of a gram by which substrings are looked up; shorter keys are grams themselves.
+GRAM = 3
+#: Names of one gram that one task compares with the gram's keys; more are dealt out.
+GRAM_NAMES = 50_000
+#: Bytes of names that one prompt lists.
+PAGE_BYTES = 32_000
 
 
 @dataclass(frozen=True)
@@ -36,23 +39,36 @@ class Settings:
         return [x for x in getattr(self, name).split("|") if x]
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of size letters in text."""
+    places = F.sequence(F.lit(1), F.length(text) - (size - 1))
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
 def holding(wanted: DataFrame, names: DataFrame) -> DataFrame:
     """wanted (key) by names (name, ...): every pair where name, in lower case, holds key; an empty key is in every name.
 
-    Few keys, counted, are broadcast. Many are joined on their first letters with all runs of as many letters in the names,
-    then compared whole.
+    A name is listed under each of its grams. A key is looked up in one list only, that of the gram of its own that the
+    fewest names have (a key of less than GRAM letters is its only gram, the empty one's list has all names), and compared
+    whole with the names there. Names of a frequent gram are dealt out over several lists, each of which its keys visit; a
+    key with a gram that no name has is dropped. Null keys and names give no pair.
     """
-    wanted, low = wanted.select("key").distinct().where("key IS NOT NULL"), F.lower("name")
-    if wanted.count() <= NAMES:
-        return names.join(F.broadcast(wanted), F.contains(low, F.col("key")))
-    short = wanted.where(F.length("key") < BEGINNING)
-    if short.count() > NAMES:
-        raise ValueError("too many keys of one or two letters")
-    long = wanted.where(F.length("key") >= BEGINNING).withColumn("_b", F.substring("key", 1, BEGINNING))
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - (BEGINNING - 1)), lambda i: F.substr(low, i, F.lit(BEGINNING))))
-    placed = names.where(F.length(low) >= BEGINNING).withColumn("_b", F.explode(runs))
-    found = placed.join(long, "_b").where(F.contains(low, F.col("key"))).drop("_b")
-    return found.unionByName(names.join(F.broadcast(short), F.contains(low, F.col("key"))))
+    keys = wanted.select("key").where("key IS NOT NULL").distinct()
+    size = F.least(F.length("key"), F.lit(GRAM))
+    own = F.when(size == 0, F.array(F.lit("")))
+    for n in range(1, GRAM + 1):
+        own = own.when(size == n, _grams(F.col("key"), n))
+    asked = keys.select("key", F.explode(own).alias("gram"))
+    lows = saved(names.select(F.lower("name").alias("low")).where("low IS NOT NULL").distinct())
+    listed = lows.select("low", F.explode(F.concat(F.array(F.lit("")), *[_grams(F.col("low"), n) for n in range(1, GRAM + 1)])).alias("gram"))
+    counts = listed.groupBy("gram").agg(F.count("*").alias("names"))
+    # a gram that no name has sorts first, and its key meets no list
+    routed = asked.join(counts, "gram", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("least")).select("key", "least.*").where("names > 0")
+    lists = saved(routed.withColumn("lists", F.ceil(F.col("names") / GRAM_NAMES).cast("int")))
+    held = listed.join(lists.select("gram", "lists").distinct(), "gram").withColumn("list", F.pmod(F.hash("low"), F.col("lists")))
+    visits = lists.select("key", "gram", F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("list"))
+    found = held.join(visits, ["gram", "list"]).where(F.contains("low", F.col("key"))).select("low", "key")
+    return names.join(found, F.lower("name") == F.col("low")).drop("low")
 
 
 def avoid_lists(wanted: DataFrame, triples: DataFrame, avoid: list[str]) -> DataFrame:
@@ -68,17 +84,46 @@ def found_foods(wanted: DataFrame, nodes: DataFrame, needed: str) -> DataFrame:
     return holding(wanted, names).groupBy("key").agg(F.min_by("name", F.struct(F.length("name"), "name")).alias("found"))
 
 
-def map_to_nodes(requests: DataFrame, names: DataFrame, client: ModelClient, prompts: Prompts = Prompts()) -> DataFrame:
+def _chosen(lists: DataFrame, names: DataFrame, client: ModelClient, prompts: Prompts) -> DataFrame:
+    """(id, page, ord, name): what the model names, in its order, of the page's nodes (id, page, food, nodes)."""
+    prompt = prompts.fill("match", nodes=F.col("nodes"), question=F.col("food"))
+    answers = asked(lists.select("id", "page", prompt.alias("prompt")), client, "prompt", "answer", strict=False)
+    rows = answers.select("id", "page", F.posexplode(T.first_json_array(F.col("answer"))).alias("ord", "name"))
+    return saved(rows.join(names, "name", "left_semi").select("id", "page", "ord", "name"))
+
+
+def _listed(placed: DataFrame, *by: str) -> DataFrame:
+    return placed.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set("name")), "|").alias("nodes"))
+
+
+def map_to_nodes(requests: DataFrame, names: DataFrame, client: ModelClient, prompts: Prompts = Prompts(), page_bytes: int = PAGE_BYTES) -> DataFrame:
     """(id, name, ord) of requests (id, food): the nodes that the model names, in its order, of those (name) there are.
 
-    All names go into one prompt, as the model must choose among them; a failed call matches nothing.
+    The names are cut into pages, in order, whose names fill page_bytes at most (a longer name has a page of its own). Each
+    request is asked about each page; where several pages have winners, these meet again, in as few pages as hold them,
+    until one page is left or a round leaves as many pages as before, whose winners then follow one another. Names of one
+    page are asked about once. A failed call matches nothing.
     """
-    listed = names.agg(F.array_join(F.array_sort(F.collect_set("name")), "|").alias("nodes"))
-    prompt = prompts.fill("match", nodes=F.col("nodes"), question=F.col("food"))
-    asks = requests.select("id", "food").crossJoin(F.broadcast(listed)).select("id", prompt.alias("prompt"))
-    answers = asked(asks, client, "prompt", "answer", strict=False)
-    rows = answers.select("id", F.posexplode(T.first_json_array(F.col("answer"))).alias("ord", "name"))
-    return rows.join(names.select("name").distinct(), "name", "left_semi").select("id", "name", "ord")
+    every = saved(names.select("name").where("name IS NOT NULL").distinct())
+    count, longest = every.agg(F.count("*"), F.max(F.octet_length("name"))).first()
+    size = max(1, page_bytes // ((longest or 0) + 1))
+    pages = _listed(numbered(every, ["name"], "at").select("name", F.floor(F.col("at") / size).alias("page")), "page")
+    last = max(0, -(-count // size) - 1)
+    lists = requests.select("id", "food", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))).alias("page")).join(pages, "page")
+    won = _chosen(lists, every, client, prompts)
+    order = Window.partitionBy("id").orderBy("page", "ord")
+    while True:
+        several = won.groupBy("id").agg(F.count_distinct("page").alias("pages")).where("pages > 1")
+        before = several.agg(F.sum("pages")).first()[0]
+        if before is None:
+            break
+        again = won.join(several, "id", "left_semi").withColumn("page", F.floor((F.row_number().over(order) - 1) / size))
+        met = saved(_listed(again, "id", "page"))
+        if met.count() >= before:
+            break
+        fresh = _chosen(met.join(requests.select("id", "food"), "id"), every, client, prompts)
+        won = saved(won.join(several, "id", "left_anti").unionByName(fresh))
+    return won.select("id", "name", (F.row_number().over(order) - 1).alias("ord"))
 
 
 def zeroed(df: DataFrame, metrics: list[str] = graph.METRICS) -> DataFrame:
@@ -99,26 +144,29 @@ def context_text() -> Column:
     return F.concat_ws("\n", F.concat(F.lit("Question: "), "food"), F.concat(F.lit("Disease: "), "disease"), avoided, F.when(F.col("status") == "OK_FOOD", direct).when(F.col("status") == "OK_MAPPED", via))
 
 
-def advise(requests: DataFrame, nodes: DataFrame, triples: DataFrame, avoid: list[str] = graph.AVOID, aliases: dict[str, str] = graph.DISEASE_ALIASES, needed: str = "calories", matches: DataFrame | None = None, metrics: list[str] = graph.METRICS) -> DataFrame:
+def advise(requests: DataFrame, nodes: DataFrame, triples: DataFrame, avoid: list[str] = graph.AVOID, aliases: dict[str, str] = graph.DISEASE_ALIASES, needed: str = "calories", matches: DataFrame | None = None, metrics: list[str] = graph.METRICS, direct: DataFrame | None = None) -> DataFrame:
     """One row a request (id, food, disease): status, found, avoid, connections, relations, nutrition, context.
 
     avoid: other ends of avoid edges at nodes that hold the disease's name, or its alias's. found: the shortest node name
     that holds the food's and has the needed property (OK_FOOD, connections: its outgoing ends), else the first of matches
     (id, name, ord) that has relations (OK_MAPPED, relations: its edges, both ways). Without either the status is BLOCKED
     where something is to be avoided, and no context is made, else NOT_FOUND. nutrition: the metrics of the found node, 0
-    where unknown; null for a mapped node without the property and for NOT_FOUND, all 0 for BLOCKED.
+    where unknown; null for a mapped node without the property and for NOT_FOUND, all 0 for BLOCKED. direct: what
+    found_foods() gave, where it is known.
     """
     req = requests.withColumn("target", F.lower(mapped(F.lower(T.strip(F.col("disease"))), aliases, F.col("disease")))).withColumn("food_key", F.lower("food"))
     lists = avoid_lists(req.select(F.col("target").alias("key")), triples, avoid).withColumnRenamed("key", "target")
-    direct = found_foods(req.select(F.col("food_key").alias("key")), nodes, needed).select(F.col("key").alias("food_key"), F.col("found").alias("direct"))
-    out = req.join(lists, "target", "left").join(direct, "food_key", "left")
+    if direct is None:
+        direct = found_foods(req.select(F.col("food_key").alias("key")), nodes, needed)
+    out = req.join(lists, "target", "left").join(direct.select(F.col("key").alias("food_key"), F.col("found").alias("direct")), "food_key", "left")
     if matches is None:
         out = out.withColumn("mapped", F.lit(None).cast("string"))
     else:
         linked = triples.select(F.explode(F.array("s", "o")).alias("name")).distinct()
         first = matches.join(linked, "name", "left_semi").groupBy("id").agg(F.min_by("name", "ord").alias("mapped"))
         out = out.join(first, "id", "left")
-    out = out.withColumn("found", F.coalesce("direct", "mapped"))
+    # the nodes found are looked up three times
+    out = saved(out.withColumn("found", F.coalesce("direct", "mapped")))
     some = out.select("found").where("found IS NOT NULL").distinct()
     ends = triples.select(F.col("s").alias("found"), "o").join(some, "found", "left_semi").groupBy("found").agg(F.array_sort(F.collect_set("o")).alias("connections"))
     said = F.concat("s", F.lit(" --["), "r", F.lit("]--> "), "o")
@@ -156,10 +204,10 @@ def identified(images: DataFrame, client: ModelClient, prompts: Prompts = Prompt
 
 def flow(requests: DataFrame, nodes: DataFrame, triples: DataFrame, client: ModelClient, avoid: list[str] = graph.AVOID, aliases: dict[str, str] = graph.DISEASE_ALIASES, needed: str = "calories", metrics: list[str] = graph.METRICS, prompts: Prompts = Prompts()) -> DataFrame:
     """advise() and answered() over requests (id, food, disease); the model maps only foods that the graph does not hold."""
-    direct = found_foods(requests.select(F.lower("food").alias("key")), nodes, needed)
+    direct = saved(found_foods(requests.select(F.lower("food").alias("key")), nodes, needed))
     open_ = requests.join(direct, F.lower("food") == F.col("key"), "left_anti")
     matches = map_to_nodes(open_, nodes.where("name IS NOT NULL").select("name"), client, prompts)
-    return answered(advise(requests, nodes, triples, avoid, aliases, needed, matches, metrics), client, prompts)
+    return answered(advise(requests, nodes, triples, avoid, aliases, needed, matches, metrics, direct), client, prompts)
 
 
 def ask(spark: SparkSession, question: str, disease: str, nodes: DataFrame, triples: DataFrame, client: ModelClient, **options) -> dict:

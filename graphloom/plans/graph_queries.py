@@ -10,11 +10,10 @@ from graphloom.plans import kg
 from graphloom.plans.kg import EDGES_SQL, TRIPLES_SQL, table
 from graphloom.plans.registry import registry
 from graphloom.sources import files
-from graphloom.sources.work import fresh_path
+from graphloom.sources.work import fresh_path, saved
 
 QUERIES, ORACLE_SQL, query = registry()
 AVOID = ["has_brand", "has_type"]
-_graphs: dict[tuple[str, str], str] = {}
 
 
 def _edges(spark, d):
@@ -22,15 +21,13 @@ def _edges(spark, d):
 
 
 def _saved(spark, d):
-    """(nodes, edges) of the graph, saved once a session: lookups read the files of the types and columns they need."""
-    at = (spark.sparkContext.applicationId, d)
-    if at not in _graphs:
-        path = fresh_path(spark, "graph")
-        nodes, edges = kg.nodes_of(_edges(spark, d)), _edges(spark, d)
-        sizes = table(spark, d, "part").groupBy(F.lit("Part").alias("label"), F.col("p_name").alias("name")).agg(F.min("p_size").cast("bigint").alias("size"), F.max("p_retailprice").alias("price"))
-        files.save_graph(nodes.join(sizes, ["label", "name"], "left"), edges, path)
-        _graphs[at] = path
-    return files.load_graph(spark, _graphs[at])
+    """(nodes, edges) of the graph as saved: lookups read the files of the types and columns they need. It is saved anew for
+    each query, so that no query answers from an older graph and its time holds the whole work."""
+    path = fresh_path(spark, "graph")
+    edges = saved(_edges(spark, d))
+    sizes = table(spark, d, "part").groupBy(F.lit("Part").alias("label"), F.col("p_name").alias("name")).agg(F.min("p_size").cast("bigint").alias("size"), F.max("p_retailprice").alias("price"))
+    files.save_graph(kg.nodes_of(edges).join(sizes, ["label", "name"], "left"), edges, path)
+    return files.load_graph(spark, path)
 
 
 def _typed(edges, relations):
@@ -318,7 +315,7 @@ def advice_batch(spark, d):
     req = c.select(k.alias("id"), food.alias("food"), F.when(k % 3 == 0, "Promo alias ").when(k % 3 == 1, "brand#1").otherwise("none").alias("disease"))
     # the model's answers: a name that has no relations, then the customer's own
     matches = c.where("c_custkey % 4 = 1").select(k.alias("id"), F.explode(F.array(F.struct(F.lit("nobody").alias("name"), F.lit(0).alias("ord")), F.struct(F.col("c_name").alias("name"), F.lit(1).alias("ord")))).alias("m")).select("id", "m.*")
-    return _plain(advice.advise(req, _advice_nodes(spark, d), kg.triples(spark, d), AVOID, _ALIASES, "size", matches, ["size"]))
+    return _plain(advice.advise(req, _advice_nodes(spark, d), saved(kg.triples(spark, d).distinct()), AVOID, _ALIASES, "size", matches, ["size"]))
 
 
 _ASKED = [(1, "ring", "brand#1"), (2, "please nation_3 and africa", "none"), (3, "what is it", "promo alias"), (4, "nothing", "none"), (5, "Nobody", "Brand#12")]
@@ -327,8 +324,9 @@ _MATCHED_SQL = "m AS (SELECT id, min(name) AS mapped FROM req JOIN (SELECT s AS
 
 
 def _asked(spark, d):
-    nodes = kg.nodes_of(_edges(spark, d)).select("name").distinct().join(_advice_nodes(spark, d), "name", "left")
-    return nodes, kg.triples(spark, d), {"avoid": AVOID, "aliases": _ALIASES, "needed": "size", "metrics": ["size"]}
+    triples = saved(kg.triples(spark, d).distinct())
+    nodes = saved(triples.select(F.explode(F.array("s", "o")).alias("name")).distinct().join(_advice_nodes(spark, d), "name", "left"))
+    return nodes, triples, {"avoid": AVOID, "aliases": _ALIASES, "needed": "size", "metrics": ["size"]}
 
 
 @query(f"""WITH {TRIPLES_SQL}, {_ASKED_SQL}, {_MATCHED_SQL}, {_ADVICE} SELECT id, food, disease, status, found, avoid, connections, relations, size, context,

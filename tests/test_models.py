@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,13 +110,43 @@ def test_grown_schema_is_the_sequential_rule(spark, monkeypatch, window, ahead):
     assert [(r["chunk"], r["pos"], r["canonical"]) for r in got] == want
 
 
-def test_substring_search_by_beginnings(spark, monkeypatch):
-    names = spark.createDataFrame([("Tiểu đường tuýp 2",), ("đường",), ("xy",), ("ab",)], "name string")
-    wanted = spark.createDataFrame([("tiểu đường",), ("đường",), ("b",), ("xy",), ("none",)], "key string")
-    want = {("tiểu đường", "Tiểu đường tuýp 2"), ("đường", "Tiểu đường tuýp 2"), ("đường", "đường"), ("b", "ab"), ("xy", "xy")}
-    assert {(r["key"], r["name"]) for r in A.holding(wanted, names).collect()} == want
-    monkeypatch.setattr(A, "NAMES", 2)
-    assert {(r["key"], r["name"]) for r in A.holding(wanted, names).collect()} == want
+def test_substring_search_by_rarest_grams(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcđ ") for _ in range(rng.randint(0, n)))
+    names = ["Tiểu đường tuýp 2", "đường", "xy", "ab", "aaaa", "", None, "AB ab"] + [word(14) for _ in range(150)]
+    keys = ["tiểu đường", "đường", "b", "xy", "none", "", None, "aa", "aaaaa", "b a"] + [word(6) for _ in range(80)]
+    table = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, item int")
+    wanted = spark.createDataFrame([(k,) for k in keys], "key string")
+    want = sorted((k, n, i) for k in {k for k in keys if k is not None} for i, n in enumerate(names) if n is not None and k in n.lower())
+    for most in (A.GRAM_NAMES, 7):  # also with the names of most grams dealt out
+        monkeypatch.setattr(A, "GRAM_NAMES", most)
+        found = A.holding(wanted, table)
+        assert sorted((r["key"], r["name"], r["item"]) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert A.holding(wanted.limit(0), table).count() == A.holding(wanted, table.limit(0)).count() == 0
+
+
+def test_mapping_by_pages_of_names(spark):
+    class Shy(M.StubClient):
+        """As the stub, but a prompt may not list more than 60 bytes of names."""
+
+        @staticmethod
+        def _match(p):
+            if len(p["nodes"].encode()) > 60:
+                raise ValueError("too long a list")
+            return M.StubClient._match(p)
+
+    rng = random.Random(7)
+    names = sorted({"".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(120)})
+    table = spark.createDataFrame([(n,) for n in [*names, None, names[0]]], "name string")
+    asks = [(1, " ".join(rng.sample(names, 50))), (2, names[5]), (3, "none of them"), (4, " ".join([names[0], names[-1], names[60]])), (5, None)]
+    requests = spark.createDataFrame(asks, "id long, food string")
+    whole = sorted(map(tuple, A.map_to_nodes(requests, table, M.StubClient()).collect()))
+    paged = sorted(map(tuple, A.map_to_nodes(requests, table, Shy(), page_bytes=60).collect()))
+    assert paged == whole
+    assert [n for i, n, _ in sorted(paged, key=lambda r: (r[0], r[2])) if i == 4] == [names[0], names[60], names[-1]]
+    assert A.map_to_nodes(requests, table.limit(0), M.StubClient()).count() == 0
 
 
 def test_similar_pairs_of_many_blocks(spark):
