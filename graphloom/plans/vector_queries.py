@@ -35,6 +35,15 @@ def top10_relations(spark, d):
     return _top(spark, d, 10).withColumn("score", F.round("score", 9))
 
 
+@query(f"WITH s AS (SELECT a.vec_id AS q, b.vec_id AS t, {_DOT.format('a.embedding', 'b.embedding')} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) SELECT q, t, round(score, 9) AS score, row_number() OVER (PARTITION BY q ORDER BY score DESC, t) AS rank FROM s QUALIFY rank <= 10")
+def nearest_vectors(spark, d):
+    """Every hundredth vector's nearest ones among all vectors, many blocks of them."""
+    e = table(spark, d, "embeddings")
+    targets = e.select(F.col("vec_id").alias("t"), F.col("vec_id").alias("ord"), F.col("embedding").alias("w"))
+    found = retrieval.top_k(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")), targets, 10)
+    return found.withColumn("score", F.round("score", 9))
+
+
 @query(f"WITH {TRIPLES_SQL}, t AS (SELECT DISTINCT r FROM kg) SELECT r, CASE WHEN r IN ('has_brand', 'located_in') THEN 'canonical' WHEN r IN ('has_brand', 'part_of', 'in_segment') THEN 'match' ELSE 'undefined' END AS status, (SELECT count(*) FROM kg WHERE kg.r = t.r) AS n FROM t")
 def canonical_split(spark, d):
     rel = lambda *x: spark.createDataFrame([(r,) for r in x], "relation string")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import advice as A
 from graphloom.operators import extraction as X
+from graphloom.operators import inner_products as I
 from graphloom.operators import models as M
 from graphloom.operators import retrieval as R
 
@@ -162,11 +163,33 @@ def test_similar_pairs_of_many_blocks(spark):
     assert {(r["i"], r["j"]) for r in R.similar_pairs(df, 0.9, block=16).collect()} == want and len(want) > 100
 
 
-def test_negatives_and_parts_of_targets(spark, monkeypatch):
+def test_negatives(spark):
     t = spark.createDataFrame([("k", "a"), ("k", "b"), ("l", "c")], "k string, r string")
     assert {(r["k"], r["r"]) for r in R.negative_relations(t, "k").collect()} == {("k", "c"), ("l", "a"), ("l", "b")}
-    q = spark.createDataFrame([(1, [1.0, 0.0])], "q long, v array<double>")
-    w = spark.createDataFrame([(i, i, [float(i), 1.0]) for i in range(9)], "t long, ord long, w array<double>")
-    whole = R.top_k(q, w, 3).orderBy("rank").collect()
-    monkeypatch.setattr(R, "TARGET_BYTES", 40)
-    assert R.top_k(q, w, 3).orderBy("rank").collect() == whole and [r["t"] for r in whole] == [8, 7, 6]
+
+
+def test_largest_products_without_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(25, 6))
+    w = np.concatenate([(c + 0.15 * rng.normal(size=(30, 6))) * rng.uniform(0.2, 3) for c in centres])
+    w = np.concatenate([w, w[:5], w[:5], np.zeros((3, 6)), rng.integers(-1, 2, size=(80, 6))])  # repeated, empty and tying targets
+    v = np.concatenate([centres[:20] + 0.1 * rng.normal(size=(20, 6)), np.zeros((1, 6)), -centres[:4], rng.integers(-1, 2, size=(15, 6))])
+    order = rng.permutation(len(w))
+    targets = spark.createDataFrame([(f"t{i}", int(o), [float(x) for x in r]) for i, (o, r) in enumerate(zip(order, w, strict=True))] + [("none", -1, None)], "t string, ord long, w array<double>")
+    queries = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(999, None)], "q long, v array<double>")
+    product = lambda a, b: float(np.add.accumulate(a * b)[-1])
+    want = []
+    for i, a in enumerate(v):
+        best = sorted(((-product(a, b), int(o), f"t{j}") for j, (o, b) in enumerate(zip(order, w, strict=True))))[:7]
+        want += [(i, t, -s, n + 1) for n, (s, _, t) in enumerate(best)]
+    for part_bytes in (I.TARGET_BYTES, 6000):
+        found = I.top_k(queries, targets, 7, part_bytes, 16)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+        plan = found._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    compared = I.searched(queries.limit(20), targets, 7, block=16).agg(F.sum("compared")).first()[0]
+    assert 20 * 7 <= compared < 20 * len(w) / 2
+    assert I.top_k(queries, targets, 2000).count() == len(v) * len(w)
+    assert I.top_k(queries, targets.limit(0), 3).count() == I.top_k(queries.limit(0), targets, 3).count() == 0
