@@ -99,20 +99,26 @@ def _chunked(spark, d):
     return t.withColumn("pos", F.row_number().over(Window.partitionBy("s").orderBy("r", "o")) - 1).join(no, "s")
 
 
+def _through(rows):
+    """rows of several files with their lines numbered through all of them."""
+    lines = numbered(rows.select("src", "chunk_no").distinct(), ["src", "chunk_no"], "at")
+    return rows.join(lines, ["src", "chunk_no"]).drop("chunk_no").withColumnRenamed("at", "chunk_no")
+
+
 @query(f"WITH {_CHUNKED} SELECT chunk_no, pos, s, r, o FROM ch JOIN no USING (s)")
 def nested_triples(spark, d):
     path = fresh_path(spark, "chunks")
-    files.write_chunk_triples(_chunked(spark, d), path)
-    return files.read_triples(spark, path, nested_only=True).select("chunk_no", F.col("pos").cast("bigint").alias("pos"), "s", "r", "o")
+    files.write_chunk_triples(_chunked(spark, d), path, 4)
+    return _through(files.read_triples(spark, path, nested_only=True)).select("chunk_no", F.col("pos").cast("bigint").alias("pos"), "s", "r", "o")
 
 
 @query(f"WITH {TRIPLES_SQL} SELECT row_number() OVER (ORDER BY s, r, o) - 1 AS chunk_no, s, r, o, 0::BIGINT AS nested FROM (SELECT DISTINCT s, r, o FROM kg)")
 def flat_triples(spark, d):
     path = fresh_path(spark, "flat")
-    files.write_flat_triples(kg.triples(spark, d).distinct(), ["s", "r", "o"], path)
+    files.write_flat_triples(kg.triples(spark, d).distinct(), ["s", "r", "o"], path, 4)
     # a flat list is no list of lists
     nested = files.read_triples(spark, path, nested_only=True).agg(F.count("*").alias("nested"))
-    return files.read_triples(spark, path).select("chunk_no", "s", "r", "o").crossJoin(nested)
+    return _through(files.read_triples(spark, path)).select("chunk_no", "s", "r", "o").crossJoin(nested)
 
 
 @query("SELECT text, 2::BIGINT AS n, 'it' AS first_subject FROM benchmark")

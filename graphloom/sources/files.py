@@ -130,14 +130,14 @@ def triple_text(s="s", r="r", o="o"):
     return F.concat(F.lit("["), F.concat_ws(", ", quoted(s), quoted(r), quoted(o)), F.lit("]"))
 
 
-def write_chunk_triples(df: DataFrame, path: str) -> None:
+def write_chunk_triples(df: DataFrame, path: str, parts: int = 1) -> None:
     """One line a chunk, its list of triples in order."""
     rows = df.withColumn("t", triple_text()).groupBy("chunk_no").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("l"))
-    write_lines(rows.withColumn("line", F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["t"]), ", "), F.lit("]"))), "line", ["chunk_no"], path)
+    write_lines(rows.withColumn("line", F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["t"]), ", "), F.lit("]"))), "line", ["chunk_no"], path, parts)
 
 
-def write_flat_triples(df: DataFrame, order: list[str], path: str) -> None:
-    write_lines(df.withColumn("line", triple_text()), "line", order, path)
+def write_flat_triples(df: DataFrame, order: list[str], path: str, parts: int = 1) -> None:
+    write_lines(df.withColumn("line", triple_text()), "line", order, path, parts)
 
 
 def write_stages(df: DataFrame, path: str, iteration: int) -> None:
@@ -157,9 +157,15 @@ def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
-def write_split(df: DataFrame, path: str, shares=(0.75, 0.125, 0.125), seed: int = 7) -> None:
-    for name, part in zip(("train", "valid", "test"), df.randomSplit(list(shares), seed), strict=True):
-        part.write.mode("errorifexists").parquet(f"{path}/{name}")
+def write_split(df: DataFrame, path: str, shares=(0.75, 0.125, 0.125), seed: int = 7, key: list[str] | None = None) -> None:
+    """Rows as train, valid and test below path, in about these shares. A row's side follows from the hash of its key (all
+    columns, unless named) and the seed alone, so that it is the same however the rows are partitioned or added to."""
+    at = F.pmod(F.xxhash64(F.lit(seed), *(key or df.columns)), F.lit(1 << 30)) / (1 << 30)
+    placed, total, low = df.withColumn("_at", at), sum(shares), 0.0
+    for n, (name, share) in enumerate(zip(("train", "valid", "test"), shares, strict=True)):
+        high = low + share / total if n < 2 else 2.0
+        placed.where((F.col("_at") >= low) & (F.col("_at") < high)).drop("_at").write.mode("errorifexists").parquet(f"{path}/{name}")
+        low = high
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:

@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +74,35 @@ def test_leaders_of_a_path(spark, monkeypatch, n, finish):
     assert got == {i: i - i % 2 for i in range(n)}
 
 
+def test_leaders_of_long_paths_and_random_pairs(spark):
+    path = spark.range(100_000).select(F.col("id").alias("i"))
+    pairs = spark.range(99_999).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
+    assert R.leaders_of(path, pairs).agg(F.count("*"), F.sum(F.col("i") % 2)).first() == (50_000, 0)
+    rng = random.Random(5)
+    edges = sorted({tuple(sorted(rng.sample(range(300), 2))) for _ in range(2500)})
+    leads: set[int] = set()
+    for n in range(300):
+        if not any(i in leads for i, j in edges if j == n):
+            leads.add(n)
+    nodes, some = spark.range(300).select(F.col("id").alias("i")), spark.createDataFrame(edges, "i long, j long")
+    for most in (60, 700, None):
+        assert {r["i"] for r in R.leaders_of(nodes, some, most).collect()} == leads
+    assert R.leaders_of(nodes.limit(0), some.limit(0)).count() == 0
+
+
+def test_percentiles_by_ranges(spark):
+    rng = random.Random(2)
+    shares = [0.0, 0.01, 0.5, 0.95, 0.99, 1.0]
+    lists = [[], [3.5], [1.0, 1.0, 1.0, 2.0], [rng.gauss(0, 1) for _ in range(500)], [rng.choice([0.1, 0.1 + 2**-55, 1e308, -1e308, 5e-324, 0.0]) for _ in range(400)], [float(rng.randint(0, 9)) for _ in range(300)] + [float("inf")] * 20 + [float("-inf")] * 9 + [float("nan")] * 4]
+    for values in lists:
+        df = spark.createDataFrame([(x,) for x in [*values, None]], "x double")
+        order = sorted(values, key=lambda x: (math.isnan(x), x))
+        want = [order[max(1, math.ceil(s * len(order))) - 1] if order else None for s in shares]
+        for n in (E.RANGES, 3):
+            assert str(E.nearest_ranks(df, "x", shares, n)) == str(want)
+    assert "percentile" not in E.latency(spark.range(100).select(F.col("id").alias("x")), "x")._jdf.queryExecution().toString()
+
+
 def test_assignment_beats_every_permutation():
     import random
     from itertools import permutations

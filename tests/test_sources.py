@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from graphloom.sources import files as S
 from graphloom.streaming import chunks as C
 
@@ -59,3 +61,15 @@ def test_stream_upserts_each_triple_once(spark, tmp_path):
     q = C.upsert_stream(C.triple_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_split_by_hash_of_the_key(spark, tmp_path):
+    df = spark.range(4000).select("id", (F.col("id") % 7).alias("x"))
+    S.write_split(df, str(tmp_path / "a"), key=["id"])
+    S.write_split(df.unionByName(df.select((F.col("id") + 5000).alias("id"), "x")).repartition(3, "x"), str(tmp_path / "b"), key=["id"])
+    read = lambda p, n: {r["id"] for r in spark.read.parquet(str(tmp_path / p / n)).collect()}
+    sides = {n: read("a", n) for n in ("train", "valid", "test")}
+    assert sorted(i for s in sides.values() for i in s) == list(range(4000))
+    assert abs(len(sides["train"]) - 3000) < 150 and abs(len(sides["valid"]) - 500) < 100
+    for n, ids in sides.items():
+        assert {i for i in read("b", n) if i < 4000} == ids
