@@ -10,6 +10,7 @@ from graphloom.plans import kg
 from graphloom.plans.kg import EDGES_SQL, TRIPLES_SQL, table
 from graphloom.plans.registry import registry
 from graphloom.sources import files
+from graphloom.sources.commits import KeyedTable
 from graphloom.sources.work import fresh_path, saved
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -149,6 +150,15 @@ def edge_upsert(spark, d):
     return graph.upsert_edges(e.where("relation IN ('located_in', 'part_of')"), e.unionByName(e), nodes)
 
 
+@query(f"""WITH {EDGES_SQL} SELECT label, name, CASE WHEN name LIKE '%0' THEN 'changed' ELSE lower(label) END AS note FROM nodes UNION ALL SELECT 'Part', name || ' (new)', 'new' FROM nodes WHERE label = 'Part'""")
+def bucket_upsert(spark, d):
+    # a graph's nodes in buckets; some are changed and some are new, and only their buckets are written
+    nodes = kg.nodes_of(_edges(spark, d))
+    store = KeyedTable.create(nodes.withColumn("note", F.lower("label")), fresh_path(spark, "store"), ["label", "name"], 32)
+    store = store.upsert(nodes.where("name LIKE '%0'").withColumn("note", F.lit("changed")))
+    return store.upsert(nodes.where("label = 'Part'").select("label", F.concat("name", F.lit(" (new)")).alias("name"), F.lit("new").alias("note"))).read()
+
+
 def _foods(spark, d):
     p = table(spark, d, "part")
     return p.select(F.col("p_name").alias("name"), F.col("p_type").alias("food_group"), F.when(F.col("p_size") > 5, F.col("p_size").cast("double")).alias("size"), F.col("p_retailprice").alias("price"), F.col("p_partkey").alias("at"))

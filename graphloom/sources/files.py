@@ -11,6 +11,7 @@ from graphloom.functions import text as T
 from graphloom.operators import graph
 from graphloom.operators.cleaning import numbered
 from graphloom.operators.evaluation import evaluation_rows, length_filter
+from graphloom.sources.commits import commit, fresh_data, last_commit, tidy
 from graphloom.sources.xlsx import read_xlsx
 
 # Spreadsheet headings and the properties they become.
@@ -171,18 +172,16 @@ def write_split(df: DataFrame, path: str, shares=(0.75, 0.125, 0.125), seed: int
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Node and edge tables; edges are laid out by type, so that lookups of a type read its files only.
 
-    What stood at path is replaced. The new tables are written beside it first, as they may be made from the old ones.
+    They replace what stood at path, of which they may be made, by a commit: until it stands, and whenever something fails,
+    the old graph is the one that is read.
     """
     spark = nodes.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    beside = at.suffix(".new")
-    fs.delete(beside, True)
-    nodes.write.parquet(f"{path}.new/nodes")
-    edges.write.partitionBy("rel_type").parquet(f"{path}.new/edges")
-    fs.delete(at, True)
-    if not fs.rename(beside, at):
-        raise OSError(f"cannot move the new graph to {path}")
+    version, _ = last_commit(spark, path)
+    at = fresh_data()
+    nodes.write.parquet(f"{path}/{at}/nodes")
+    edges.write.partitionBy("rel_type").parquet(f"{path}/{at}/edges")
+    commit(spark, path, version + 1, {"graph": at})
+    tidy(spark, path, {at})
 
 
 def rebuild_graph(spark: SparkSession, parts: list[tuple[str, str | None]], path: str) -> None:
@@ -208,7 +207,10 @@ def triples_of(edges: DataFrame) -> DataFrame:
 
 
 def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    version, says = last_commit(spark, path)
+    if not version:
+        raise ValueError(f"no graph at {path}")
+    return spark.read.parquet(f"{path}/{says['graph']}/nodes"), spark.read.parquet(f"{path}/{says['graph']}/edges")
 
 
 def answer_dict(text: str | dict) -> dict:

@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
+from graphloom.sources import commits as C
 from graphloom.sources import files as S
-from graphloom.streaming import chunks as C
+from graphloom.streaming import chunks
 
 
 def test_schema_header_commas_and_last_wins(spark, tmp_path):
@@ -58,7 +60,7 @@ def test_graph_and_stages(spark, tmp_path):
 
 def test_stream_upserts_each_triple_once(spark, tmp_path):
     spark.sql("SELECT 'a' AS s, 'r' AS r, 'b' AS o, timestamp'2024-01-01 00:00:00' AS at FROM range(3)").write.parquet(str(tmp_path / "in"))
-    q = C.upsert_stream(C.triple_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
+    q = chunks.upsert_stream(chunks.triple_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
@@ -73,3 +75,49 @@ def test_split_by_hash_of_the_key(spark, tmp_path):
     assert abs(len(sides["train"]) - 3000) < 150 and abs(len(sides["valid"]) - 500) < 100
     for n, ids in sides.items():
         assert {i for i in read("b", n) if i < 4000} == ids
+
+
+def held(path):
+    """The data files below a path, with their bytes."""
+    return {str(p.relative_to(path)): p.read_bytes() for p in path.rglob("*.parquet")}
+
+
+def test_upserts_touch_only_their_buckets(spark, tmp_path):
+    path = tmp_path / "t"
+    rows = spark.range(2000).select(F.concat(F.lit("n"), F.col("id")).alias("name"), F.when(F.col("id") % 3 > 0, F.lit("L")).alias("label"), F.col("id").alias("x"), F.lit(None).cast("double").alias("y"))
+    store = C.KeyedTable.create(rows, str(path), ["label", "name"], 50)
+    before, folders = held(path), dict(store.state["folders"])
+    with pytest.raises(ValueError, match="there is a table"):
+        C.KeyedTable.create(rows, str(path), ["label", "name"])
+    new = spark.createDataFrame([("L", "n1", None, 7.5), ("L", "n2", 5, None), ("L", "brand new", 1, 1.0)], "label string, name string, x long, y double")
+    after = store.upsert(new)
+    got = {(r["label"], r["name"]): (r["x"], r["y"]) for r in after.read().collect()}
+    assert len(got) == 2001 and got["L", "n1"] == (1, 7.5) and got["L", "n2"] == (5, None) and got["L", "brand new"] == (1, 1.0) and got[None, "n3"] == (3, None)
+    moved = {b for b, f in after.state["folders"].items() if folders.get(b) != f}
+    assert 1 <= len(moved) <= 3
+    now = held(path)
+    assert all(now[k] == v for k, v in before.items())
+    # the old version is read until the new one is there, and a writer that comes too late is refused
+    assert store.read().count() == 2000
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.upsert(new)
+    assert C.KeyedTable(spark, str(path)).version == 2
+    after.vacuum()
+    assert C.KeyedTable(spark, str(path)).read().count() == 2001
+    assert after.upsert(new.limit(0)).version == 2
+
+
+def test_a_broken_write_leaves_the_graph(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "g")
+    nodes = spark.createDataFrame([("Food", "a")], "label string, name string")
+    edges = spark.createDataFrame([("Food", "a", "R", "r", "Food", "a")], "s_label string, s_name string, rel_type string, relation string, o_label string, o_name string")
+    S.save_graph(nodes, edges, path)
+    with monkeypatch.context() as m:
+        m.setattr(S, "commit", lambda *_: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError, match="killed"):
+            S.save_graph(nodes.limit(0), edges.limit(0), path)
+    assert [x.count() for x in S.load_graph(spark, path)] == [1, 1]
+    n, e = S.load_graph(spark, path)
+    S.save_graph(n.unionByName(n.withColumn("name", F.lit("b"))), e, path)  # made from the graph that it replaces
+    assert [x.count() for x in S.load_graph(spark, path)] == [2, 1]
+    assert len([p for p in (tmp_path / "g").iterdir() if p.name.startswith("data-")]) == 1
