@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators import retrieval
+from graphloom.operators.cleaning import numbered
 from graphloom.operators.models import ModelClient, Prompts, asked, embedded
 from graphloom.sources.work import saved
 
@@ -39,21 +37,34 @@ def define(triples: DataFrame, client: ModelClient, chunks: DataFrame | None = N
     return answers.select("chunk", F.explode(T.definition_rows(F.col("answer"))).alias("d")).select("chunk", F.col("d.name").alias("relation"), F.col("d.definition").alias("definition"))
 
 
-def _verified(pairs: DataFrame, schema: DataFrame, client: ModelClient, chunks: DataFrame | None, prompts: Prompts, k: int) -> DataFrame:
-    """(chunk, r, candidates, picked) of pairs (chunk, r, definition, v, triple): the k nearest schema relations (relation,
-    definition, ord, w) with their scores, and the one that the model picks, or null."""
-    queries = pairs.withColumn("q", F.struct("chunk", "r"))
-    best = retrieval.top_k(queries.select("q", "v"), schema.select(F.col("relation").alias("t"), "ord", "w"), k)
-    best = best.join(F.broadcast(schema.select(F.col("relation").alias("t"), F.col("definition").alias("d"))), "t")
+def _options(pairs: DataFrame, schema: DataFrame, k: int) -> DataFrame:
+    """(chunk, r, options) of pairs (chunk, r, v): the k nearest schema relations (relation, definition, ord, w), in order,
+    with their scores. Pairs with at see only relations whose since lies before it."""
+    queries = pairs.select(F.struct("chunk", "r").alias("q"), "v", *[c for c in ("at",) if c in pairs.columns])
+    best = retrieval.top_k(queries, schema.select(F.col("relation").alias("t"), "ord", "w", *[c for c in ("since",) if c in schema.columns]), k)
+    best = best.join(schema.select(F.col("relation").alias("t"), F.col("definition").alias("d")), "t")
     options = best.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("t").alias("relation"), "score", F.col("d").alias("definition")))).alias("options"))
-    asks = queries.join(options, "q")
-    asks = asks.withColumn("text", F.lit("")) if chunks is None else asks.join(chunks.select("chunk", "text"), "chunk")
+    return options.select("q.*", "options")
+
+
+def _picked(asks: DataFrame, client: ModelClient, prompts: Prompts) -> DataFrame:
+    """(chunk, r, options, picked) of asks (chunk, r, definition, triple, text, options): what the model picks, or null."""
     said = T.choices(F.transform("options", lambda x: F.concat(x["relation"], F.lit(": "), x["definition"])))
     prompt = prompts.fill("verify", input_text=F.col("text"), query_triplet=F.col("triple"), query_relation=F.col("r"), query_relation_definition=F.col("definition"), choices=said)
     answers = asked(asks.select("chunk", "r", "options", prompt.alias("prompt")), client, "prompt", "answer")
-    names = F.transform("options", lambda x: x["relation"])
-    candidates = F.transform("options", lambda x: F.struct(x["relation"].alias("relation"), x["score"].alias("score")))
-    return answers.select("chunk", "r", candidates.alias("candidates"), T.chosen(F.col("answer"), names).alias("picked"))
+    return answers.select("chunk", "r", "options", T.chosen(F.col("answer"), F.transform("options", lambda x: x["relation"])).alias("picked"))
+
+
+def _candidates() -> Column:
+    return F.transform("options", lambda x: F.struct(x["relation"].alias("relation"), x["score"].alias("score")))
+
+
+def _verified(pairs: DataFrame, schema: DataFrame, client: ModelClient, chunks: DataFrame | None, prompts: Prompts, k: int) -> DataFrame:
+    """(chunk, r, candidates, picked) of pairs (chunk, r, definition, v, triple): the k nearest schema relations (relation,
+    definition, ord, w) with their scores, and the one that the model picks, or null."""
+    asks = pairs.join(_options(pairs, schema, k), ["chunk", "r"])
+    asks = asks.withColumn("text", F.lit("")) if chunks is None else asks.join(chunks.select("chunk", "text"), "chunk")
+    return _picked(asks, client, prompts).select("chunk", "r", _candidates().alias("candidates"), "picked")
 
 
 def canonicalize(triples: DataFrame, definitions: DataFrame, schema: DataFrame, client: ModelClient, k: int = 5, chunks: DataFrame | None = None, prompts: Prompts = PROMPTS, enrich: bool = False) -> DataFrame:
@@ -78,76 +89,47 @@ def canonicalize(triples: DataFrame, definitions: DataFrame, schema: DataFrame,
     return out.withColumn("canonical", F.when(F.col("status") == "canonical", F.col("r")).otherwise(F.col("picked"))).select(*triples.columns, "status", "canonical", "candidates")
 
 
-#: Pairs that are decided one after the other at a time, and how many are asked ahead.
-WINDOW, AHEAD = 512, 8192
-
-
 def grown_schema(pairs: DataFrame, schema: DataFrame, client: ModelClient, chunks: DataFrame | None = None, prompts: Prompts = PROMPTS, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(picked, schema): pairs (chunk, r, pos, definition, v, triple) decided in order of chunk and place, where each one
     that the model picks nothing for adds its relation to the schema (relation, definition, ord, w) at once.
 
-    Every addition may change all decisions after it, so the order is part of the result. A round asks the next AHEAD
-    pairs at once. While nothing joins, all of them are settled; else those before the first that joins are, and from it
-    on a window of WINDOW pairs is decided one after the other by the driver, which holds the schema and the window. A
-    schema that has grown to fit its texts is thus checked in parallel.
+    Every addition may change all decisions after it, so the order is part of the result; it is found by optimistic replay.
+    All pairs are asked at once. Those without a pick, the first of each relation, are taken for additions, each seen by the
+    pairs after it alone; the nearest options of all pairs are then searched again (by bounds, see inner_products), and only
+    pairs whose options have changed are asked again, until the additions stay as they are. Each round settles the first
+    pair that was not settled, at least, so it ends, and what it ends with is the sequential result, by induction over the
+    pairs, as long as the model answers one prompt in one way. Vectors of relations go to the workers in parts of bounded
+    size; pairs and decisions stay with Spark.
     """
-    spark = pairs.sparkSession
-    order = ["chunk", "pos", "r"]
     kind = "array<struct<relation:string,score:double>>"
-    text = pairs.withColumn("text", F.lit("")) if chunks is None else pairs.join(chunks.select("chunk", "text"), "chunk", "left")
-    open_ = saved(text)
-    done = [pairs.select("chunk", "r", F.lit(None).cast(kind).alias("candidates"), F.lit(None).cast("string").alias("picked")).limit(0)]
-    decided = done[0].schema
+    schema = saved(schema.select("relation", "definition", F.col("ord").cast("bigint").alias("ord"), "w"))
+    last = schema.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0]
+    text = pairs.withColumn("text", F.lit("")) if chunks is None else pairs.join(chunks.select("chunk", "text"), "chunk", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    known = schema.select(F.col("relation").alias("r")).distinct()
+    own = text.join(known, "r", "left_semi").select("chunk", "r", F.lit(None).cast(kind).alias("candidates"), F.col("r").alias("picked"))
+    open_ = saved(numbered(text.join(known, "r", "left_anti"), ["chunk", "pos", "r"], "at"))
+    added = open_.select("r", F.col("at").alias("since")).limit(0)
+    answers = None
     while True:
-        known = schema.select(F.col("relation").alias("r"))
-        own = open_.join(F.broadcast(known), "r", "left_semi")
-        done.append(saved(own.select("chunk", "r", F.lit(None).cast(kind).alias("candidates"), F.col("r").alias("picked"))))
-        open_ = saved(open_.join(F.broadcast(known), "r", "left_anti"))
-        next_ = saved(open_.orderBy(*order).limit(AHEAD))
-        if not next_.limit(1).count():
+        new = open_.join(added, "r").where("at = since").select(F.col("r").alias("relation"), "definition", (F.lit(last + 1) + F.col("at")).alias("ord"), F.col("v").alias("w"), "since")
+        now = schema.withColumn("since", F.lit(-1).cast("bigint")).unionByName(new)
+        # the pairs of an added relation need no model, but for the one that adds it
+        asking = open_.join(added, "r", "left").where("since IS NULL OR at <= since").drop("since")
+        options = asking.select("chunk", "r").join(_options(asking, now, k), ["chunk", "r"], "left")
+        options = saved(options.withColumn("options", F.coalesce("options", F.array().cast("array<struct<rank:bigint,relation:string,score:double,definition:string>>"))))
+        changed = options if answers is None else options.join(answers.select("chunk", "r", F.col("options").alias("before")), ["chunk", "r"], "left").where("before IS NULL OR before <> options").drop("before")
+        fresh = saved(_picked(changed.join(open_.select("chunk", "r", "definition", "triple", "text"), ["chunk", "r"]), client, prompts))
+        answers = fresh if answers is None else saved(answers.join(fresh, ["chunk", "r"], "left_anti").unionByName(fresh))
+        # the answers to what is asked now
+        current = answers.join(asking.select("chunk", "r", "at"), ["chunk", "r"])
+        found = saved(current.where("picked IS NULL").groupBy("r").agg(F.min("at").alias("since")))
+        if not found.join(added, ["r", "since"], "left_anti").limit(1).count() and not added.join(found, ["r", "since"], "left_anti").limit(1).count():
             break
-        answers = saved(next_.select("chunk", "r", "pos").join(_verified(next_.drop("text"), schema, client, chunks, prompts, k), ["chunk", "r"], "left").withColumn("at", F.struct(*order)))
-        first = answers.where("picked IS NULL").agg(F.min("at").alias("at")).first()["at"]
-        here = F.struct(*order)
-        if first is None:
-            settled, upto = answers, next_.agg(F.max(here).alias("at")).first()["at"]
-        else:
-            since = F.struct(*[F.lit(first[c]).alias(c) for c in order])
-            settled = answers.where(F.col("at") < since)
-            window = next_.where(here >= since).orderBy(*order).limit(WINDOW).collect()
-            rows, new = _in_order(window, [tuple(r) for r in schema.select("relation", "definition", "ord", "w").orderBy("ord").collect()], client, prompts, k)
-            done.append(spark.createDataFrame(rows, decided))
-            schema = saved(schema.select("relation", "definition", "ord", "w").unionByName(spark.createDataFrame(new, schema.select("relation", "definition", "ord", "w").schema)))
-            upto = window[-1]
-        done.append(saved(settled.select("chunk", "r", "candidates", "picked")))
-        open_ = saved(open_.where(here > F.struct(*[F.lit(upto[c]).alias(c) for c in order])))
-    return saved(reduce(DataFrame.unionByName, done)), schema
-
-
-def _in_order(window: list, schema: list[tuple], client: ModelClient, prompts: Prompts, k: int) -> tuple[list[tuple], list[tuple]]:
-    """(decisions (chunk, r, candidates, picked), new schema rows) of the window's pairs, one after the other."""
-    known = {r for r, *_ in schema}
-    rows, out, new = list(schema), [], []
-    for p in window:
-        if p["r"] in known:
-            out.append((p["chunk"], p["r"], None, p["r"]))
-            continue
-        score = [float(np.dot(p["v"], w)) for *_, w in rows]
-        best = sorted(range(len(rows)), key=lambda i: (-score[i], rows[i][2]))[:k]
-        picked = None
-        if best:
-            said = "".join(f"{chr(65 + n)}. {rows[i][0]}: {rows[i][1]}\n" for n, i in enumerate(best)) + f"{chr(65 + len(best))}. None of the above.\n"
-            answer = client.complete([prompts.text("verify", input_text=p["text"] or "", query_triplet=p["triple"], query_relation=p["r"], query_relation_definition=p["definition"], choices=said)])[0]
-            at = ord(answer[0]) - 65 if answer else -1
-            picked = rows[best[at]][0] if 0 <= at < len(best) else None
-        if picked is None:
-            row = (p["r"], p["definition"], max((r[2] for r in rows), default=-1) + 1, list(p["v"]))
-            rows.append(row)
-            new.append(row)
-            known.add(p["r"])
-            picked = p["r"]
-        out.append((p["chunk"], p["r"], [(rows[i][0], score[i]) for i in best], picked))
-    return out, new
+        added = found
+    decided = open_.select("chunk", "r").join(current.select("chunk", "r", "options", "picked"), ["chunk", "r"], "left")
+    decided = decided.select("chunk", "r", _candidates().alias("candidates"), F.coalesce("picked", "r").alias("picked"))
+    more = numbered(new.drop("since"), ["ord"], "no").select("relation", "definition", (F.lit(last + 1) + F.col("no")).cast("bigint").alias("ord"), "w")
+    return saved(own.unionByName(decided)), saved(schema.unionByName(more))
 
 
 def enrich(relations: DataFrame, schema: DataFrame, threshold: float) -> DataFrame:

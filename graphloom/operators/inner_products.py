@@ -32,9 +32,9 @@ def _unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Blocks:
-    """Targets in blocks. order: what breaks ties, ascending."""
+    """Targets in blocks. order: what breaks ties, ascending. since: queries up to that number do not see the target."""
 
-    def __init__(self, vectors: np.ndarray, order: np.ndarray, block: int = BLOCK):
+    def __init__(self, vectors: np.ndarray, order: np.ndarray, block: int = BLOCK, since: np.ndarray | None = None):
         unit, norm = _unit(vectors)
         n = len(vectors)
         if n > block:
@@ -45,6 +45,7 @@ class Blocks:
         else:
             self.at = np.arange(n)
         self.vectors, self.order = vectors[self.at], order[self.at]
+        self.since = None if since is None else since[self.at]
         unit, norm = unit[self.at], norm[self.at]
         self.edges = list(range(0, n, block)) + [n]
         parts = list(zip(self.edges, self.edges[1:]))
@@ -62,10 +63,10 @@ class Blocks:
         cos = np.cos(np.maximum(angle, 0.0))
         return norm[:, None] * np.where(cos >= 0, self.most, self.least) * cos
 
-    def search(self, queries: np.ndarray, k: int, known: list[list[float]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    def search(self, queries: np.ndarray, k: int, known: list[list[float]] | None = None, numbers: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """(query, target's place as given, product) of candidates that hold each query's k best, and the pairs compared.
 
-        known: products that a query has already found elsewhere.
+        known: products that a query has already found elsewhere. numbers: of the queries, where targets have a since.
         """
         m = len(queries)
         bounds = self.bounds(queries)
@@ -90,7 +91,10 @@ class Blocks:
                 low, high = self.edges[b], self.edges[b + 1]
                 near = queries[who] @ self.vectors[low:high].T
                 compared += near.size
-                i, j = np.nonzero(near >= (best[who].min(1) - slack[who])[:, None])
+                passes = near >= (best[who].min(1) - slack[who])[:, None]
+                if self.since is not None:
+                    passes &= self.since[None, low:high] < numbers[who][:, None]
+                i, j = np.nonzero(passes)
                 product = np.add.accumulate(queries[who[i]] * self.vectors[low + j], axis=1)[:, -1] if queries.shape[1] else np.zeros(len(i))
                 found.append((who[i], low + j, product))
                 both = np.concatenate([best[who], np.full((len(who), high - low), -np.inf)], 1)
@@ -115,7 +119,7 @@ def _searched(blocks: Blocks, names: pa.Array, order: pa.Array, k: int, out: pa.
                 v = np.array(some.column("v").to_pylist(), np.float64).reshape(some.num_rows, -1)
                 held = some.column(_BEST)
                 before = [[x["score"] for x in r] for r in held.to_pylist()]
-                q, t, s, compared = blocks.search(v, k, before)
+                q, t, s, compared = blocks.search(v, k, before, some.column("at").to_numpy())
                 by = np.lexsort((blocks.order[np.argsort(blocks.at)][t], -s, q))
                 q, t, s = q[by], t[by], s[by]
                 rank = np.arange(len(q)) - np.searchsorted(q, q)
@@ -132,7 +136,7 @@ def _searched(blocks: Blocks, names: pa.Array, order: pa.Array, k: int, out: pa.
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes + new)), pa.int32()), every.take(pa.array(pick.astype(np.int64)))).cast(held.type)
                 done = pa.array(np.append(compared, np.zeros(some.num_rows - 1, np.int64)) if some.num_rows else np.zeros(0, np.int64))
                 total = pa.compute.add(some.column("compared"), done)
-                yield pa.RecordBatch.from_arrays([some.column("q"), some.column("v"), total, lists], schema=out)
+                yield pa.RecordBatch.from_arrays([some.column("q"), some.column("v"), some.column("at"), total, lists], schema=out)
 
     return work
 
@@ -143,16 +147,18 @@ def searched(queries: DataFrame, targets: DataFrame, k: int, part_bytes: int = T
 
     Targets go to the workers in parts of counted size, one after the other; between parts the queries' lists are saved, so
     that a worker holds one part at a time, and later parts are pruned by what earlier ones gave. Rows without a vector are
-    left out; all vectors have one length.
+    left out; all vectors have one length. Where queries have a column at and targets a column since, both numbers, a query
+    sees only targets whose since lies below its at.
     """
     spark = queries.sparkSession
-    targets = targets.where("w IS NOT NULL").select("t", "ord", F.col("w").cast("array<double>").alias("w"))
+    timed = "since" in targets.columns and "at" in queries.columns
+    targets = targets.where("w IS NOT NULL").select("t", "ord", F.col("w").cast("array<double>").alias("w"), *([F.col("since").cast("bigint").alias("since")] if timed else []))
     r = targets.agg(F.count("*").alias("n"), F.max(F.size("w")).alias("width")).first()
     parts = max(1, -(-r["n"] * (r["width"] or 0) * 8 // part_bytes))
     item = StructType([StructField("t", targets.schema["t"].dataType), StructField("ord", targets.schema["ord"].dataType), StructField("score", DoubleType())])
-    schema = StructType([StructField("q", queries.schema["q"].dataType), StructField("v", ArrayType(DoubleType())), StructField("compared", LongType()), StructField(_BEST, ArrayType(item))])
+    schema = StructType([StructField("q", queries.schema["q"].dataType), StructField("v", ArrayType(DoubleType())), StructField("at", LongType()), StructField("compared", LongType()), StructField(_BEST, ArrayType(item))])
     empty = F.array().cast(ArrayType(item))
-    out = queries.where("v IS NOT NULL").select("q", F.col("v").cast("array<double>").alias("v"), F.lit(0).cast("bigint").alias("compared"), empty.alias(_BEST))
+    out = queries.where("v IS NOT NULL").select("q", F.col("v").cast("array<double>").alias("v"), (F.col("at") if timed else F.lit(0)).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("compared"), empty.alias(_BEST))
     arrow = spark.createDataFrame([], schema).toArrow().schema
     for p in range(parts):
         some = targets if parts == 1 else targets.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == p)
@@ -161,7 +167,7 @@ def searched(queries: DataFrame, targets: DataFrame, k: int, part_bytes: int = T
             continue
         column = lambda c, held=held: held.column(c).combine_chunks() if isinstance(held.column(c), pa.ChunkedArray) else held.column(c)
         vectors = np.array(column("w").to_pylist(), np.float64).reshape(held.num_rows, -1)
-        blocks = Blocks(vectors, np.arange(held.num_rows), block)
+        blocks = Blocks(vectors, np.arange(held.num_rows), block, column("since").to_numpy() if timed else None)
         out = out.mapInArrow(_searched(blocks, column("t"), column("ord"), k, arrow), schema)
         out = saved(out) if p < parts - 1 else out
     return out.select("q", "compared", _BEST)
