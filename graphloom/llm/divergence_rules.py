@@ -56,7 +56,8 @@ def judge(docs: DataFrame) -> DataFrame:
     base_failed: under 50 words, or over half of them in repeated 3-word windows. kept: not base_failed, and both
     histograms near the reference of the language whose common words the text holds most of (the nearest by characters
     where none is found). Texts under MIN_CHARS or MIN_WORDS are not judged by that histogram: its distance is null.
-    Null and empty texts have no words and fail the base rule. Each row is judged alone: repeated rows, null ids and
+    Null and empty texts have no words and fail the base rule; an empty table gives no rows. Texts are counted whole, in
+    time that grows with their length as a sort does. Each row is judged alone: repeated rows, null ids and
     extra columns change nothing, and no row is moved.
     """
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -155,7 +155,7 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, c
 
     Whole texts are scored, and nothing but them. Null and empty texts are one empty passage. Repeated rows score alike;
     labels without a document, null labels and null ids teach nothing; without labels every score is 0.5. Of several texts
-    of a labelled id the smallest teaches. Other columns are ignored.
+    of a labelled id the smallest teaches. Other columns are ignored; an empty table gives no rows.
     """
     model = train(docs, labels, fold_of(F.col("doc_id"), folds) != held, bound)
 

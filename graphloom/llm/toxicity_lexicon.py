@@ -289,7 +289,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2,
     """(doc_id, held_out, score, predicted) of every row of docs, learned from labels outside the held-out fold.
 
     Only the text is scored. Repeated rows score alike; labels without a document, null labels and null ids teach
-    nothing; without labels of both kinds the fixed list alone is used. Other columns are ignored.
+    nothing; without labels of both kinds the fixed list alone is used. Null and empty texts score as texts without
+    matches; of overlapping entries the automaton's longest at a place counts, and equal texts score alike, so there are no
+    ties to break. Texts are scored whole, whatever their length. Other columns are ignored; an empty table gives no rows.
     """
     lexicon, b = fit(docs, labels, fold_of(F.col("doc_id"), folds) != held, bound)
     scored = batched(docs).select("doc_id", scorer(lexicon, b)("text").alias("score"))
@@ -297,6 +299,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2,
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cut: float = 0.3, bound: int = 1500) -> DataFrame:
-    """docs' rows, all columns, that score below cut."""
+    """docs' rows, all columns, that score below cut.
+
+    Null and empty texts score as texts without matches, so they stay wherever such texts do; repeated rows all stay or all
+    go; an empty table gives no rows.
+    """
     lexicon, b = fit(docs, labels, fold_of(F.col("doc_id"), folds) != held, bound)
     return batched(docs).where(scorer(lexicon, b)("text") < cut)
