@@ -123,7 +123,8 @@ def grown_schema(pairs: DataFrame, schema: DataFrame, client: ModelClient, chunk
         # the answers to what is asked now
         current = answers.join(asking.select("chunk", "r", "at"), ["chunk", "r"])
         found = saved(current.where("picked IS NULL").groupBy("r").agg(F.min("at").alias("since")))
-        if not found.join(added, ["r", "since"], "left_anti").limit(1).count() and not added.join(found, ["r", "since"], "left_anti").limit(1).count():
+        moved = found.join(added.withColumnRenamed("since", "was"), "r", "full").where(~F.col("since").eqNullSafe(F.col("was")))
+        if not moved.limit(1).count():
             break
         added = found
     decided = open_.select("chunk", "r").join(current.select("chunk", "r", "options", "picked"), ["chunk", "r"], "left")

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from graphloom.sources.work import saved
@@ -150,7 +151,6 @@ def searched(queries: DataFrame, targets: DataFrame, k: int, part_bytes: int = T
     left out; all vectors have one length. Where queries have a column at and targets a column since, both numbers, a query
     sees only targets whose since lies below its at.
     """
-    spark = queries.sparkSession
     timed = "since" in targets.columns and "at" in queries.columns
     targets = targets.where("w IS NOT NULL").select("t", "ord", F.col("w").cast("array<double>").alias("w"), *([F.col("since").cast("bigint").alias("since")] if timed else []))
     r = targets.agg(F.count("*").alias("n"), F.max(F.size("w")).alias("width")).first()
@@ -159,7 +159,7 @@ def searched(queries: DataFrame, targets: DataFrame, k: int, part_bytes: int = T
     schema = StructType([StructField("q", queries.schema["q"].dataType), StructField("v", ArrayType(DoubleType())), StructField("at", LongType()), StructField("compared", LongType()), StructField(_BEST, ArrayType(item))])
     empty = F.array().cast(ArrayType(item))
     out = queries.where("v IS NOT NULL").select("q", F.col("v").cast("array<double>").alias("v"), (F.col("at") if timed else F.lit(0)).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("compared"), empty.alias(_BEST))
-    arrow = spark.createDataFrame([], schema).toArrow().schema
+    arrow = to_arrow_schema(schema)
     for p in range(parts):
         some = targets if parts == 1 else targets.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == p)
         held = some.orderBy("ord").toArrow().combine_chunks()

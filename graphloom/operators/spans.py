@@ -12,6 +12,7 @@ import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,7 +36,9 @@ def tokens(text: str) -> list[str]:
     return re.sub(r"([^'])'(?= |$)", r"\1 '", _ending(r"\1 \2", x)).split()
 
 
+@lru_cache(maxsize=1 << 15)
 def _words(text: str, drop: str) -> list[str]:
+    """Tokens without those that hold drop; kept for parts that recur, so not to be changed."""
     return [t for t in tokens(text) if not re.search(drop, t)]
 
 
@@ -166,8 +169,10 @@ def measured(counts: dict[str, int], mode: str) -> dict[str, float]:
     return {**counts, "possible": possible, "actual": actual, "precision": precision, "recall": recall, "f1": 2 * precision * recall / (precision + recall) if precision + recall else 0.0}
 
 
+@lru_cache(maxsize=4096)
 def pair_score(gold: str, predicted: str) -> tuple[float, dict[tuple[str, str], dict[str, float]]]:
-    """(mean f1 of the four modes, measures by tag and mode) of two triples."""
+    """(mean f1 of the four modes, measures by tag and mode) of two triples. A worker keeps the last few thousand pairs, as
+    the same ones recur over entries; what it returns is shared and must not be changed."""
     m = {k: measured(c, k[1]) for k, c in compared(*laid_out(gold, predicted)).items()}
     return sum(m["ALL", mode]["f1"] for mode in MODES) / len(MODES), m
 
