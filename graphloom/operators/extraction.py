@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from graphloom.functions import text as T
 from graphloom.operators import retrieval
 from graphloom.operators.cleaning import numbered
-from graphloom.operators.models import ModelClient, Prompts, asked, embedded
+from graphloom.operators.models import CALL_SIZE, ModelClient, Prompts, asked, call, embedded
 from graphloom.sources.work import saved
 
 PROMPTS = Prompts()
@@ -238,30 +242,64 @@ def stage_records(chunks: DataFrame, triples: DataFrame, definitions: DataFrame,
     return out
 
 
-def resolve_coreference(chunks: DataFrame, client: ModelClient, window: int = 1, prompts: Prompts = PROMPTS) -> DataFrame:
-    """(doc, chunk, text) with each chunk resolved in the light of the window resolved ones before it; a failed call keeps it.
+#: Documents whose chunks are resolved side by side in one task.
+SIDE_BY_SIDE = 500
+
 
-    Each chunk waits for the one before, so a document is one group; documents run in parallel.
+def resolve_coreference(chunks: DataFrame, client: ModelClient, window: int = 1, prompts: Prompts = PROMPTS, errors: bool = False, wait: float = 0.5) -> DataFrame:
+    """(doc, chunk, text) with each chunk resolved in the light of the window resolved ones before it; with errors also
+    error, what the model's failure says. A chunk whose call fails stays as it was.
+
+    Each chunk waits for the one before, so documents go side by side: a wave asks the k-th chunk of SIDE_BY_SIDE documents
+    in calls of CALL_SIZE prompts, then the next one. A task holds that many documents, however many it is given.
     """
     head, middle, tail = _around(prompts.resolve, "{context}", "{current}")
     strip = lambda t: t.strip(" \t\n\x0B\f\r")
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        done: list[str] = []
-        for t in pdf["text"]:
-            context = " ".join(done[max(0, len(done) - window) :]) if window else ""
-            try:
-                said = strip(client.complete([head + context + middle + (t or "") + tail])[0])
-                for p in T.ANSWER_PREFIXES:
-                    said = strip(said.removeprefix(p))
-                done.append(said)
-            except Exception:  # whatever a service's client raises: the chunk stays as it was
-                done.append(t)
-        pdf["text"] = done
-        return pdf
-
-    return chunks.groupBy("doc").applyInPandas(work, chunks.schema)
+    fields = StructType([*chunks.schema.fields, *([StructField("error", StringType())] if errors else [])])
+
+    def resolved(pdf: pd.DataFrame, starts: list[int]) -> pd.DataFrame:
+        texts = [None if pd.isna(t) else t for t in pdf["text"]]
+        said: list[str | None] = list(texts)
+        failed: list[str | None] = [None] * len(texts)
+        docs = list(zip(starts, [*starts[1:], len(texts)], strict=True))
+        for k in range(max(b - a for a, b in docs)):
+            turn = [a + k for a, b in docs if a + k < b]
+            begin = {a + k: max(a, a + k - window) for a, b in docs}
+            for n in range(0, len(turn), CALL_SIZE):
+                some = turn[n : n + CALL_SIZE]
+                asks = [head + " ".join(t or "" for t in said[begin[i] : i]) + middle + (texts[i] or "") + tail for i in some]
+                answers, error = call(client, asks, wait)
+                for i, answer in zip(some, answers, strict=True):
+                    failed[i] = error
+                    if answer is not None:
+                        answer = strip(answer)
+                        for x in T.ANSWER_PREFIXES:
+                            answer = strip(answer.removeprefix(x))
+                        said[i] = answer
+        return pdf.assign(text=said, **({"error": failed} if errors else {}))
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in chain(frames, [None]):
+            now = rest if pdf is None else pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if now is None or not len(now):
+                continue
+            doc, before = now["doc"], now["doc"].shift()
+            new = (doc != before) & ~(doc.isna() & before.isna())
+            new.iloc[0] = True
+            starts = [i for i, x in enumerate(new) if x]
+            whole, end = starts, len(now)
+            if pdf is not None:
+                # full rounds only, and the last document may go on in the next batch
+                full = (len(starts) - 1) // SIDE_BY_SIDE * SIDE_BY_SIDE
+                whole, end = starts[:full], starts[full]
+            for n in range(0, len(whole), SIDE_BY_SIDE):
+                some = whole[n : n + SIDE_BY_SIDE]
+                upto = whole[n + SIDE_BY_SIDE] if n + SIDE_BY_SIDE < len(whole) else end
+                yield resolved(now.iloc[some[0] : upto].reset_index(drop=True), [i - some[0] for i in some])
+            rest = now.iloc[end:].reset_index(drop=True)
+
+    return chunks.repartition("doc").sortWithinPartitions("doc", "chunk").mapInPandas(work, fields)
 
 
 def _around(template: str, first: str, second: str) -> tuple[str, str, str]:

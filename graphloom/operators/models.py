@@ -144,7 +144,7 @@ class StubClient:
         return f"{p['question']} / {p['disease']}: {p['context']}"
 
 
-def _answers(client: ModelClient, prompts: list[str], wait: float) -> tuple[list[str | None], str | None]:
+def call(client: ModelClient, prompts: list[str], wait: float) -> tuple[list[str | None], str | None]:
     """(answers, error): the call is made up to TRIES times; the error is the last one's."""
     said = None
     for n in range(TRIES):
@@ -172,7 +172,7 @@ def asked(df: DataFrame, client: ModelClient, prompt: str, answer: str, strict:
         for pdf in frames:
             for at in range(0, len(pdf), CALL_SIZE):
                 some = pdf.iloc[at : at + CALL_SIZE].copy()
-                some[answer], error = _answers(client, some[prompt].tolist(), wait)
+                some[answer], error = call(client, some[prompt].tolist(), wait)
                 if error and strict:
                     raise RuntimeError(f"the model failed {TRIES} times: {error}")
                 some[f"{answer}_error"] = error

@@ -186,6 +186,11 @@ def best_pairs(gold: list[str], predicted: list[str]) -> tuple[float, list[tuple
     return total, [(a[j], b[i], table[i][j][1]) for i, j in enumerate(order)]
 
 
+def _dealt(entries: DataFrame) -> DataFrame:
+    """Entries over all tasks: they are few bytes and much work, so their bytes must not decide how many tasks there are."""
+    return entries.select("entry", "gold", "predicted").repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 _MEASURES = (*COUNTS, "possible", "actual", "precision", "recall", "f1")
 
 
@@ -203,7 +208,7 @@ def pair_measures(entries: DataFrame) -> DataFrame:
 
     counts = ", ".join(f"`{c}` bigint" for c in (*COUNTS, "possible", "actual"))
     kind = entries.schema["entry"].dataType.simpleString()
-    return entries.select("entry", "gold", "predicted").mapInPandas(work, f"entry {kind}, pair bigint, gold string, predicted string, tag string, mode string, {counts}, `precision` double, recall double, f1 double")
+    return _dealt(entries).mapInPandas(work, f"entry {kind}, pair bigint, gold string, predicted string, tag string, mode string, {counts}, `precision` double, recall double, f1 double")
 
 
 def system_scores(entries: DataFrame) -> DataFrame:
@@ -225,4 +230,4 @@ def assignments(entries: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["entry", "score", "gold_n", "predicted_n"])
 
     kind = entries.schema["entry"].dataType.simpleString()
-    return entries.select("entry", "gold", "predicted").mapInPandas(work, f"entry {kind}, score double, gold_n bigint, predicted_n bigint")
+    return _dealt(entries).mapInPandas(work, f"entry {kind}, score double, gold_n bigint, predicted_n bigint")

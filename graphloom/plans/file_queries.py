@@ -180,14 +180,17 @@ def prompt_files(spark, d):
     return _benchmark(spark, d).select("item_id", prompts.fill("extract", input_text=F.col("text"), entities_hint=F.lit(""), relations_hint=F.lit("")).alias("prompt"))
 
 
-@query("SELECT * FROM (VALUES ('avoid', 'is bad for|harms'), ('needed', 'calories'), ('metrics', '" + "|".join(graph.METRICS) + "'), ('graph_path', ''), ('model', 'stub')) v(name, value)")
+@query(f"""WITH {TRIPLES_SQL}, bad AS (SELECT lower(s) AS ls, lower(o) AS lo, s, o FROM kg WHERE r IN ('has_brand', 'located_in'))
+SELECT item, 'calories' AS needed, '{len(graph.METRICS)}' AS metrics, '' AS graph_path, 'stub' AS model FROM (SELECT s AS item FROM bad WHERE contains(lo, 'nation_3') UNION SELECT o FROM bad WHERE contains(ls, 'nation_3'))""")
 def settings(spark, d):
-    spark.conf.set("spark.graphloom.avoid", "is bad for|harms")
+    # what the session sets decides which relations a lookup avoids; the rest holds as it is by default
+    spark.conf.set("spark.graphloom.avoid", "HAS_BRAND|located_in")
     try:
         found = advice.Settings.of(spark)
     finally:
         spark.conf.unset("spark.graphloom.avoid")
-    return spark.createDataFrame([(n, getattr(found, n)) for n in ("avoid", "needed", "metrics", "graph_path", "model")], "name string, value string")
+    items = graph.avoid_list(kg.triples(spark, d), "NATION_3", found.listed("avoid"))
+    return items.select("item", F.lit(found.needed).alias("needed"), F.lit(str(len(found.listed("metrics")))).alias("metrics"), F.lit(found.graph_path).alias("graph_path"), F.lit(found.model).alias("model"))
 
 
 @query(f"""WITH {_PARAGRAPHS}, p AS (SELECT *, row_number() OVER (ORDER BY id) AS n, count(*) OVER () AS total FROM said)

@@ -218,12 +218,17 @@ def crawl_definitions(spark, d):
     return out.select("entry", "text", F.array_join("relations", "|").alias("relations"), "definitions")
 
 
-@query(f"SELECT relation, array_to_string({_LETTERS.format('definition')}, ',') AS v FROM (VALUES " + ", ".join(f"('{r}', '{x}')" for r, x, _ in _SCHEMA) + ") v(relation, definition)")
+_PLACES = "places AS (SELECT n_nationkey AS key, n_name AS relation, lower(n_name || ' of ' || r_name) AS definition FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query(f"WITH {_PLACES} SELECT relation, array_to_string({_LETTERS.format('definition')}, ',') AS v FROM places")
 def schema_vectors(spark, d):
-    # half of the schema has its vectors; only the other half is embedded
-    client, schema = StubClient(), _schema(spark).select("relation", "definition")
-    have = embedded(schema.where("relation < 'p'"), client, "definition", "v")
-    out = retrieval.updated_vectors(have, schema, "relation", lambda rows: embedded(rows, client, "definition", "v"))
+    # every other relation of the schema has its vector; only the rest is embedded
+    client = StubClient()
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    schema = n.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("relation"), F.lower(F.concat("n_name", F.lit(" of "), "r_name")).alias("definition"))
+    have = embedded(schema.where("key % 2 = 0").drop("key"), client, "definition", "v")
+    out = retrieval.updated_vectors(have, schema.drop("key"), "relation", lambda rows: embedded(rows, client, "definition", "v"))
     return out.select("relation", F.array_join(F.transform("v", lambda x: F.concat(x.cast("int").cast("string"), F.lit(".0"))), ",").alias("v"))
 
 
@@ -262,7 +267,13 @@ def sub_list(spark, d):
     return w.select("item_id", F.when(F.size("w") >= 5, T.has_run(F.slice("w", 3, 3), F.col("w"))).cast("bigint").alias("at"))
 
 
-@query()
+# the longest run of free words, again and again
+@query(r"""WITH RECURSIVE w AS (SELECT item_id, w, list_concat(w[4:], w[1:3]) AS b FROM (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark)),
+p AS (SELECT item_id, list({'i': i, 'j': j}) AS pairs FROM (SELECT item_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM w) JOIN (SELECT item_id, unnest(b) AS y, generate_subscripts(b, 1) - 1 AS j FROM w) USING (item_id) WHERE x = y GROUP BY item_id),
+a AS (SELECT item_id, w, b, pairs, []::BIGINT[] AS ti, []::BIGINT[] AS tj, []::VARCHAR[] AS runs FROM w JOIN p USING (item_id)
+UNION ALL SELECT item_id, w, b, pairs, list_concat(ti, range(x.i, x.i - x.m)), list_concat(tj, range(x.j, x.j - x.m)), list_append(runs, '(' || x.i || ', ' || x.j || ', ' || -x.m || ')')
+FROM (SELECT *, list_sort(list_transform(pairs, lambda q: {'m': -coalesce(list_min(list_filter(range(0, least(len(w) - q.i, len(b) - q.j)), lambda t: w[q.i + t + 1] <> b[q.j + t + 1] OR list_contains(ti, q.i + t) OR list_contains(tj, q.j + t))), least(len(w) - q.i, len(b) - q.j)), 'j': q.j, 'i': q.i}))[1] AS x FROM a) WHERE x.m < 0)
+SELECT item_id, '[' || coalesce(array_to_string(arg_max(runs, len(runs)), ', '), '') || ']' AS runs FROM (SELECT item_id, runs FROM a UNION ALL SELECT item_id, []::VARCHAR[] FROM w) GROUP BY item_id""")
 def ngram_align(spark, d):
     # the words of an item against the same words with the first three at the end
     items = table(spark, d, "benchmark").select("item_id", evaluation.word_tokens(F.col("text")).alias("w"))

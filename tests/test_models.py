@@ -61,6 +61,33 @@ def test_dispatch_by_name():
         M.Dispatch("big", [("/", a)])
 
 
+def test_coreference_goes_through_documents_side_by_side(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    rows = [(d, k, rng.choice(["Anna came.", "Then it sat", "and it slept", " it ", ""])) for d in range(60) for k in range(rng.randint(1, 5))] + [(None, 0, "Bo is here"), (None, 1, "and it ran"), (900, 0, None)]
+    want = []
+    for d in {r[0] for r in rows}:
+        before = ""
+        for _, k, t in sorted((r for r in rows if r[0] == d), key=lambda r: r[1]):
+            said = M.StubClient().complete([f"resolve\n## context\n{before}\n## text\n{t or ''}"])[0].strip(" \t\n\x0b\f\r")
+            want.append((d, k, said))
+            before = said
+    c = spark.createDataFrame(rows, "doc long, chunk long, text string").repartition(3)
+    got = X.resolve_coreference(c, M.StubClient())
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert got.columns == ["doc", "chunk", "text"]
+    # 120 documents of 3 chunks in one task: three waves, each in calls of 50
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        many = spark.range(360).select((F.col("id") % 120).alias("doc"), F.floor(F.col("id") / 120).alias("chunk"), F.lit("it is").alias("text"))
+        assert X.resolve_coreference(many, counting(str(tmp_path / "w"))).count() == 360
+        assert (tmp_path / "w").read_text().split() == ["50", "50", "20"] * 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    down = X.resolve_coreference(c, counting(str(tmp_path / "x"), 10**6), errors=True, wait=0).collect()
+    assert {r["error"] for r in down} == {"OSError: down"}
+    assert sorted(str(tuple(r)[:3]) for r in down) == sorted(map(str, rows))
+
+
 def test_enrich_takes_the_nearest_known_relation(spark):
     import numpy as np
 
