@@ -121,6 +121,18 @@ def chosen(answer: Column, options: Column) -> Column:
     return F.when((at >= 1) & (at <= F.size(options)), F.get(options, at - 1))
 
 
+def choices_of(options: list[str | None]) -> str:
+    """As choices(), of one list."""
+    listed = [f"{chr((i + 65) % 256)}. {x}" for i, x in enumerate(options) if x is not None]
+    return "\n".join([*listed, f"{chr((len(options) + 65) % 256)}. None of the above."]) + "\n"
+
+
+def chosen_of(answer: str | None, options: list[str]) -> str | None:
+    """As chosen(), of one answer."""
+    at = ord(answer[0]) - 64 if answer else 0
+    return options[at - 1] if 1 <= at <= len(options) else None
+
+
 def fill(template: str, **values: Column) -> Column:
     """template with each {name} of values replaced; braces in the values stay as they are. A null value is empty."""
     parts = re.split("(" + "|".join(r"\{" + k + r"\}" for k in values) + ")", template) if values else [template]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,48 +94,168 @@ def canonicalize(triples: DataFrame, definitions: DataFrame, schema: DataFrame,
     return out.withColumn("canonical", F.when(F.col("status") == "canonical", F.col("r")).otherwise(F.col("picked"))).select(*triples.columns, "status", "canonical", "candidates")
 
 
-def grown_schema(pairs: DataFrame, schema: DataFrame, client: ModelClient, chunks: DataFrame | None = None, prompts: Prompts = PROMPTS, k: int = 5) -> tuple[DataFrame, DataFrame]:
+#: Pairs that one task decides in order.
+STRETCH = 20_000
+
+
+class _Additions:
+    """Relations that joined the schema in one stretch, in order, with their vectors."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.known: set[str] = set()
+        self.texts: list[str | None] = []
+        self.vectors, self.placed, self.most = np.zeros((0, 0)), [], 0.0
+
+    def add(self, name: str, text: str | None, v: np.ndarray | None) -> None:
+        if v is not None:
+            n = len(self.placed)
+            if n == len(self.vectors):
+                more = np.zeros((max(256, 2 * n), len(v)))
+                more[:n] = self.vectors.reshape(n, len(v))
+                self.vectors = more
+            self.vectors[n] = v
+            self.placed.append(len(self.names))
+            self.most = max(self.most, float(np.sqrt(v @ v)))
+        self.names.append(name)
+        self.texts.append(text)
+        self.known.add(name)
+
+    def nearer(self, v: np.ndarray, options: list[tuple], k: int, since: int) -> list[tuple]:
+        """The k best of options (relation, score, definition) and the vectors added from place since on; ties keep this
+        order. Products that may count are taken anew, in the order of the places, as dot() takes them."""
+        some = self.vectors[since : len(self.placed)]
+        if not len(some):
+            return options
+        near = some @ v
+        if len(options) >= k:
+            at = np.flatnonzero(near >= options[-1][1] - 1e-9 * (1.0 + self.most * float(np.sqrt(v @ v))))
+        else:
+            at = np.arange(len(some))
+        if not len(at):
+            return options
+        score = np.add.accumulate(some[at] * v, axis=1)[:, -1]
+        which = [self.placed[since + i] for i in at.tolist()]
+        return sorted([*options, *((self.names[n], x, self.texts[n]) for n, x in zip(which, score.tolist(), strict=True))], key=lambda o: -o[1])[:k]
+
+
+def _settled(client: ModelClient, k: int, wait: float = 0.5):
+    """Batches of pairs in order, with what the model picked among the options of the schema before the stretch, to
+    (at, candidates, picked, added) under the schema as it grows.
+
+    A pair whose options no addition has changed keeps that answer. The others are asked again in calls of up to CALL_SIZE,
+    before it is known whether one of them adds a relation: where one does and that changes a later one's options, the later
+    ones are asked in the next call, which takes twice as many as the last one settled.
+    """
+    grown = _Additions()
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = CALL_SIZE
+        for pdf in frames:
+            names, texts = pdf["r"].tolist(), [None if pd.isna(x) else x for x in pdf["definition"]]
+            vectors = [None if x is None else np.asarray(x, np.float64) for x in pdf["v"]]
+            options = [[(x["relation"], x["score"], x["definition"]) for x in o] for o in pdf["options"]]
+            picked = [None if pd.isna(x) else x for x in pdf["picked"]]
+            parts = pdf["parts"].tolist()
+            added, answered, seen = [False] * len(pdf), [True] * len(pdf), [0] * len(pdf)
+
+            def refresh(i: int) -> None:
+                if vectors[i] is not None and seen[i] < len(grown.placed):
+                    now = grown.nearer(vectors[i], options[i], k, seen[i])
+                    if now is not options[i] and [o[0] for o in now] != [o[0] for o in options[i]]:
+                        answered[i] = False
+                    options[i] = now
+                seen[i] = len(grown.placed)
+
+            i = 0
+            while i < len(pdf):
+                if names[i] in grown.known:
+                    options[i], picked[i], i = None, names[i], i + 1
+                    continue
+                refresh(i)
+                if not answered[i]:
+                    turn = [j for j in range(i, min(i + size, len(pdf))) if names[j] not in grown.known]
+                    for j in turn:
+                        refresh(j)
+                    turn = [j for j in turn if not answered[j]]
+                    said, error = call(client, ["".join(_with_choices(parts[j], options[j])) for j in turn], wait)
+                    if error:
+                        raise RuntimeError(f"the model failed: {error}")
+                    for j, answer in zip(turn, said, strict=True):
+                        picked[j], answered[j] = T.chosen_of(answer, [o[0] for o in options[j]]), True
+                    begin = i
+                    while i < len(pdf) and i < begin + size:
+                        if names[i] in grown.known:
+                            options[i], picked[i], i = None, names[i], i + 1
+                            continue
+                        refresh(i)
+                        if not answered[i]:
+                            break
+                        if picked[i] is None:
+                            picked[i], added[i] = names[i], True
+                            grown.add(names[i], texts[i], vectors[i])
+                        i += 1
+                    size = max(1, min(CALL_SIZE, 2 * (i - begin)))
+                    continue
+                if picked[i] is None:
+                    picked[i], added[i] = names[i], True
+                    grown.add(names[i], texts[i], vectors[i])
+                i += 1
+            near = [None if o is None else [{"relation": x[0], "score": x[1]} for x in o] for o in options]
+            yield pd.DataFrame({"at": pdf["at"], "candidates": near, "picked": picked, "added": added})
+
+    return work
+
+
+def _with_choices(parts: list[str], options: list[tuple]) -> Iterator[str]:
+    said = T.choices_of([None if o[0] is None or o[2] is None else f"{o[0]}: {o[2]}" for o in options])
+    for n, part in enumerate(parts):
+        if n:
+            yield said
+        yield part
+
+
+def grown_schema(pairs: DataFrame, schema: DataFrame, client: ModelClient, chunks: DataFrame | None = None, prompts: Prompts = PROMPTS, k: int = 5, stretch: int = STRETCH) -> tuple[DataFrame, DataFrame]:
     """(picked, schema): pairs (chunk, r, pos, definition, v, triple) decided in order of chunk and place, where each one
     that the model picks nothing for adds its relation to the schema (relation, definition, ord, w) at once.
 
-    Every addition may change all decisions after it, so the order is part of the result; it is found by optimistic replay.
-    All pairs are asked at once. Those without a pick, the first of each relation, are taken for additions, each seen by the
-    pairs after it alone; the nearest options of all pairs are then searched again (by bounds, see inner_products), and only
-    pairs whose options have changed are asked again, until the additions stay as they are. Each round settles the first
-    pair that was not settled, at least, so it ends, and what it ends with is the sequential result, by induction over the
-    pairs, as long as the model answers one prompt in one way. Vectors of relations go to the workers in parts of bounded
-    size; pairs and decisions stay with Spark.
+    Every addition may change all decisions after it, so the order is part of the result; it is followed in stretches of
+    pairs. All tasks search a stretch's nearest options in the schema before it (by bounds, see inner_products) and ask the
+    model about them; pairs of a relation that has joined need neither. Then one task goes through the stretch in order,
+    batch by batch, holds the vectors that join in it, and asks again only about pairs whose options these have changed
+    (_settled). So a stretch takes a fixed number of jobs, whatever joins in it, and no task holds more than one batch and
+    one stretch's additions.
     """
     kind = "array<struct<relation:string,score:double>>"
     schema = saved(schema.select("relation", "definition", F.col("ord").cast("bigint").alias("ord"), "w"))
     last = schema.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0]
     text = pairs.withColumn("text", F.lit("")) if chunks is None else pairs.join(chunks.select("chunk", "text"), "chunk", "left").withColumn("text", F.coalesce("text", F.lit("")))
     known = schema.select(F.col("relation").alias("r")).distinct()
-    own = text.join(known, "r", "left_semi").select("chunk", "r", F.lit(None).cast(kind).alias("candidates"), F.col("r").alias("picked"))
+    decided = text.join(known, "r", "left_semi").select("chunk", "r", F.lit(None).cast(kind).alias("candidates"), F.col("r").alias("picked"))
     open_ = saved(numbered(text.join(known, "r", "left_anti"), ["chunk", "pos", "r"], "at"))
-    added = open_.select("r", F.col("at").alias("since")).limit(0)
-    answers = None
-    while True:
-        new = open_.join(added, "r").where("at = since").select(F.col("r").alias("relation"), "definition", (F.lit(last + 1) + F.col("at")).alias("ord"), F.col("v").alias("w"), "since")
-        now = schema.withColumn("since", F.lit(-1).cast("bigint")).unionByName(new)
-        # the pairs of an added relation need no model, but for the one that adds it
-        asking = open_.join(added, "r", "left").where("since IS NULL OR at <= since").drop("since")
-        options = asking.select("chunk", "r").join(_options(asking, now, k), ["chunk", "r"], "left")
-        options = saved(options.withColumn("options", F.coalesce("options", F.array().cast("array<struct<rank:bigint,relation:string,score:double,definition:string>>"))))
-        changed = options if answers is None else options.join(answers.select("chunk", "r", F.col("options").alias("before")), ["chunk", "r"], "left").where("before IS NULL OR before <> options").drop("before")
-        fresh = saved(_picked(changed.join(open_.select("chunk", "r", "definition", "triple", "text"), ["chunk", "r"]), client, prompts))
-        answers = fresh if answers is None else saved(answers.join(fresh, ["chunk", "r"], "left_anti").unionByName(fresh))
-        # the answers to what is asked now
-        current = answers.join(asking.select("chunk", "r", "at"), ["chunk", "r"])
-        found = saved(current.where("picked IS NULL").groupBy("r").agg(F.min("at").alias("since")))
-        moved = found.join(added.withColumnRenamed("since", "was"), "r", "full").where(~F.col("since").eqNullSafe(F.col("was")))
-        if not moved.limit(1).count():
-            break
-        added = found
-    decided = open_.select("chunk", "r").join(current.select("chunk", "r", "options", "picked"), ["chunk", "r"], "left")
-    decided = decided.select("chunk", "r", _candidates().alias("candidates"), F.coalesce("picked", "r").alias("picked"))
-    more = numbered(new.drop("since"), ["ord"], "no").select("relation", "definition", (F.lit(last + 1) + F.col("no")).cast("bigint").alias("ord"), "w")
-    return saved(own.unionByName(decided)), saved(schema.unionByName(more))
+    none = F.array().cast("array<struct<rank:bigint,relation:string,score:double,definition:string>>")
+    values = {"input_text": F.col("text"), "query_triplet": F.col("triple"), "query_relation": F.col("r"), "query_relation_definition": F.col("definition")}
+    parts = F.array(*[F.lit("") if not p else prompts.fill("verify", template=p, **values) for p in prompts.verify.split("{choices}")])
+    now, more, total = schema, [], open_.count()
+    for begin in range(0, total, stretch):
+        some = open_.where((F.col("at") >= begin) & (F.col("at") < begin + stretch))
+        joined = now.select(F.col("relation").alias("r")).distinct()
+        if begin:
+            decided = decided.unionByName(some.join(joined, "r", "left_semi").select("chunk", "r", F.lit(None).cast(kind).alias("candidates"), F.col("r").alias("picked")))
+            some = some.join(joined, "r", "left_anti")
+        options = some.select("chunk", "r").join(_options(some, now, k), ["chunk", "r"], "left").withColumn("options", F.coalesce("options", none))
+        asks = _picked(saved(some.join(options, ["chunk", "r"])), client, prompts)
+        asks = some.join(asks, ["chunk", "r"]).select("at", "r", "definition", "v", "options", "picked", parts.alias("parts"))
+        settled = saved(asks.repartition(1).sortWithinPartitions("at").mapInPandas(_settled(client, k), f"at bigint, candidates {kind}, picked string, added boolean"))
+        decided = decided.unionByName(some.select("at", "chunk", "r").join(settled, "at").select("chunk", "r", "candidates", "picked"))
+        new = some.join(settled.where("added").select("at"), "at").select(F.col("r").alias("relation"), "definition", (F.lit(last + 1) + F.col("at")).alias("ord"), F.col("v").alias("w"))
+        more.append(saved(new))
+        now = now.unionByName(more[-1])
+    for n, new in enumerate(more):
+        more[n] = numbered(new, ["ord"], "no").select("relation", "definition", (F.lit(last + 1) + F.col("no")).cast("bigint").alias("ord"), "w")
+        last += new.count()
+        schema = schema.unionByName(more[n])
+    return saved(decided), schema
 
 
 def enrich(relations: DataFrame, schema: DataFrame, threshold: float) -> DataFrame:

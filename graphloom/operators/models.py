@@ -62,8 +62,9 @@ class Prompts:
     answer: str = "answer\n## disease\n{disease}\n## context\n{context}\n## question\n{question}"
     few_shot: dict[str, str] = field(default_factory=dict)
 
-    def fill(self, task: str, **values: Column) -> Column:
-        return fill(getattr(self, task), few_shot_examples=F.lit(self.few_shot.get(task, "")), **values)
+    def fill(self, task: str, template: str | None = None, **values: Column) -> Column:
+        """The task's template, or a part of it, filled in."""
+        return fill(getattr(self, task) if template is None else template, few_shot_examples=F.lit(self.few_shot.get(task, "")), **values)
 
     def text(self, task: str, **values: str) -> str:
         """As fill(), of plain strings."""

@@ -140,6 +140,45 @@ def test_grown_schema_is_the_sequential_rule(spark, seed):
     assert [(r["chunk"], r["pos"], r["canonical"]) for r in got] == want
 
 
+def test_grown_schema_takes_few_rounds(spark, monkeypatch):
+    # longer and longer words: each one that joins pushes the options of all after it
+    from pyspark.sql import functions as F
+
+    client, saves = M.StubClient(), []
+    names = ["abcdefgh"[i % 8] + "e" * (i // 2) for i in range(48)]
+    t = spark.createDataFrame([(i, 0, "x", n, "y") for i, n in enumerate(names)], "chunk long, pos long, s string, r string, o string")
+    sc = spark.createDataFrame([("zz", "what zz means", 0)], "relation string, definition string, ord long")
+    known, want = [("zz", "what zz means")], []
+    for n in names:
+        v = client.embed([f"what {n} means"])[0]
+        best = sorted(range(len(known)), key=lambda i: (-sum(a * b for a, b in zip(v, client.embed([known[i][1]])[0])), i))[:5]
+        found = n if n in {x[0] for x in known} else next((known[i][0] for i in best if known[i][0][0] == n[0]), None)
+        if found is None:
+            known.append((n, f"what {n} means"))
+        want.append(found or n)
+    plain = X.saved
+    monkeypatch.setattr(X, "saved", lambda df: saves.append(1) or plain(df))
+    got = X.canonicalize(t, X.define(t, client), sc, client, enrich=True).orderBy("chunk").collect()
+    assert [r["canonical"] for r in got] == want
+    assert len(saves) <= 8
+    # over several stretches too, with the schema in order of joining
+    pairs = M.embedded(t.select("chunk", "r", "pos", F.concat(F.lit("what "), "r", F.lit(" means")).alias("definition"), F.lit("t").alias("triple")), client, "definition", "v")
+    picked, schema = X.grown_schema(pairs, M.embedded(sc, client, "definition", "w"), client, stretch=7)
+    assert [r["picked"] for r in picked.orderBy("chunk").collect()] == want
+    assert [(r["relation"], r["ord"]) for r in schema.orderBy("ord").collect()] == [(n, i) for i, (n, _) in enumerate(known)]
+
+
+@pytest.mark.parametrize("options", [["a: b", "c: d"], [], ["x", None]])
+def test_choices_of_one_list_are_those_of_a_column(spark, options):
+    from pyspark.sql import functions as F
+
+    from graphloom.functions import text as T
+
+    o = F.array(*[F.lit(x).cast("string") for x in options]).cast("array<string>")
+    df = spark.createDataFrame([(a,) for a in ("A", "B. x", "C", "", None, "é", "@")], "a string").select("a", T.choices(o).alias("c"), T.chosen(F.col("a"), o).alias("p"))
+    assert all((r["c"], r["p"]) == (T.choices_of(options), T.chosen_of(r["a"], options)) for r in df.collect())
+
+
 def test_substring_search_by_rarest_grams(spark, monkeypatch):
     rng = random.Random(6)
     word = lambda n: "".join(rng.choice("abcđ ") for _ in range(rng.randint(0, n)))
