@@ -1,8 +1,8 @@
 """Spreadsheets (.xlsx) as a data source of Spark: spark.read.format("xlsx").load(path), df.write.format("xlsx").
 
 A workbook is a zip of XML files: its sheets, and the table of strings that their cells refer to by number. The driver reads
-only a workbook's directory, its sheet's first rows and the strings of its headings; ranges of rows are the partitions. A
-task inflates the sheet up to its range, parses that range alone, and then keeps of the strings only those that it met, so
+only a workbook's directory, its sheet's first rows and the strings of its headings; ranges of rows are the partitions, and
+small workbooks, which the driver does not open, share one with their neighbours, in order. A task inflates the sheet up to its range, parses that range alone, and then keeps of the strings only those that it met, so
 its memory follows the range. Files are opened through pyarrow's file systems (local, HDFS, S3, GCS).
 
 Reading, options: path (a file or a folder of .xlsx files), sheet (name or number from 0; "0"), header ("true": the first row
@@ -35,6 +35,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: Rows of a partition, and rows that a sheet can have.
 ROWS, SHEET_ROWS = 20_000, 1_048_576
+#: Bytes of neighbouring workbooks that make a partition; of one workbook that is not opened to be cut.
+TOGETHER_BYTES, SMALL_BYTES = 1 << 20, 1 << 18
 _CHUNK = 1 << 18
 #: Longest beginning of a tag that is looked for.
 _TAG = 64
@@ -53,14 +55,18 @@ def _file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.LocalFileSystem(), path
 
 
-def _files(path: str) -> list[str]:
-    """The workbooks of a folder in order of name, without hidden ones and those being written; or the one file."""
+def _sizes(path: str) -> list[tuple[str, int]]:
+    """The workbooks of a folder in order of name, without hidden ones and those being written, or the one file; and bytes."""
     fs, at = _file_system(path)
     (info,) = fs.get_file_info([at])
     if info.type == pa.fs.FileType.File:
-        return [at]
-    found = [f.path for f in fs.get_file_info(pa.fs.FileSelector(at, recursive=False)) if f.is_file]
-    return sorted(f for f in found if f.endswith(".xlsx") and posixpath.basename(f)[0] not in "._~")
+        return [(at, info.size)]
+    found = [(f.path, f.size) for f in fs.get_file_info(pa.fs.FileSelector(at, recursive=False)) if f.is_file]
+    return sorted(f for f in found if f[0].endswith(".xlsx") and posixpath.basename(f[0])[0] not in "._~")
+
+
+def _files(path: str) -> list[str]:
+    return [f for f, _ in _sizes(path)]
 
 
 def _tag(element) -> str:
@@ -301,38 +307,56 @@ def _headings(first: dict[int, str | None], header: bool) -> list[str]:
 
 
 @dataclass
-class _Range(InputPartition):
+class _Range:
     file: str
-    part: str
     first: int
     end: int | None
 
 
+@dataclass
+class _Ranges(InputPartition):
+    ranges: list[_Range]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str], schema: StructType):
         self.path, self.sheet = options["path"], options.get("sheet", "0")
         self.header = options.get("header", "true").lower() == "true"
         self.number = options.get("rownumber")
         self.size = int(options.get("rows", ROWS))
+        self.cut = "rows" in options
         self.schema = schema
 
-    def partitions(self) -> list[_Range]:
+    def partitions(self) -> list[_Ranges]:
         fs, _ = _file_system(self.path)
-        out = []
-        for file in _files(self.path):
+        out: list[_Ranges] = []
+        held = TOGETHER_BYTES
+        for file, size in _sizes(self.path):
+            if size <= SMALL_BYTES and not self.cut:
+                if held + size > TOGETHER_BYTES:
+                    out.append(_Ranges([]))
+                    held = 0
+                out[-1].ranges.append(_Range(file, int(self.header), None))
+                held += size
+                continue
             with Workbook(fs, file) as w:
-                part = w.sheet(self.sheet)
-                rows = w.size(part)
+                rows = w.size(w.sheet(self.sheet))
             # the last range has no end, whatever the sheet says of its size
             starts = list(range(int(self.header), max(rows or 0, int(self.header) + 1), self.size))
-            out += [_Range(file, part, a, b) for a, b in zip(starts, [*starts[1:], None], strict=True)]
+            out += [_Ranges([_Range(file, a, b)]) for a, b in zip(starts, [*starts[1:], None], strict=True)]
+            held = TOGETHER_BYTES
         return out
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
+        for some in partition.ranges:
+            yield from self._range(some)
+
+    def _range(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         fs, _ = _file_system(self.path)
         names = [f.name for f in self.schema.fields if f.name != self.number]
         with Workbook(fs, partition.file) as w:
-            headings = _headings(w.first(partition.part), self.header)
+            part = w.sheet(self.sheet)
+            headings = _headings(w.first(part), self.header)
             place = [headings.index(n) if n in headings else int(n[2:]) if not self.header else None for n in names]
             first, rows = partition.first, []
 
@@ -343,7 +367,7 @@ class _Reader(DataSourceReader):
                     columns[self.number] = pa.array(range(first - self.header, first - self.header + len(rows)), pa.int64())
                 return pa.RecordBatch.from_pydict({f.name: columns[f.name] for f in self.schema.fields})
 
-            for r in w.rows(partition.part, partition.first, partition.end):
+            for r in w.rows(part, partition.first, partition.end):
                 rows.append(r)
                 if len(rows) == self.size:
                     yield batch()
@@ -397,8 +421,8 @@ class _Writer(DataSourceArrowWriter):
 
         left = rows()
         while (following := next(left, None)) is not None:
-            # a task that is run again writes names of its own; those of the run that counts are moved
-            name = f"part-{task.partitionId():05d}-{len(files):03d}-{task.taskAttemptId()}.xlsx"
+            # a task that is run again writes names of its own; those of the run that counts are moved. Names sort as rows do
+            name = f"part-{task.partitionId():07d}-{len(files):09d}-{task.taskAttemptId()}.xlsx"
             with fs.open_output_stream(f"{at}/{self.staging}/{name}") as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
                 for part, text in _PARTS.items():
                     z.writestr(part, text)

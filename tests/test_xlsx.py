@@ -101,3 +101,24 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="stop"):
         xlsx.write_xlsx(bad, str(tmp_path / "b.xlsx"))
     assert list((tmp_path / "b.xlsx").iterdir()) == []
+
+
+def test_order_of_more_than_a_thousand_files_of_a_task(spark, tmp_path):
+    path = str(tmp_path / "many.xlsx")
+    xlsx.write_xlsx(spark.range(1, 1212, 1, 1).selectExpr("cast(id AS string) AS n"), path, rows="1")
+    df = xlsx.read_xlsx(spark, path)
+    assert [int(r["n"]) for r in df.collect()] == list(range(1, 1212))
+    assert [(r["row"], r["value"]) for r in S.read_cells(spark, path).orderBy("row").collect()] == [(i - 1, str(i)) for i in range(1, 1212)]
+
+
+def test_small_workbooks_share_a_partition(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "small.xlsx")
+    xlsx.write_xlsx(spark.range(0, 400, 1, 2).selectExpr("cast(id AS string) AS n"), path, rows="10")
+    assert len(xlsx._files(path)) == 40
+    df = xlsx.read_xlsx(spark, path, rowNumber="at")
+    assert df.rdd.getNumPartitions() == 1
+    assert [(r["at"], r["n"]) for r in df.collect()] == [(i % 10, str(i)) for i in range(400)]
+    # by size, and with larger ones between that are cut for themselves
+    monkeypatch.setattr(xlsx, "TOGETHER_BYTES", 1)
+    assert len(xlsx._Reader({"path": path}, df.schema).partitions()) == 40
+    assert len(xlsx._Reader({"path": path, "rows": "4"}, df.schema).partitions()) == 40
