@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from pathlib import PurePosixPath
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from graphloom.operators import graph
 from graphloom.operators.cleaning import numbered
 from graphloom.operators.evaluation import evaluation_rows, length_filter
 from graphloom.sources.commits import commit, fresh_data, last_commit, tidy
-from graphloom.sources.xlsx import read_xlsx
+from graphloom.sources.xlsx import _file_system, read_xlsx
 
 # Spreadsheet headings and the properties they become.
 FOOD_COLUMNS = {
@@ -36,6 +38,29 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 
+#: Bytes of a file that are held at once, and lines of a file of paragraphs.
+PIECE_BYTES, FILE_LINES = 1 << 20, 100_000
+
+
+def read_digest(spark: SparkSession, path: str) -> DataFrame:
+    """(files, digest): how many files a folder has and the md5 of their bytes, one after the other in order of name. A
+    digest is sequential, so one task reads them all, but it holds PIECE_BYTES of them, whatever their size."""
+    names = spark.read.format("binaryFile").load(path).agg(F.array_sort(F.collect_list("path")).alias("names"))
+
+    def work(frames):
+        for pdf in frames:
+            for found in pdf["names"]:
+                md5 = hashlib.md5()
+                for name in found:
+                    fs, at = _file_system(name)
+                    with fs.open_input_stream(at, compression=None) as f:
+                        while piece := f.read(PIECE_BYTES):
+                            md5.update(piece)
+                yield pd.DataFrame({"files": [len(found)], "digest": [md5.hexdigest()]})
+
+    return names.mapInPandas(work, "files bigint, digest string")
+
+
 def read_sheet(spark: SparkSession, path: str, sheet: str = "0") -> DataFrame:
     """A spreadsheet's rows as strings, in order: CSV, or, by the path's ending, an .xlsx file or a folder of them."""
     if path.rstrip("/").endswith(".xlsx"):
@@ -146,10 +171,12 @@ def write_stages(df: DataFrame, path: str, iteration: int) -> None:
     df.write.mode("errorifexists").json(str(PurePosixPath(path) / f"iter={iteration}"))
 
 
-def write_paragraphs(df: DataFrame, column: str, order: str, path: str, size: int = 20, parts: int = 1) -> None:
-    """Paragraphs in order, a blank line after every size of them and after the last."""
+def write_paragraphs(df: DataFrame, column: str, order: str, path: str, size: int = 20, parts: int | None = None) -> None:
+    """Paragraphs in order, a blank line after every size of them and after the last; in files of about FILE_LINES of them,
+    in order of name, unless parts says how many."""
     placed = numbered(df, [order], "_at")
     last = placed.count() - 1
+    parts = parts or 1 + last // FILE_LINES
     line = F.when((F.col("_at") % size == size - 1) | (F.col("_at") == last), F.concat(F.col(column), F.lit("\n"))).otherwise(F.col(column))
     write_lines(placed.withColumn("line", line), "line", ["_at"], path, parts)
 

@@ -121,3 +121,16 @@ def test_a_broken_write_leaves_the_graph(spark, tmp_path, monkeypatch):
     S.save_graph(n.unionByName(n.withColumn("name", F.lit("b"))), e, path)  # made from the graph that it replaces
     assert [x.count() for x in S.load_graph(spark, path)] == [2, 1]
     assert len([p for p in (tmp_path / "g").iterdir() if p.name.startswith("data-")]) == 1
+
+
+def test_paragraphs_in_several_files_are_digested_piece_by_piece(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    lines = [f"món {i} " + "x" * (i % 50) for i in range(95)]
+    monkeypatch.setattr(S, "FILE_LINES", 30)
+    monkeypatch.setattr(S, "PIECE_BYTES", 7)
+    path = str(tmp_path / "paragraphs")
+    S.write_paragraphs(spark.createDataFrame(list(enumerate(lines)), "id long, p string").repartition(5), "p", "id", path)
+    want = "".join(x + ("\n\n" if i % 20 == 19 or i == 94 else "\n") for i, x in enumerate(lines))
+    assert S.read_digest(spark, path).first()[:] == (4, hashlib.md5(want.encode()).hexdigest())
+    assert spark.read.text(path).where("value = ''").count() == 5
