@@ -8,10 +8,10 @@ from bisect import bisect_right, insort
 from functools import cache
 from heapq import heapify, heappop, heappush
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 from graphloom.functions.text import evaluation_form, is_triple_list, let, triple_literals, without_parenthesis
@@ -124,11 +124,22 @@ def latency(df: DataFrame, value: str) -> DataFrame:
 # --- what SQL cannot express: assignments, alignments, folding -------------------------------------------------------
 
 
-@pandas_udf(StringType())
-def ascii_fold(s: pd.Series) -> pd.Series:
+#: Characters of a text that are folded at once.
+FOLD_CHARS = 1 << 16
+
+
+def _folded(text: str | None) -> str | None:
+    if text is None or text.isascii():
+        return text
+    fold = lambda t: "".join(c for c in unicodedata.normalize("NFD", t.replace("đ", "d").replace("Đ", "D")) if not unicodedata.combining(c))
+    # marks that a piece begins with are dropped like all others, so that pieces can be folded one by one
+    return "".join(fold(text[n : n + FOLD_CHARS]) for n in range(0, len(text), FOLD_CHARS))
+
+
+@arrow_udf(StringType())
+def ascii_fold(s: pa.Array) -> pa.Array:
     """Letters without their marks; đ and Đ, which carry none, become d and D."""
-    fold = lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t.replace("đ", "d").replace("Đ", "D")) if not unicodedata.combining(c))
-    return s.map(fold)
+    return pa.array((_folded(x.as_py()) for x in s), s.type)
 
 
 def word_tokens(c: Column) -> Column:

@@ -10,6 +10,7 @@ from graphloom.operators.models import StubClient, embedded
 from graphloom.plans.kg import table
 from graphloom.plans.registry import registry
 from graphloom.plans.text_queries import _sentences
+from graphloom.sources.work import batched
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -253,7 +254,7 @@ def system_scores(spark, d):
 
 @query("SELECT doc_id, md5(strip_accents(replace(replace(lower(text), 'đ', 'd'), 'Đ', 'D'))) AS digest FROM documents")
 def ascii_fold(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(evaluation.ascii_fold(F.lower("text")).cast("binary")).alias("digest"))
+    return batched(table(spark, d, "documents")).select("doc_id", F.md5(evaluation.ascii_fold(F.lower("text")).cast("binary")).alias("digest"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+'))::BIGINT AS n FROM documents")

@@ -29,3 +29,17 @@ def saved(df: DataFrame) -> DataFrame:
     """df from a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+#: Bytes of texts that go to a worker at once.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """df, whose session sends BATCH_BYTES to Python at once, where it has kept Spark's own default of 64 MB: JVM and worker
+    each hold a batch several times, and keep that memory."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) in ("64m", "67108864b", str(64 << 20)):
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df

@@ -145,6 +145,27 @@ def test_macro_scores_of_nothing_in_common(spark):
     assert E.macro_scores(g, p).first()[:] == (0.0, 0.0, 0.0)
 
 
+def test_ascii_fold_of_long_texts_in_small_batches(spark, monkeypatch):
+    from pyspark.sql import Row
+
+    from graphloom.sources import work
+
+    text = "Đường e\u0301\u0323 và plain " * 9
+    want = "Duong e va plain " * 9
+    for n in (1, 2, 7, 1 << 16):
+        monkeypatch.setattr(E, "FOLD_CHARS", n)
+        assert E._folded(text) == want
+    assert E._folded(None) is None and E._folded("") == ""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    try:
+        df = work.batched(spark.createDataFrame([Row(x=None), Row(x=text)]))
+        assert spark.conf.get(key) == str(work.BATCH_BYTES)
+        assert [r[0] for r in df.select(E.ascii_fold("x")).collect()] == [None, want]
+    finally:
+        spark.conf.unset(key)
+
+
 def test_ascii_fold(spark):
     assert spark.createDataFrame([("Đường đỏ",)], "x string").select(E.ascii_fold("x")).first()[0] == "Duong do"
 
@@ -168,3 +189,20 @@ def test_failed_model_keeps_the_chunk(spark):
 
     c = spark.createDataFrame([("d", 0, "x"), ("d", 1, "y")], "doc string, chunk long, text string")
     assert [r["text"] for r in X.resolve_coreference(c, Broken()).orderBy("chunk").collect()] == ["x", "y"]
+
+
+def test_relations_of_most_rows_do_not_meet_in_one_task(spark, monkeypatch):
+    t = spark.range(3000).select(F.col("id").alias("k"), F.explode(F.array(F.lit("all"), F.concat(F.lit("r"), (F.col("id") % 7).cast("string")))).alias("r"))
+    want = sorted(map(tuple, R.retriever_samples(t, "k").collect()))
+    plan = R.retriever_samples(t, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    entries = t.groupBy("k").agg(F.collect_list(F.array(F.lit("s"), "r", F.lit("o"))).alias("triples")).select(F.col("k").alias("entry"), F.lit("s to o").alias("text"), "triples")
+    defined = t.select(F.col("k").alias("entry"), F.col("r").alias("relation"), F.concat(F.lit("d "), "r").alias("definition"))
+    samples = sorted(map(str, R.collect_samples(entries, defined).collect()))
+    assert len(want) == len(samples) == 6000
+    # a table too large for that is copied to shares of each relation's rows
+    monkeypatch.setattr(R, "BESIDE_BYTES", 0)
+    assert sorted(map(tuple, R.retriever_samples(t, "k").collect())) == want
+    assert sorted(map(str, R.collect_samples(entries, defined).collect())) == samples
+    shares = R._beside(t, R._relations(t)[0], ["r"])
+    assert "_share" in shares._jdf.queryExecution().toString() and shares.count() == 6000
