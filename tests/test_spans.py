@@ -1,6 +1,8 @@
 import random
 from itertools import permutations
 
+from pyspark.sql import functions as F
+
 from graphloom.operators import evaluation as E
 from graphloom.operators import spans as S
 
@@ -82,3 +84,20 @@ def test_alignment_against_plain_search():
         assert E.align_runs(a, b) == want
     long = [str(i % 5000) for i in range(20000)]
     assert E.align_runs(long[:10000], long[:10000])[0] == (0, 0, 10000)
+
+
+def test_equal_entries_are_scored_once(spark, tmp_path, monkeypatch):
+    lists = [(["a b | has kind of | c d", "e | is | f"], ["e | is | g", "a | has kind of | c d"]), ([], ["x | y | z"]), (None, None), (["q | r | s"], [])]
+    rows = [(i, *lists[i % 4]) for i in range(100)]
+    e = spark.createDataFrame(rows, "entry long, gold array<string>, predicted array<string>")
+    want = {r["entry"]: r["score"] for r in S.assignments(e).collect()}
+    assert len(want) == 100 and all(want[i] == want[i % 4] for i in range(100))
+    assert want[0] == S.best_pairs(*lists[0])[0] / 2 and want[2] == 0
+    # the means are those over all pairs, and what is scored are the four different entries
+    all_ = {(r["tag"], r["mode"]): r for r in S.pair_measures(e).groupBy("tag", "mode").agg(F.sum("correct").alias("n"), F.avg("f1").alias("f1")).collect()}
+    seen = []
+    plain = S.pair_measures
+    monkeypatch.setattr(S, "pair_measures", lambda df: seen.append(df.count()) or plain(df))
+    for r in S.system_scores(e).collect():
+        assert r["correct"] == all_[r["tag"], r["mode"]]["n"] and abs(r["f1"] - all_[r["tag"], r["mode"]]["f1"]) < 1e-12
+    assert seen == [4]
