@@ -14,6 +14,7 @@ from graphloom.operators import graph
 from graphloom.operators.cleaning import numbered
 from graphloom.operators.evaluation import evaluation_rows, length_filter
 from graphloom.sources.commits import commit, fresh_data, last_commit, tidy
+from graphloom.sources.work import saved
 from graphloom.sources.xlsx import _file_system, read_xlsx
 
 # Spreadsheet headings and the properties they become.
@@ -214,7 +215,7 @@ def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 def rebuild_graph(spark: SparkSession, parts: list[tuple[str, str | None]], path: str) -> None:
     """A graph from nothing: parts are files of triples, each with a food table or None, loaded one after the other. The
     keys are checked before the old graph is replaced."""
-    rows = [(read_triples(spark, t).select("s", "r", "o"), None if f is None else read_food(spark, f)) for t, f in parts]
+    rows = [(read_triples(spark, t).select("s", "r", "o"), None if f is None else saved(read_food(spark, f))) for t, f in parts]
     nodes, edges = graph.rebuild(rows)
     for df, keys in ((nodes, ("label", "name")), (edges, tuple(graph.EDGE_KEY))):
         if graph.violations(df, keys).limit(1).count():
